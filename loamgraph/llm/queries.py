@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, mixing, pii, secrets
+from . import ann, bpe, chat, langid, mixing, neardup, pii, secrets
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_pii": pii.op2_pii,
     "op3_secrets": secrets.op3_secrets,
+    "op5_near_dup_vectors": neardup.op5_near_dup_vectors,
+    "op6_nearest_vectors": ann.op6_nearest_vectors,
     "op7_chat_format": chat.op7_chat_format,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 
 ORACLES = {
-    "op3_secrets": secrets.op3_secrets,
+    "op5_near_dup_vectors": neardup.OP5_SQL,
     "op7_chat_format": chat.OP7_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
 }
