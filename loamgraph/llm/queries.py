@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, langid, mixing, neardup, pii, secrets
+from . import ann, bpe, chat, langid, mixing, neardup, pii, secrets, shingles
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_pii": pii.op2_pii,
     "op3_secrets": secrets.op3_secrets,
+    "op4_shingle_join": shingles.op4_shingle_join,
     "op5_near_dup_vectors": neardup.op5_near_dup_vectors,
     "op6_nearest_vectors": ann.op6_nearest_vectors,
     "op7_chat_format": chat.op7_chat_format,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_shingle_join": shingles.OP4_SQL,
     "op5_near_dup_vectors": neardup.OP5_SQL,
     "op7_chat_format": chat.OP7_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
