@@ -153,3 +153,16 @@ SELECT c.doc_id, c.size, c.source_size, c.target,
     + greatest(0, least(c.size, CASE WHEN h.words > 0 THEN h.quota % h.words ELSE 0 END - (c.stop - c.size))) AS BIGINT) AS taken
 FROM cut c JOIN shares h ON c.source IS NOT DISTINCT FROM h.source AND c.shard = h.shard
 """
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """Rows of docs, all columns unchanged, each as often as the mix takes its words: taken / size rounded, at most `most` times.
+
+    Rows that share an id share what is taken of them. A document of which less
+    than half is taken goes, so a cut block shifts a shard by half a document
+    at most.
+    """
+    taken = materialise(mix(docs, **how).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("z")), "mix-taken")
+    copies = taken.filter("2 * t >= z and z > 0").select(F.col("doc_id").alias("_id"), F.round(F.col("t") / F.col("z")).cast("int").alias("_copies"))
+    both = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    return both.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, langid, mixing, neardup, pii, secrets, shingles
+from . import ann, bpe, chat, langid, lm, mixing, neardup, pii, secrets, shingles
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_chat_format": chat.op7_chat_format,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_lm_score": lm.op10_lm_score,
 }
 
 ORACLES = {
