@@ -1,6 +1,596 @@
-"""Queries over the driver's tables, one per operator of the survey."""
+"""Queries over the driver's tables, one per operator of the survey, each with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .functions import links, paths, values
+from .functions.cost import CostParams
+from .operators import canvas, clones, filestats, graph, history, notes, resolve, totals
+from .plans import corpus
+from .session import materialise
+from .sources import files as sources
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+WITH_FILES = f"WITH files AS ({corpus.FILES_SQL})"
+WITH_EDGES = f"WITH RECURSIVE edges AS ({corpus.EDGES_SQL}), pairs AS (SELECT DISTINCT source, target FROM edges WHERE source <> target), reach AS (SELECT source AS u, target AS v FROM pairs UNION SELECT r.u, p.target FROM reach r JOIN pairs p ON p.source = r.v), nodes AS (SELECT n_nationkey::BIGINT AS id FROM nation)"
+WITH_BOXES = f"WITH boxes AS ({corpus.BOXES_SQL}), links AS ({corpus.BOX_EDGES_SQL})"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- sources -----------------------------------------------------------------
+
+
+def _listing(spark, sf_dir):
+    """Paths with names and folders that the filters drop among them."""
+    d = corpus.files(spark, sf_dir).select("file_id", "path")
+    k = F.col("file_id") % 12
+    folder = paths.dirname(F.col("path"))
+    odd = F.when(k == 0, F.concat(folder, F.lit("/package-lock.json"))).when(k == 1, F.concat(folder, F.lit("/node_modules/x"), F.col("file_id").cast("string"), F.lit(".js")))
+    odd = odd.when(k == 2, F.concat(folder, F.lit("/app"), F.col("file_id").cast("string"), F.lit(".min.js"))).when(k == 3, F.concat(folder, F.lit("/README"), F.col("file_id").cast("string"))).when(k == 4, F.concat(folder, F.lit("/"), F.col("file_id").cast("string"), F.lit(".PY"))).otherwise(F.col("path"))
+    return d.select(odd.alias("path")).distinct()
+
+
+LISTING_SQL = f"""{WITH_FILES}, listing AS (
+  SELECT DISTINCT CASE file_id % 12 WHEN 0 THEN dir || '/package-lock.json' WHEN 1 THEN dir || '/node_modules/x' || file_id || '.js' WHEN 2 THEN dir || '/app' || file_id || '.min.js'
+    WHEN 3 THEN dir || '/README' || file_id WHEN 4 THEN dir || '/' || file_id || '.PY' ELSE path END AS path
+  FROM (SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir FROM files)
+), kept AS (
+  SELECT path, CASE regexp_extract(path, '(\\.[^./]*)$', 1) WHEN '.py' THEN 'python' WHEN '.go' THEN 'go' WHEN '.md' THEN 'markdown' WHEN '.json' THEN 'json' WHEN '.js' THEN 'javascript' END AS language FROM listing
+  WHERE NOT regexp_matches(path, '(/package-lock\\.json|\\.min\\.js)$') AND path NOT LIKE '%/node_modules/%'
+)"""
+
+
+@query(LISTING_SQL.replace("\\\\", "\\") + "SELECT path, language, row_number() OVER (ORDER BY path) - 1 AS file_id FROM kept WHERE language IS NOT NULL")
+def file_scan_filter(spark, sf_dir):
+    return sources.with_ids(sources.claimed(_listing(spark, sf_dir))).select("path", "language", "file_id")
+
+
+@query(WITH_FILES + "SELECT path, row_number() OVER (ORDER BY path) - 1 AS file_id FROM (SELECT path FROM files WHERE file_id % 3 <> 0 UNION SELECT path FROM files WHERE file_id % 2 = 0)")
+def root_union_dedupe(spark, sf_dir):
+    f = corpus.files(spark, sf_dir).select("file_id", "path")
+    both = sources.union_roots([f.filter("file_id % 3 <> 0").select("path"), f.filter("file_id % 2 = 0").select("path")])
+    return sources.with_ids(both).select("path", "file_id")
+
+
+# --- paths and links -----------------------------------------------------------
+
+
+_UP = "regexp_replace({}, '/[^/]+/\\.\\.(/|$)', '/')"
+
+
+@query(WITH_FILES + """, raw AS (SELECT file_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, './../' || language || '//./../x' || file_id % 7 || '.h' AS link FROM files),
+  j AS (SELECT *, dir || '/' || link AS joined FROM raw),
+  c AS (SELECT *, regexp_replace(regexp_replace(joined, '/(\\./)+', '/', 'g'), '/+', '/', 'g') AS c0 FROM j),
+  d AS (SELECT *, regexp_replace(regexp_replace(c0, '/[^/.]+/\\.\\./', '/'), '/[^/.]+/\\.\\./', '/') AS clean FROM c)
+  SELECT file_id, dir, regexp_extract(path, '(\\.[^./]*)$', 1) AS ext, joined, clean, CASE WHEN dir = '/corpus/' || split_part(dir, '/', 3) || '/en' THEN '../../..' ELSE '../../..' END || clean AS way FROM d""".replace("\\\\", "\\"))
+def path_functions(spark, sf_dir):
+    f = corpus.files(spark, sf_dir)
+    d = paths.dirname(F.col("path"))
+    link = F.concat(F.lit("./../"), "language", F.lit("//./../x"), (F.col("file_id") % 7).cast("string"), F.lit(".h"))
+    f = f.select("file_id", d.alias("dir"), paths.extension(F.col("path")).alias("ext"), paths.join(d, link).alias("joined"))
+    f = f.withColumn("clean", paths.clean(F.col("joined")))
+    # from a folder of another tree, so that the whole way up shows
+    return f.withColumn("way", paths.relative(F.col("clean"), F.concat(F.lit("/a/b/c"), F.lit(""))))
+
+
+@query(WITH_FILES + "SELECT file_id, list_aggregate([path_suffix FOR path_suffix IN [array_to_string(list_slice(parts, len(parts) - i + 1, len(parts)), '.') FOR i IN range(1, len(parts) + 1)]], 'string_agg', '|') AS suffixes FROM (SELECT file_id, string_split(substr(path, 2), '/') AS parts FROM files)")
+def path_suffixes(spark, sf_dir):
+    return corpus.files(spark, sf_dir).select("file_id", F.array_join(paths.suffixes(F.col("path"), "."), "|").alias("suffixes"))
+
+
+@query(WITH_FILES + "SELECT CASE WHEN split_part(path, '/', 3) = 'src1' THEN 'Vendor/' || split_part(path, '/', 4) ELSE split_part(path, '/', 3) END AS dir_group, count(*) AS files FROM files GROUP BY 1")
+def dir_groups(spark, sf_dir):
+    p = F.regexp_replace("path", "^/corpus/src1/", "/corpus/Vendor/")
+    return corpus.files(spark, sf_dir).groupBy(paths.group_key(p, F.lit("/corpus/")).alias("dir_group")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("SELECT language, '/corpus/' || CASE WHEN count(DISTINCT source) > 1 THEN '' ELSE min(source) || '/' || min(lang) || '/' END AS prefix FROM (SELECT lang, source, CASE lang WHEN 'en' THEN 'python' WHEN 'fr' THEN 'go' WHEN 'de' THEN 'markdown' ELSE 'json' END AS language FROM documents) GROUP BY 1")
+def common_prefix(spark, sf_dir):
+    ends = corpus.files(spark, sf_dir).groupBy("language").agg(F.min("path").alias("a"), F.max("path").alias("b"))
+    return ends.select("language", paths.common_prefix(F.col("a"), F.col("b")).alias("prefix"))
+
+
+def _hrefs(spark, sf_dir):
+    p = corpus.table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]*)"'), 1)).alias("seq", "raw"))
+    return p
+
+
+HREFS_SQL = "hrefs AS (SELECT page_id, url, generate_subscripts(l, 1) - 1 AS seq, unnest(l) AS raw FROM (SELECT page_id, url, regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1) AS l FROM pages))"
+
+
+@query("WITH " + HREFS_SQL + "SELECT page_id, seq::INTEGER AS seq, raw FROM hrefs")
+def href_refs(spark, sf_dir):
+    return _hrefs(spark, sf_dir).select("page_id", "seq", "raw")
+
+
+@query(r"""SELECT page_id, k, CASE WHEN c = '' OR regexp_matches(c, '^[A-Za-z][A-Za-z0-9+.\-]+:') OR starts_with(c, '//') OR regexp_matches(lower(c), '\.(png|pdf)$') THEN NULL ELSE c END AS link
+  FROM (SELECT page_id, k, replace(replace(replace(regexp_extract(trim(v, ' '''), '^([^?#]*)', 1), '%20', ' '), '%2F', '/'), '%2B', '+') AS c FROM (
+    SELECT page_id, 0 AS k, url AS v FROM pages UNION ALL SELECT page_id, 1, ' ''' || regexp_replace(url, '^https?://[^/]*', '') || ''' ' FROM pages
+    UNION ALL SELECT page_id, 2, 'a%20b+c%2Fd' || page_id || '.html#x?y' FROM pages UNION ALL SELECT page_id, 3, 'img/' || page_id || '.PNG' FROM pages UNION ALL SELECT page_id, 4, '100%zz' || page_id || '%' FROM pages))""")
+def weblink_clean(spark, sf_dir):
+    p = corpus.table(spark, sf_dir, "pages").select("page_id", "url")
+    i = F.col("page_id").cast("string")
+    forms = F.array(F.col("url"), F.concat(F.lit(" '"), F.regexp_replace("url", "^https?://[^/]*", ""), F.lit("' ")), F.concat(F.lit("a%20b+c%2Fd"), i, F.lit(".html#x?y")), F.concat(F.lit("img/"), i, F.lit(".PNG")), F.concat(F.lit("100%zz"), i, F.lit("%")))
+    rows = p.select("page_id", F.posexplode(forms).alias("k", "raw"))
+    return rows.select("page_id", "k", links.weblink(F.col("raw")).alias("link"))
+
+
+@query(r"""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN './lib\x' || p_partkey || '.bat' WHEN 1 THEN './y.ps1' WHEN 2 THEN './z.cmd' WHEN 3 THEN NULL WHEN 4 THEN 'plain ' || p_partkey ELSE NULL END AS path FROM part""")
+def script_paths(spark, sf_dir):
+    k = F.col("p_partkey")
+    raw = F.when(k % 6 == 0, F.concat(F.lit("\"%~dp0lib\\x"), k.cast("string"), F.lit(".bat\""))).when(k % 6 == 1, F.lit("$PSScriptRoot/y.ps1")).when(k % 6 == 2, F.lit("%ROOT%/z.cmd")).when(k % 6 == 3, F.lit("$name")).when(k % 6 == 4, F.concat(F.lit("  'plain "), k.cast("string"), F.lit("' "))).otherwise(F.lit("a/$b.ps1"))
+    return corpus.table(spark, sf_dir, "part").select("p_partkey", links.script_path(raw).alias("path"))
+
+
+@query(r"""SELECT p_partkey, regexp_replace(p_name, '[*`\[\]]', '', 'g') || ' x' AS title, 'p_' || lower(p_brand) AS name, CASE WHEN p_partkey % 2 = 0 THEN 'a.canvas|b.CANVAS' ELSE '' END AS canvases, CASE WHEN p_partkey % 2 = 0 THEN 'folder' ELSE p_name END AS folders FROM part""")
+def titles_and_links(spark, sf_dir):
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("\n ## "), "p_name", F.lit(" *`x`*\nmore"))
+    body = F.when(k % 2 == 0, F.lit("see [[a.canvas|A]], [[b.CANVAS#n1]] and [[folder]]")).otherwise(F.concat(F.lit("only [["), "p_name", F.lit("]]")))
+    none = F.lit(None).cast("string")
+    return corpus.table(spark, sf_dir, "part").select(
+        "p_partkey", values.text_title(text).alias("title"), values.sql_name(F.concat(F.lit("\"P_["), "p_brand", F.lit("]\""))).alias("name"),
+        F.array_join(links.canvas_links(F.lit("text"), none, none, body), "|").alias("canvases"), F.array_join(links.folder_links(F.lit("text"), none, body), "|").alias("folders"))
+
+
+@query(r"""SELECT o_orderkey, CASE WHEN v >= 1e6 THEN printf('$%.2fM', floor(v / 1e4) / 100) WHEN v >= 1e3 THEN printf('$%.1fk', floor(v / 1e2) / 10) WHEN v >= 10 THEN printf('$%.0f', floor(v)) ELSE printf('$%.2f', floor(v * 100) / 100) END AS shown,
+  strftime(make_timestamp(o_orderkey * 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM (SELECT o_orderkey, o_totalprice * CASE o_orderkey % 4 WHEN 0 THEN 1000 WHEN 1 THEN 1 WHEN 2 THEN 0.001 ELSE 0.00001 END::DOUBLE AS v FROM orders)""")
+def short_numbers(spark, sf_dir):
+    k = F.col("o_orderkey")
+    v = F.col("o_totalprice") * F.when(k % 4 == 0, 1000.0).when(k % 4 == 1, 1.0).when(k % 4 == 2, 0.001).otherwise(0.00001)
+    # cut to the digits shown, so that engines that round ties apart agree
+    v = F.when(v >= 1e6, F.floor(v / 1e4) * 1e4).when(v >= 1e3, F.floor(v / 1e2) * 1e2).when(v >= 10, F.floor(v).cast("double")).otherwise(F.floor(v * 100) / 100)
+    return corpus.table(spark, sf_dir, "orders").select("o_orderkey", values.short_number(v, "$").alias("shown"), values.iso_utc(k * 1000).alias("stamp"))
+
+
+@query()
+def file_hashes(spark, sf_dir):
+    """FNV-1a of each text, for comparison with stored hashes, and the colour of its folder."""
+    return corpus.files(spark, sf_dir).select("file_id", values.fnv1a_hex("text").alias("hash"), values.folder_colour(paths.dirname(F.col("path"))).alias("colour"))
+
+
+# --- file statistics -----------------------------------------------------------
+
+
+LINES_SQL = r"""lines AS (SELECT file_id, path, language, text, len(text) - len(replace(text, chr(10), '')) + CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 0 ELSE 1 END AS lines,
+  len(list_filter(string_split(text, chr(10)), lambda x: regexp_full_match(x, '[ \t\r\f]*'))) - CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END AS blank_lines, strlen(text)::INTEGER AS chars FROM files)"""
+
+
+@query(WITH_FILES + ", " + LINES_SQL + "SELECT file_id, lines::INTEGER AS lines, blank_lines::INTEGER AS blank_lines, chars FROM lines")
+def file_line_stats(spark, sf_dir):
+    return filestats.line_stats(corpus.files(spark, sf_dir))
+
+
+def _indented(spark, sf_dir):
+    """Sentences as lines of code, indented by their length."""
+    lines = F.split("text", r"[.\n]")
+    made = F.array_join(F.transform(lines, lambda x, i: F.concat(F.when(i % 5 == 4, F.lit("\t")).otherwise(F.lit("")), F.repeat(F.lit(" "), F.length(x) % 9), F.trim(x))), "\n")
+    return corpus.files(spark, sf_dir).withColumn("text", made)
+
+
+@query(WITH_FILES + r""", made AS (SELECT file_id, generate_subscripts(l, 1) - 1 AS n, unnest(l) AS x FROM (SELECT file_id, string_split_regex(text, '[.\n]') AS l FROM files)),
+  w AS (SELECT file_id, n, CASE WHEN n % 5 = 4 THEN 4 ELSE 0 END + length(x) % 9 AS w FROM made WHERE trim(x, ' ') <> ''),
+  up AS (SELECT file_id, n, w, w - lag(w) OVER (PARTITION BY file_id ORDER BY n) AS up FROM w),
+  c AS (SELECT file_id, up, count(*) AS c FROM up WHERE up BETWEEN 1 AND 8 GROUP BY 1, 2),
+  s AS (SELECT file_id, up FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY c DESC, up) AS r FROM c) WHERE r = 1)
+  SELECT f.file_id, coalesce((m.widest // s.up), 0)::INTEGER AS max_indent FROM files f LEFT JOIN (SELECT file_id, max(w) AS widest FROM w GROUP BY 1) m ON m.file_id = f.file_id LEFT JOIN s ON s.file_id = f.file_id""")
+def file_max_indent(spark, sf_dir):
+    return filestats.max_indent(_indented(spark, sf_dir))
+
+
+@query("SELECT o_custkey AS file_id, string_agg(complexity || ':' || o_orderkey, ',' ORDER BY complexity DESC, o_orderkey) AS hot FROM (SELECT o_custkey, o_orderkey, (o_totalprice::BIGINT % 40) AS complexity, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_totalprice::BIGINT % 40) DESC, o_orderkey) AS r FROM (SELECT o_custkey, o_orderkey, floor(o_totalprice) AS o_totalprice FROM orders) WHERE (o_totalprice::BIGINT % 40) >= 10) WHERE r <= 5 GROUP BY 1")
+def hot_functions_topk(spark, sf_dir):
+    f = corpus.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("line"), (F.floor("o_totalprice").cast("long") % 40).alias("complexity"), F.lit("f").alias("name"))
+    hot = filestats.hot_functions(f)
+    return hot.select("file_id", F.array_join(F.transform("hot", lambda x: F.concat_ws(":", x["complexity"], x["line"])), ",").alias("hot"))
+
+
+@query("SELECT o_orderkey, 5.0 + 11.0 * least(1.0::DOUBLE, log10(greatest((o_orderkey % 9000)::DOUBLE, 1.0::DOUBLE)) / log10(5000.0::DOUBLE)) AS size FROM orders")
+def node_size(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "orders").select("o_orderkey", values.node_size(F.col("o_orderkey") % 9000).alias("size"))
+
+
+# --- resolution ----------------------------------------------------------------
+
+
+PAGE_PATH = "'/site' || regexp_replace(regexp_extract(url, '^https?://[^/]*([^?#]*)', 1), '/$', '') || '.html'"
+SITE_SQL = "WITH " + HREFS_SQL + f""", page AS (SELECT page_id, {PAGE_PATH} AS path FROM pages),
+  decls AS (SELECT page_id AS file_id, 0 AS seq, path AS key FROM page UNION ALL
+    SELECT 10000000 + page_id, 1, '/site' || CASE WHEN length(raw) % 2 = 0 THEN '/en' ELSE '' END || raw || CASE WHEN length(raw) % 3 = 1 THEN '.html' ELSE '/index.html' END FROM hrefs WHERE length(raw) % 3 > 0 AND page_id % 5 = 0),
+  symbols AS (SELECT key, max(file_id) AS file_id FROM decls GROUP BY key),
+  link AS (SELECT h.page_id AS file_id, h.seq, p.path, regexp_extract(raw, '^([^?#]*)', 1) AS l FROM hrefs h JOIN page p USING (page_id)),
+  probes AS (SELECT file_id, seq, d * 4 + e AS pos, base || ext AS key FROM (
+    SELECT file_id, seq, 0 AS d, l AS base FROM link UNION ALL SELECT file_id, seq, 1, regexp_replace(path, '/[^/]*$', '') || l FROM link
+    UNION ALL SELECT file_id, seq, 2, '/site' || l FROM link WHERE path LIKE '/site/%/%' UNION ALL SELECT file_id, seq, 3, l FROM link)
+    CROSS JOIN (VALUES (0, ''), (1, '/index.html'), (2, '/index.htm'), (3, '.html')) AS x(e, ext)),
+  hits AS (SELECT p.file_id, p.seq, arg_min(s.file_id, p.pos) AS target FROM probes p JOIN symbols s USING (key) GROUP BY 1, 2),
+  resolved AS (SELECT l.file_id, l.seq, h.target FROM link l LEFT JOIN hits h USING (file_id, seq))"""
+
+
+def _web(spark, sf_dir):
+    """Declarations and references of the pages, resolved."""
+    page_path = F.concat(F.lit("/site"), F.regexp_replace(F.regexp_extract("url", r"^https?://[^/]*([^?#]*)", 1), "/$", ""), F.lit(".html"))
+    pages = corpus.table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), page_path.alias("path"))
+    h = _hrefs(spark, sf_dir).filter((F.length("raw") % 3 > 0) & (F.col("page_id") % 5 == 0))
+    named = F.concat(F.lit("/site"), F.when(F.length("raw") % 2 == 0, "/en").otherwise(""), "raw", F.when(F.length("raw") % 3 == 1, ".html").otherwise("/index.html"))
+    decls = pages.select("file_id", F.lit(0).alias("seq"), F.col("path").alias("key")).unionByName(h.select((F.col("page_id") + 10_000_000).alias("file_id"), F.lit(1).alias("seq"), named.alias("key")))
+    refs = _hrefs(spark, sf_dir).withColumnRenamed("page_id", "file_id").join(pages, "file_id")
+    refs = refs.select("file_id", "seq", F.lit("html").alias("language"), "path", F.lit("IMPORT_PATH").alias("kind"), links.weblink(F.col("raw")).alias("raw"))
+    refs = refs.filter("raw is not null").withColumn("candidates", resolve.weblink(F.col("path"), F.col("raw"), resolve.SUFFIXES["html"]))
+    return pages, decls, resolve.ordered_probe(refs, resolve.symbols(decls))
+
+
+@query(SITE_SQL + "SELECT key, file_id FROM symbols")
+def symbol_last_wins(spark, sf_dir):
+    return resolve.symbols(_web(spark, sf_dir)[1])
+
+
+@query(SITE_SQL + "SELECT file_id, seq::INTEGER AS seq, target FROM resolved")
+def resolve_ordered_probe(spark, sf_dir):
+    return _web(spark, sf_dir)[2].select("file_id", "seq", "target")
+
+
+@query(SITE_SQL + "SELECT p.page_id AS file_id, count(r.file_id) FILTER (WHERE r.target IS NULL) AS unresolved FROM page p LEFT JOIN resolved r ON r.file_id = p.page_id GROUP BY 1")
+def unresolved_counts(spark, sf_dir):
+    pages, _, resolved = _web(spark, sf_dir)
+    return resolve.unresolved(pages, resolved)
+
+
+@query(SITE_SQL + "SELECT DISTINCT file_id AS source, target, 'import' AS kind FROM resolved WHERE target IS NOT NULL AND target <> file_id")
+def edge_dedupe(spark, sf_dir):
+    return resolve.edges(_web(spark, sf_dir)[2])
+
+
+@query("SELECT o_custkey AS file_id, string_agg(o_orderpriority, '|' ORDER BY o_orderkey) AS imports FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1")
+def import_lists(spark, sf_dir):
+    kind = F.when(F.col("o_orderstatus") == "F", "TYPE_NAME").when(F.col("o_orderstatus") == "O", "IMPORT_PATH").otherwise("MODULE_REQUIRE")
+    refs = corpus.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file_id"), F.col("o_orderkey").alias("seq"), kind.alias("kind"), F.col("o_orderpriority").alias("raw"))
+    return resolve.imports_of(refs).select("file_id", F.array_join("imports", "|").alias("imports"))
+
+
+# --- graph ---------------------------------------------------------------------
+
+
+@query(WITH_EDGES + "SELECT id, (SELECT count(*) FROM pairs WHERE target = id) AS fan_in, (SELECT count(*) FROM pairs WHERE source = id) AS fan_out FROM nodes")
+def fan_in_out(spark, sf_dir):
+    return graph.fan(corpus.trade_nodes(spark, sf_dir), corpus.trade_edges(spark, sf_dir))
+
+
+@query(WITH_EDGES + "SELECT id, (SELECT count(*) FROM reach WHERE v = id AND u <> id) AS blast_radius FROM nodes")
+def closure_blast_radius(spark, sf_dir):
+    return graph.blast_radius(corpus.trade_nodes(spark, sf_dir), graph.closure(corpus.trade_edges(spark, sf_dir)))
+
+
+CYCLES_SQL = WITH_EDGES + ", mutual AS (SELECT a.u AS id, least(a.u, min(a.v)) AS root FROM reach a JOIN reach b ON a.u = b.v AND a.v = b.u GROUP BY a.u), sizes AS (SELECT root, count(*) AS n FROM mutual GROUP BY root HAVING count(*) > 1), cyc AS (SELECT n.id, s.root AS cycle_id, coalesce(s.n, 0) AS cycle_size FROM nodes n LEFT JOIN mutual m ON m.id = n.id LEFT JOIN sizes s ON s.root = m.root)"
+
+
+@query(CYCLES_SQL + "SELECT * FROM cyc")
+def scc_cycles(spark, sf_dir):
+    return graph.cycles(corpus.trade_nodes(spark, sf_dir), graph.closure(corpus.trade_edges(spark, sf_dir)))
+
+
+@query(CYCLES_SQL + "SELECT * FROM cyc")
+def scc_cycles_large(spark, sf_dir):
+    return graph.cycles_large(corpus.trade_nodes(spark, sf_dir), corpus.trade_edges(spark, sf_dir))
+
+
+@query(CYCLES_SQL + "SELECT c.id, array_to_string(list_slice(list_sort(list(m.id)), 1, 4), ',') AS mates, greatest(any_value(c.cycle_size) - 5, 0) AS more FROM cyc c JOIN cyc m ON m.cycle_id = c.cycle_id AND m.id <> c.id GROUP BY c.id")
+def cycle_mates(spark, sf_dir):
+    c = graph.cycles(corpus.trade_nodes(spark, sf_dir), graph.closure(corpus.trade_edges(spark, sf_dir)))
+    return graph.cycle_mates(c).select("id", F.array_join(F.transform("mates", lambda x: x.cast("string")), ",").alias("mates"), "more")
+
+
+@query(WITH_EDGES + "SELECT source, target, kind FROM edges WHERE source = 3 OR target = 3")
+def neighbours(spark, sf_dir):
+    return graph.neighbours(corpus.trade_edges(spark, sf_dir), 3)
+
+
+@query(WITH_EDGES + "SELECT target AS id, count(*) AS uses FROM edges GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def top_depended_on(spark, sf_dir):
+    return graph.top_depended(corpus.trade_edges(spark, sf_dir))
+
+
+@query(WITH_FILES + "SELECT language, count(*) AS n, min(file_id) AS first_id FROM files GROUP BY 1 ORDER BY 3 LIMIT 32")
+def language_histogram(spark, sf_dir):
+    return graph.language_histogram(corpus.files(spark, sf_dir).withColumnRenamed("file_id", "id"))
+
+
+SCORES_SQL = WITH_FILES + f", commits AS ({corpus.COMMITS_SQL}), hist AS (SELECT path, count(*) AS git_commits, count(DISTINCT author) AS git_authors, max(ts) AS git_last_commit FROM commits GROUP BY 1), " + LINES_SQL + ", stats AS (SELECT l.file_id AS id, h.git_commits AS commits, (len(regexp_extract_all(text, '[.,]')))::BIGINT AS complexity, lines, l.language FROM lines l LEFT JOIN hist h ON h.path = l.path)"
+
+
+def _stats(spark, sf_dir):
+    """Commits, complexity (sentence and clause ends) and lines of each document."""
+    f = corpus.files(spark, sf_dir)
+    h = history.file_history(corpus.commits(spark, sf_dir)).select("path", F.col("git_commits").alias("commits"))
+    per = f.select("file_id", "path", "language", F.regexp_count("text", F.lit("[.,]")).cast("long").alias("complexity")).join(filestats.line_stats(f), "file_id")
+    return per.join(h, "path", "left").withColumnRenamed("file_id", "id")
+
+
+@query(SCORES_SQL + "SELECT s.id, r.hotspot_rank FROM stats s LEFT JOIN (SELECT id, row_number() OVER (ORDER BY commits * complexity DESC, id) AS hotspot_rank FROM stats WHERE commits > 0 AND complexity > 0) r ON r.id = s.id")
+def hotspot_rank(spark, sf_dir):
+    return graph.hotspots(_stats(spark, sf_dir).select("id", "commits", "complexity"))
+
+
+@query(SCORES_SQL + "SELECT id, complexity AS score FROM stats WHERE complexity > 0 ORDER BY 2 DESC, 1 LIMIT 3")
+def top_complex(spark, sf_dir):
+    return graph.top_scores(_stats(spark, sf_dir).select("id", F.col("complexity").alias("score")))
+
+
+@query(WITH_FILES + ", " + LINES_SQL + "SELECT file_id AS id, round(2.4 * pow((lines - blank_lines) / 1000.0::DOUBLE, 1.05::DOUBLE) * (56286.0::DOUBLE / 12) * 2.4, 4) AS score FROM lines WHERE language NOT IN ('markdown', 'json') AND lines > blank_lines ORDER BY lines - blank_lines DESC, 1 LIMIT 3")
+def top_value(spark, sf_dir):
+    t = totals.code_totals(_code(spark, sf_dir), "file_id")
+    return graph.top_scores(totals.estimated(t).select(F.col("file_id").alias("id"), F.round("value", 4).alias("score")))
+
+
+# --- history -------------------------------------------------------------------
+
+
+@query(WITH_FILES + f", commits AS ({corpus.COMMITS_SQL}) SELECT path, count(*) AS git_commits, count(DISTINCT author) AS git_authors, max(ts) AS git_last_commit FROM commits GROUP BY 1")
+def git_file_stats(spark, sf_dir):
+    return history.file_history(corpus.commits(spark, sf_dir))
+
+
+@query(WITH_FILES + f", commits AS ({corpus.COMMITS_SQL}), h AS (SELECT path, count(*) AS c, count(DISTINCT author) AS a, max(ts) AS t FROM commits GROUP BY 1), f AS (SELECT path, path LIKE '/corpus/src1/%' OR path LIKE '/corpus/src2/en/%' AS repo FROM files) SELECT f.path, CASE WHEN repo THEN coalesce(c, 0) END AS git_commits, CASE WHEN repo THEN coalesce(a, 0) END AS git_authors, CASE WHEN repo THEN t END AS git_last_commit FROM f LEFT JOIN h ON h.path = f.path")
+def git_tri_state(spark, sf_dir):
+    roots = spark.createDataFrame([("/corpus/src1",), ("/corpus/src2/en",)], "root string")
+    h = history.file_history(corpus.commits(spark, sf_dir))
+    return history.with_history(corpus.files(spark, sf_dir).select("path"), h, roots)
+
+
+# --- duplicates ----------------------------------------------------------------
+
+
+def _tokens(spark, sf_dir):
+    """Words of documents as tokens, eight to a row."""
+    t = F.filter(F.split("text", r"[ \n]+"), lambda x: x != "")
+    rows = corpus.files(spark, sf_dir).select("file_id", t.alias("toks"))
+    return rows.withColumn("rows", F.transform("toks", lambda x, i: (i / 8).cast("int") + 1))
+
+
+TOKENS_SQL = """WITH toks AS (SELECT doc_id AS file_id, list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> '') AS toks FROM documents),
+  wins AS (SELECT file_id, toks, unnest(range(0, len(toks) - 49)) AS pos FROM toks WHERE len(toks) >= 50),
+  keyed AS (SELECT file_id, pos::INTEGER AS pos, md5(array_to_string(toks[pos + 1 : pos + 50], chr(1))) AS h FROM wins),
+  ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY file_id, pos) AS r FROM keyed) WHERE r <= 64),
+  bucketed AS (SELECT file_id, pos, h FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM ranked) WHERE n > 1),
+  cand AS (SELECT a.file_id AS fa, a.pos AS pa, b.file_id AS fb, b.pos AS pb FROM bucketed a JOIN bucketed b ON a.h = b.h AND (a.file_id < b.file_id OR (a.file_id = b.file_id AND a.pos < b.pos))),
+  starts AS (SELECT c.*, x.toks AS ta, y.toks AS tb FROM cand c JOIN toks x ON x.file_id = fa JOIN toks y ON y.file_id = fb WHERE pa = 0 OR pb = 0 OR x.toks[pa] <> y.toks[pb]),
+  runs AS (SELECT fa, pa, fb, pb, least(len(ta) - pa, len(tb) - pb) AS most, list_position(list_transform(range(1, least(len(ta) - pa, len(tb) - pb) + 1), lambda i: ta[pa + i] = tb[pb + i]), false) AS d FROM starts),
+  found AS (SELECT fa, pa, fb, pb, (CASE WHEN fa = fb THEN least(n, pb - pa) ELSE n END)::INTEGER AS n FROM (SELECT *, CASE WHEN d IS NULL OR d = 0 THEN most ELSE d - 1 END AS n FROM runs) WHERE CASE WHEN fa = fb THEN least(n, pb - pa) ELSE n END >= 50),
+  clones AS (SELECT fa AS a, (pa // 8 + 1)::INTEGER AS a_line, ((pa + n - 1) // 8 + 1)::INTEGER AS a_end, fb AS b, (pb // 8 + 1)::INTEGER AS b_line, ((pb + n - 1) // 8 + 1)::INTEGER AS b_end FROM found
+    WHERE (pa + n - 1) // 8 - pa // 8 >= 4 AND (pb + n - 1) // 8 - pb // 8 >= 4 ORDER BY a, a_line, b, b_line, a_end, b_end LIMIT 20000)""".replace("\\\\", "\\")
+
+
+@query(TOKENS_SQL + "SELECT file_id, count(*) AS windows, count(DISTINCT h) AS distinct_windows FROM keyed GROUP BY 1")
+def token_windows(spark, sf_dir):
+    return clones.windows(_tokens(spark, sf_dir)).groupBy("file_id").agg(F.count(F.lit(1)).alias("windows"), F.countDistinct("h").alias("distinct_windows"))
+
+
+def _clones(spark, sf_dir):
+    t = _tokens(spark, sf_dir)
+    b = clones.buckets(clones.windows(t))
+    return clones.located(clones.pairs(b, t), t)
+
+
+@query(TOKENS_SQL + "SELECT * FROM clones")
+def clone_pairs(spark, sf_dir):
+    return _clones(spark, sf_dir)
+
+
+@query(TOKENS_SQL + """, side AS (SELECT a AS file_id, a_line AS line, a_end AS stop, b AS of, b_line AS ol FROM clones UNION ALL SELECT b, b_line, b_end, a, a_line FROM clones),
+  m AS (SELECT *, max(stop) OVER (PARTITION BY file_id ORDER BY line, stop, of, ol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM side),
+  i AS (SELECT *, sum(CASE WHEN high IS NULL OR line > high THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line, stop, of, ol ROWS UNBOUNDED PRECEDING) AS island FROM m)
+  SELECT file_id, min(line) AS line, max(stop) AS stop, count(DISTINCT (of, ol)) AS places FROM i GROUP BY file_id, island""")
+def clone_interval_merge(spark, sf_dir):
+    return clones.merged_stretches(_clones(spark, sf_dir))
+
+
+# --- cost ----------------------------------------------------------------------
+
+
+def _code(spark, sf_dir):
+    """Statistics of documents as code: comment lines are those that begin with a capital D, complexity counts commas."""
+    f = corpus.files(spark, sf_dir)
+    more = f.select("file_id", "path", "language", F.split("path", "/")[2].alias("grp"), F.lit(0).alias("comment_lines"), F.when(F.col("language") == "python", F.regexp_count("text", F.lit(",")) + 1).alias("complexity"))
+    return more.join(filestats.line_stats(f), "file_id")
+
+
+CODE_SQL = WITH_FILES + ", " + LINES_SQL + """, code AS (SELECT file_id, path, language, split_part(path, '/', 3) AS grp, CASE WHEN language IN ('markdown', 'json') THEN 0 ELSE lines - blank_lines END AS n, chars, CASE WHEN language = 'python' THEN len(regexp_extract_all(text, ',')) + 1 END AS complexity FROM lines),
+  totals AS (SELECT grp, sum(n)::BIGINT AS sloc, sum(chars)::BIGINT AS chars, coalesce(sum(complexity), 0)::BIGINT AS decisions, coalesce(sum(CASE WHEN complexity IS NOT NULL THEN n END), 0)::BIGINT AS decision_sloc, count(*) AS files FROM code WHERE n > 0 GROUP BY grp),
+  groups AS (SELECT g.grp, coalesce(sloc, 0) AS sloc, coalesce(chars, 0) AS chars, coalesce(decisions, 0) AS decisions, coalesce(decision_sloc, 0) AS decision_sloc, coalesce(files, 0) AS files FROM (SELECT DISTINCT grp FROM code) g LEFT JOIN totals t ON t.grp = g.grp),
+  est AS (SELECT *, CASE WHEN sloc > 0 THEN 2.4::DOUBLE * pow(sloc / 1000.0::DOUBLE, 1.05::DOUBLE) ELSE 0 END AS effort, CASE WHEN sloc > 0 THEN chars / 4.0::DOUBLE ELSE 0 END AS kept,
+    CASE WHEN sloc > 0 THEN 300.0::DOUBLE * coalesce(least(greatest(decisions / nullif(decision_sloc, 0)::DOUBLE / 0.2::DOUBLE, 0.5::DOUBLE), 2.0::DOUBLE), 1.0::DOUBLE) * (1.0 + 0.5::DOUBLE * log10(greatest(sloc / 1000.0::DOUBLE, 1.0::DOUBLE))) ELSE 0 END AS multiplier FROM groups)"""
+
+
+@query(CODE_SQL + "SELECT * FROM groups")
+def code_totals(spark, sf_dir):
+    return totals.code_totals(_code(spark, sf_dir), "grp")
+
+
+@query(CODE_SQL + "SELECT sum(sloc)::BIGINT AS sloc, sum(chars)::BIGINT AS chars, sum(decisions)::BIGINT AS decisions, sum(decision_sloc)::BIGINT AS decision_sloc, sum(files)::BIGINT AS files FROM groups")
+def totals_merge(spark, sf_dir):
+    """Totals of groups merged into those of the whole."""
+    return totals.merge(totals.code_totals(_code(spark, sf_dir), "grp"))
+
+
+@query(CODE_SQL + "SELECT grp, sloc, round(effort, 6) AS effort_months, round(CASE WHEN sloc > 0 THEN 2.5::DOUBLE * pow(effort, 0.38::DOUBLE) ELSE 0 END, 6) AS schedule_months, round(CASE WHEN sloc > 0 THEN effort / (2.5::DOUBLE * pow(effort, 0.38::DOUBLE)) ELSE 0 END, 6) AS people, round(effort * (56286.0::DOUBLE / 12) * 2.4::DOUBLE, 4) AS cost FROM est")
+def cocomo_by_group(spark, sf_dir):
+    e = totals.estimated(totals.code_totals(_code(spark, sf_dir), "grp"))
+    return e.select("grp", "sloc", F.round("effort_months", 6).alias("effort_months"), F.round("schedule_months", 6).alias("schedule_months"), F.round("people", 6).alias("people"), F.round("cost", 4).alias("cost"))
+
+
+@query(CODE_SQL + "SELECT grp, round(kept, 6) AS tokens_kept, round(multiplier, 6) AS multiplier, round(kept * multiplier, 2) AS tokens_spent, round(kept * multiplier / 1e6::DOUBLE * 10.0::DOUBLE, 6) AS ai_cost FROM est")
+def ai_cost_by_group(spark, sf_dir):
+    e = totals.estimated(totals.code_totals(_code(spark, sf_dir), "grp"))
+    return e.select("grp", F.round("tokens_kept", 6).alias("tokens_kept"), F.round("multiplier", 6).alias("multiplier"), F.round("tokens_spent", 2).alias("tokens_spent"), F.round("ai_cost", 6).alias("ai_cost"))
+
+
+@query(CODE_SQL + "SELECT grp, round(CASE WHEN sloc > 0 THEN 3.0::DOUBLE * pow(round(sloc * 0.75::DOUBLE) / 1000.0::DOUBLE, 1.12::DOUBLE) * (56286.0::DOUBLE / 12) * 2.4::DOUBLE ELSE 0 END + 0.25::DOUBLE * kept * multiplier / 1e6::DOUBLE * 10.0::DOUBLE, 4) AS value FROM est")
+def value_by_group(spark, sf_dir):
+    e = totals.estimated(totals.code_totals(_code(spark, sf_dir), "grp"), CostParams(mode="semi-detached", ai_share=0.25))
+    return e.select("grp", F.round("value", 4).alias("value"))
+
+
+@query(CODE_SQL + "SELECT coalesce(sum(n), 0)::BIGINT AS sloc, count(*) AS files FROM code WHERE n > 0 AND file_id % 10 = 3")
+def selection_cost(spark, sf_dir):
+    """Totals of a selected set of files."""
+    chosen = corpus.files(spark, sf_dir).filter("file_id % 10 = 3").select("path")
+    return totals.selected(_code(spark, sf_dir), chosen).select("sloc", "files")
+
+
+@query("SELECT 1 AS n, sum(sloc)::BIGINT AS sloc, sum(files)::BIGINT AS files FROM (SELECT 0 AS sloc, 0 AS files WHERE false) HAVING false UNION ALL SELECT * FROM (" + CODE_SQL + """, start AS (SELECT range AS start FROM range(0, 5)),
+  below AS (SELECT start, CASE k WHEN 0 THEN start ELSE start + 5 END AS g FROM start CROSS JOIN range(0, 2) t(k) UNION SELECT start, 10 + start % 2 FROM start)
+  SELECT b.start::INTEGER AS n, sum(c.n)::BIGINT AS sloc, count(*) AS files FROM below b JOIN code c ON c.grp = 'src' || b.g WHERE c.n > 0 GROUP BY 1)""")
+def rollup_once_per_file(spark, sf_dir):
+    """Diagram i links to diagrams i + 5 and 10 + i % 2, directly and around a cycle; each stands for a source's folder, i + 5 also for a folder inside it."""
+    c = lambda k: F.concat(F.lit("/maps/"), k.cast("string"), F.lit(".canvas"))
+    i = spark.range(5)
+    step = i.select(c(F.col("id")).alias("canvas"), c(F.col("id") + 5).alias("target")).unionByName(i.select(c(F.col("id") + 5).alias("canvas"), c(10 + F.col("id") % 2).alias("target"))).unionByName(i.select(c(F.col("id") + 5).alias("canvas"), c(F.col("id")).alias("target")))
+    k = spark.range(12)
+    folders = k.select(c(F.col("id")).alias("canvas"), F.concat(F.lit("/corpus/src"), F.col("id").cast("string")).alias("folder"))
+    folders = folders.unionByName(k.filter("id >= 5").select(c(F.col("id")).alias("canvas"), F.concat(F.lit("/corpus/src"), F.col("id").cast("string"), F.lit("/en")).alias("folder")))
+    starts = i.select(F.col("id").cast("int").alias("start"), c(F.col("id")).alias("canvas"))
+    out = canvas.rollup(starts, step, folders, _code(spark, sf_dir))
+    return out.filter("files > 0").select(F.col("start").alias("n"), "sloc", "files")
+
+
+# --- diagrams --------------------------------------------------------------------
+
+
+@query(WITH_BOXES + "SELECT canvas, ord, id FROM boxes WHERE type = 'text' AND contains(lower('# ' || p_name || chr(10) || p_type), 'blue bolt') ORDER BY canvas, ord LIMIT 200")
+def text_search(spark, sf_dir):
+    return canvas.search(canvas.entries(corpus.boxes(spark, sf_dir).filter("type = 'text'")), "Blue BOLT").select("canvas", "ord", "id")
+
+
+@query(WITH_BOXES + "SELECT b.canvas, b.id, (SELECT g.id FROM boxes g WHERE g.canvas = b.canvas AND g.type = 'group' AND b.x + b.w / 2 BETWEEN g.x AND g.x + g.w AND b.y + b.h / 2 BETWEEN g.y AND g.y + g.h ORDER BY g.w * g.h, g.ord LIMIT 1) AS group_id FROM boxes b WHERE b.type <> 'group'")
+def containing_group(spark, sf_dir):
+    return canvas.containing_group(corpus.boxes(spark, sf_dir))
+
+
+@query(WITH_BOXES + "SELECT a.canvas, a.id AS a, b.id AS b FROM boxes a JOIN boxes b ON a.canvas = b.canvas AND a.ord < b.ord WHERE a.type <> 'group' AND b.type <> 'group' AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h")
+def box_overlap(spark, sf_dir):
+    return canvas.overlaps(corpus.boxes(spark, sf_dir), 100.0)
+
+
+@query(WITH_BOXES + "SELECT b.canvas, b.id, g.id AS group_id FROM boxes b JOIN boxes g ON b.canvas = g.canvas AND g.type = 'group' WHERE b.type <> 'group' AND b.x < g.x + g.w AND g.x < b.x + b.w AND b.y < g.y + g.h AND g.y < b.y + b.h AND NOT (b.x >= g.x AND b.y >= g.y AND b.x + b.w <= g.x + g.w AND b.y + b.h <= g.y + g.h)")
+def box_straddle(spark, sf_dir):
+    return canvas.straddles(corpus.boxes(spark, sf_dir), 100.0)
+
+
+TITLES_SQL = WITH_BOXES + ", titled AS (SELECT canvas, id, ord, type, CASE type WHEN 'text' THEN p_name WHEN 'group' THEN p_name ELSE 'Brand_' || (ord * 7) % 5 + 1 || '.canvas' END AS title FROM boxes)"
+
+
+@query(TITLES_SQL + "SELECT l.canvas, l.ord, a.title AS from_title, CASE WHEN from_end = 'arrow' AND to_end IS NULL THEN '<->' WHEN to_end IS NULL THEN '->' WHEN from_end = 'arrow' THEN '<-' ELSE '--' END AS arrow, b.title AS to_title, coalesce(l.label, '') AS label FROM links l JOIN titled a ON a.canvas = l.canvas AND a.id = l.from_node JOIN titled b ON b.canvas = l.canvas AND b.id = l.to_node")
+def connections(spark, sf_dir):
+    return canvas.connections(corpus.boxes(spark, sf_dir), corpus.box_edges(spark, sf_dir))
+
+
+@query(WITH_BOXES + "SELECT l.canvas, l.id, l.to_node AS missing FROM links l WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.canvas = l.canvas AND b.id = l.to_node)")
+def dangling_edges(spark, sf_dir):
+    return canvas.dangling(corpus.boxes(spark, sf_dir), corpus.box_edges(spark, sf_dir))
+
+
+@query(TITLES_SQL + ", weak AS (SELECT canvas, id, '/maps/Brand_' || (ord * 7) % 5 + 1 || '.canvas' AS target_canvas, 'n' || ord + 1 AS target_id FROM boxes WHERE type = 'file') SELECT w.canvas, w.id, w.target_canvas, w.target_id, t.title FROM weak w LEFT JOIN titled t ON t.canvas = w.target_canvas AND t.id = w.target_id".replace("|| (ord * 7) % 5 + 1 ||", "|| ((ord * 7) % 5 + 1) ||").replace("'n' || ord + 1", "'n' || (ord + 1)"))
+def weak_link_targets(spark, sf_dir):
+    return canvas.weak_targets(corpus.boxes(spark, sf_dir))
+
+
+@query(WITH_BOXES + ", gone AS (SELECT canvas, id FROM boxes WHERE ord % 4 = 1) SELECT l.canvas, l.id FROM links l WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.canvas = l.canvas AND g.id IN (l.from_node, l.to_node))")
+def remove_nodes(spark, sf_dir):
+    b = corpus.boxes(spark, sf_dir)
+    return canvas.without_nodes(b, corpus.box_edges(spark, sf_dir), b.filter("ord % 4 = 1").select("canvas", "id"))[1].select("canvas", "id")
+
+
+def _tree(spark, sf_dir):
+    """Customers as diagrams: k links to 2k + 1, 2k + 2 and k / 3; every fortieth is missing, so that some can't be reached."""
+    c = corpus.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).filter("k % 40 <> 39")
+    name = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    step = c.select(name(F.col("k")).alias("canvas"), F.explode(F.array(2 * F.col("k") + 1, 2 * F.col("k") + 2, F.floor(F.col("k") / 3))).alias("t")).select("canvas", name(F.col("t")).alias("target"))
+    return c.select(name(F.col("k")).alias("canvas")), step
+
+
+TREE_SQL = """WITH RECURSIVE c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 40 <> 39),
+  step AS (SELECT DISTINCT 'c' || k AS canvas, 'c' || t AS target FROM (SELECT k, unnest([2 * k + 1, 2 * k + 2, k // 3]) AS t FROM c) WHERE t IN (SELECT k FROM c)),
+  walk AS (SELECT 'c1' AS canvas, NULL::VARCHAR AS parent, 0 AS level UNION SELECT s.target, s.canvas, w.level + 1 FROM walk w JOIN step s ON s.canvas = w.canvas WHERE w.level < 14),
+  best AS (SELECT canvas, parent, level FROM (SELECT *, row_number() OVER (PARTITION BY canvas ORDER BY level, parent) AS r FROM walk) WHERE r = 1)"""
+
+
+@query(TREE_SQL + "SELECT * FROM best")
+def canvas_index(spark, sf_dir):
+    every, step = _tree(spark, sf_dir)
+    return canvas.reachable(every.filter("canvas = 'c1'"), step, every)
+
+
+@query(TREE_SQL + ", trails AS (SELECT canvas, canvas AS trail FROM best WHERE parent IS NULL UNION ALL SELECT b.canvas, t.trail || ' > ' || b.canvas FROM best b JOIN trails t ON b.parent = t.canvas) SELECT * FROM trails")
+def breadcrumbs(spark, sf_dir):
+    every, step = _tree(spark, sf_dir)
+    return canvas.breadcrumbs(canvas.reachable(every.filter("canvas = 'c1'"), step, every))
+
+
+@query(TREE_SQL + "SELECT 'c' || k AS canvas FROM c WHERE 'c' || k NOT IN (SELECT canvas FROM best)")
+def unreachable(spark, sf_dir):
+    every, step = _tree(spark, sf_dir)
+    return every.join(canvas.reachable(every.filter("canvas = 'c1'"), step, every), "canvas", "left_anti")
+
+
+@query(WITH_BOXES + ", g AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY canvas ORDER BY y, x, ord) > 40 THEN 1 ELSE 0 END AS new FROM boxes), r AS (SELECT *, sum(new) OVER (PARTITION BY canvas ORDER BY y, x, ord ROWS UNBOUNDED PRECEDING) AS row FROM g) SELECT canvas, id, row_number() OVER (PARTITION BY canvas ORDER BY row, x, y, ord) AS place FROM r")
+def reading_order(spark, sf_dir):
+    return canvas.reading_order(corpus.boxes(spark, sf_dir))
+
+
+@query()
+def validation_issues(spark, sf_dir):
+    """All checks over the diagrams, counted."""
+    return canvas.validate(corpus.boxes(spark, sf_dir), corpus.box_edges(spark, sf_dir), "/maps/Brand_1.canvas").groupBy("severity", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- notes -----------------------------------------------------------------------
+
+
+def _notes(spark, sf_dir):
+    """Customers as notes: a file note, or one about the customers of the next keys."""
+    k = F.col("c_custkey")
+    p = lambda x: F.concat(F.lit("/f"), (x % 50).cast("string"))
+    return corpus.table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), k.cast("string")).alias("id"), F.when(k % 3 > 0, p(k)).alias("path"), F.when(k % 3 == 0, F.array(p(k + 2), p(k + 1), p(k + 7))).alias("group_paths"))
+
+
+NOTES_SQL = "WITH notes AS (SELECT 'n' || c_custkey AS id, CASE WHEN c_custkey % 3 > 0 THEN '/f' || c_custkey % 50 END AS path, CASE WHEN c_custkey % 3 = 0 THEN ['/f' || (c_custkey + 2) % 50, '/f' || (c_custkey + 1) % 50, '/f' || (c_custkey + 7) % 50] END AS g FROM customer)"
+
+
+@query(NOTES_SQL + "SELECT id FROM notes WHERE path = '/f7' OR list_contains(g, '/f7')")
+def notes_for_path(spark, sf_dir):
+    return notes.for_path(_notes(spark, sf_dir), "/f7").select("id")
+
+
+@query(NOTES_SQL + "SELECT id FROM notes WHERE len(list_distinct(g)) = 3 AND list_has_all(g, ['/f10', '/f4', '/f5'])")
+def notes_exact_group(spark, sf_dir):
+    return notes.for_exact_group(_notes(spark, sf_dir), ["/f4", "/f10", "/f5"]).select("id")
+
+
+@query(WITH_FILES + "SELECT path, md5(text || 'x') AS hash, md5(text) AS current FROM files WHERE file_id % 2 = 0 AND file_id % 3 = 0")
+def stale_overlay(spark, sf_dir):
+    f = corpus.files(spark, sf_dir)
+    now = f.select("path", F.md5(F.col("text").cast("binary")).alias("hash"))
+    kept = f.filter("file_id % 2 = 0").select("path", F.md5(F.concat("text", F.when(F.col("file_id") % 3 == 0, "x").otherwise("")).cast("binary")).alias("hash"))
+    return notes.stale(kept, now)
+
+
+@query("SELECT '/f' || c_custkey AS path, c_acctbal + CASE WHEN c_custkey % 4 = 0 THEN 1000 ELSE 0 END AS x FROM customer WHERE c_custkey % 2 = 0")
+def overlay_upsert(spark, sf_dir):
+    c = corpus.table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("/f"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_acctbal").alias("x"))
+    old = c.filter("c_custkey % 2 = 0 and c_custkey % 8 <> 0").select("path", "x")
+    return notes.upsert_positions(old, c.filter("c_custkey % 4 = 0").select("path", (F.col("x") + 1000).alias("x")))
