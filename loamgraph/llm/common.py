@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,63 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SPACES = np.zeros(256, bool)
+_SPACES[[32, 9, 10, 11, 12, 13]] = True
+_LOWER = np.arange(256, dtype=np.uint64) + 1
+_LOWER[65:91] += 32
+#: Bytes of texts that are hashed at a time.
+HASHED = 4_000_000
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose result's bits all depend on all of the argument's."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _factors(n: int) -> np.ndarray:
+    """A fixed pseudo-random 64-bit factor for each place in a word."""
+    return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all texts' words one after the other, words of each text).
+
+    Words are runs of other bytes than white space, A-Z made lower case. The
+    hash is a sum of bytes times factors by place, mixed with the length: all
+    words of a slice are hashed at once.
+    """
+    hashes, sizes, held, size = [], [], [], 0
+
+    def flush():
+        buffer = np.frombuffer(b"\n".join(held) + b"\n", np.uint8)
+        inner = ~_SPACES[buffer]
+        change = np.flatnonzero(np.diff(inner, prepend=False))
+        starts, stops = change[::2], change[1::2]
+        lengths = stops - starts
+        if len(starts):
+            at = np.flatnonzero(inner)
+            place = at - np.repeat(starts, lengths)
+            product = _LOWER[buffer[at]] * _factors(int(lengths.max()))[place]
+            h = np.add.reduceat(product, np.cumsum(lengths) - lengths)
+            hashes.append(mixed(h + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        ends = np.cumsum([len(b) + 1 for b in held])
+        upto = np.searchsorted(starts, ends)
+        sizes.append(np.diff(upto, prepend=0))
+
+    for t in texts:
+        b = t.encode("utf-8", "replace") if t else b""
+        if held and size + len(b) > HASHED:
+            flush()
+            held, size = [], 0
+        held.append(b)
+        size += len(b)
+    if held:
+        flush()
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
+
+
 #: A batch of rows is cut into slices of about so many characters before Python strings are made of it.
 SLICE_CHARS = 8_000_000
 

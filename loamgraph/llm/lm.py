@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import fold
-from .shingles import _P, _tidy, _words, mixed
+from .common import fold, hashed_words, mixed
+from .shingles import _P
 
 CHUNK = 16 << 20
 END, START = np.uint64(0x9D5C1A7B3F2E4D61), np.uint64(0x4B7E2F91A3C5D807)
@@ -34,34 +34,27 @@ BUCKETS, STEP, ROUNDS, LEAST = 24, 0.1, 40, 1e-5
 DEFAULT = (0.05, 0.5, 0.45)
 
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all texts' tokens, each text's words and then END, and the number of tokens of each."""
-    hashes: list[int] = []
-    sizes = np.empty(len(texts), np.int64)
-    end = int(END)
-    for i, t in enumerate(texts):
-        words = t.encode("utf-8", "replace").lower().split() if t else []
-        hashes += [_words[w] for w in words]
-        hashes.append(end)
-        sizes[i] = len(words) + 1
-    return np.array(hashes, np.uint64), sizes
-
-
 class Chunk:
     """Distinct words and pairs of a chunk's texts, and where each token's are among them."""
 
     def __init__(self, texts: list[str | None]):
-        h, self.sizes = tokens(texts)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        before = np.empty_like(h)
-        before[1:] = h[:-1]
-        before[self.starts[self.starts < len(h)]] = START
+        words, sizes = hashed_words(texts)
+        self.sizes = sizes + 1
+        last = np.cumsum(self.sizes) - 1
+        self.starts = last - sizes
+        h = np.empty(len(words) + len(sizes), np.uint64)
+        is_word = np.ones(len(h), bool)
+        is_word[last] = False
+        h[is_word], h[last] = words, END
         self.words, self.word_of = np.unique(h, return_inverse=True)
-        self.pairs, self.pair_of = np.unique(mixed(before * _P[0] + h * _P[1]), return_inverse=True)
         # the word before each token; at a text's start it is END, whose count is that of the texts
         self.before = np.empty_like(self.word_of)
         self.before[1:] = self.word_of[:-1]
-        self.before[self.starts[self.starts < len(h)]] = np.searchsorted(self.words, END) if len(h) else 0
+        self.before[self.starts] = np.searchsorted(self.words, END)
+        left = np.empty_like(h)
+        left[1:] = h[:-1]
+        left[self.starts] = START
+        self.pairs, self.pair_of = np.unique(mixed(left * _P[0] + h * _P[1]), return_inverse=True)
 
     def per_text(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.starts) if len(self.starts) else np.zeros(0, values.dtype)
@@ -73,15 +66,35 @@ def cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(int)
 
 
+def narrow(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys of one hash range: how many there are of each upper 16 bits, and 6 bytes each."""
+    top, n = np.unique(keys >> np.uint64(48), return_counts=True)
+    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return np.array([len(top)], "<u4").tobytes() + top.astype("<u2").tobytes() + n.astype("<u4").tobytes() + low.tobytes()
+
+
+def widened(b: bytes) -> np.ndarray:
+    m = int(np.frombuffer(b, "<u4", 1)[0])
+    top, n = np.frombuffer(b, "<u2", m, 4).astype(np.uint64), np.frombuffer(b, "<u4", m, 4 + 2 * m)
+    low = np.frombuffer(b, np.uint8, offset=4 + 6 * m).reshape(-1, 6)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :6] = low
+    return out.view("<u8")[:, 0] | np.repeat(top << np.uint64(48), n)
+
+
 def packed(a: np.ndarray) -> bytes:
-    """Whole numbers in the fewest bytes each that hold the largest; the first byte says how many."""
-    top = int(a.max()) if len(a) else 0
-    kind = next(k for k in (1, 2, 4, 8) if top < 1 << (8 * k))
-    return bytes([kind]) + a.astype(f"<u{kind}").tobytes()
+    """Whole numbers in a byte each; those from 255 on apart, as (place, number)."""
+    big = np.flatnonzero(a >= 255)
+    return np.array([len(a)], "<u4").tobytes() + np.minimum(a, 255).astype(np.uint8).tobytes() + big.astype("<u4").tobytes() + a[big].astype("<i8").tobytes()
 
 
 def unpacked(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+    n = int(np.frombuffer(b, "<u4", 1)[0])
+    out = np.frombuffer(b, np.uint8, n, 4).astype(np.int64)
+    m = (len(b) - 4 - n) // 12
+    if m:
+        out[np.frombuffer(b, "<u4", m, 4 + n)] = np.frombuffer(b, "<i8", m, 4 + n + 4 * m)
+    return out
 
 
 def context_bucket(c: np.ndarray) -> np.ndarray:
@@ -144,12 +157,12 @@ def _counts(dealt: DataFrame, parts: int) -> DataFrame:
             for i in range(parts):
                 s = slice(edges[i], edges[i + 1])
                 if s.stop > s.start:
-                    out.append({"chunk": key[0].as_py(), "level": level, "part": i, "keys": keys[s].tobytes(), "own": packed(own[s]), "more": packed(more[s])})
+                    out.append({"chunk": key[0].as_py(), "level": level, "part": i, "keys": narrow(keys[s]), "own": packed(own[s]), "more": packed(more[s])})
         return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.int64()), ("level", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("own", pa.binary()), ("more", pa.binary())]))
 
     def add(key, table):
         rows = table.select(["chunk", "keys", "own", "more"]).to_pylist()
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        keys = [widened(r["keys"]) for r in rows]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         own = np.bincount(at, np.concatenate([unpacked(r["own"]) for r in rows]), len(distinct)).astype(np.int64)
         total = own + np.bincount(at, np.concatenate([unpacked(r["more"]) for r in rows]), len(distinct)).astype(np.int64)
@@ -197,7 +210,6 @@ def score(docs: DataFrame, train: Column, held: Column, chunk_bytes: int = CHUNK
     parts = max(-(-int(size) // chunk_bytes), 2 * spark.sparkContext.defaultParallelism)
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("long"))
     counts = materialise(_counts(dealt, parts), "lm-counts")
-    _tidy(spark)
     whole = {"own": np.zeros(2, np.int64), "total": np.zeros(2, np.int64)}
     sums = counts.filter("chunk = -1").select("own", "total")
     for r in sums.toLocalIterator():  # two numbers for each hash range
@@ -221,10 +233,9 @@ def score(docs: DataFrame, train: Column, held: Column, chunk_bytes: int = CHUNK
 
     # a grid of logarithms, of fixed size, is what the weights are learned on
     grid = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(held_out, "b int, q2 int, q1 int, n long")
-    grid = grid.groupBy("b", "q2", "q1").agg(F.sum("n").alias("n")).toPandas().sort_values(["b", "q2", "q1"])
+    grid = materialise(grid.groupBy("b", "q2", "q1").agg(F.sum("n").alias("n")), "lm-grid").toPandas().sort_values(["b", "q2", "q1"])
     middle = lambda q: np.where(q > 0, 10.0 ** (-(q - 0.5) * STEP), 0.0)
     weights = Weights.learn(grid["b"].to_numpy(), middle(grid["q2"].to_numpy()), middle(grid["q1"].to_numpy()), grid["n"].to_numpy(), 1 / (v_own + 1))
-    _tidy(spark)
 
     def scored(key, texts, given):
         c = Chunk(texts.column("text").to_pylist())

@@ -19,8 +19,6 @@ compared as well, so no link between components is lost.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise
-from .common import per_document, slices
+from .common import hashed_words, mixed, per_document, slices
 from .components import components
 
 WORDS, PERCENT = 5, 75
 #: Shingles put last in the order: the HEAVY most frequent ones of those that some WINDOW shingles in a row hold SEEN times.
-HEAVY, WINDOW, SEEN = 100_000, 2_000_000, 8
+HEAVY, WINDOW, SEEN = 400_000, 2_000_000, 4
 #: A signature of shingles all held by more documents than this goes by an aggregate and a join that can be split.
 HOT = 20_000
 SMALLEST, LARGEST_LIGHT, COMPARE_COST = 2, 64, 4.0
@@ -41,35 +39,30 @@ SMALLEST, LARGEST_LIGHT, COMPARE_COST = 2, 64, 4.0
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-class _Words(dict):
-    """Hash of a word, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_words = _Words()
+def raw_shingles(texts: list[str | None]) -> list[np.ndarray]:
+    """64-bit hashes of each text's shingles as they come; fewer words than WORDS make one shingle, none make none."""
+    h, sizes = hashed_words(texts)
+    n = max(0, len(h) - WORDS + 1)
+    rolled = mixed(sum(h[i : i + n] * _P[i] for i in range(WORDS))) if n else h[:0]
+    out, at = [], 0
+    for k in sizes.tolist():
+        if k >= WORDS:
+            out.append(rolled[at : at + k - WORDS + 1])
+        elif k:
+            out.append(mixed(sum(h[at + i : at + i + 1] * _P[i] for i in range(k)) + np.uint64(k)))
+        else:
+            out.append(h[:0])
+        at += k
+    return out
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """The distinct ones of each text, sorted."""
+    return [np.unique(s) if len(s) > 1 else s for s in raw_shingles(texts)]
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles; fewer words than WORDS make one shingle, none make none."""
-    words = text.encode("utf-8", "replace").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = np.array([_words[w] for w in words], np.uint64)
-    n = len(h) - WORDS + 1
-    return np.unique(mixed(sum(h[i : i + n] * _P[i] for i in range(WORDS))))
+    return shingle_sets([text])[0]
 
 
 def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -85,8 +78,7 @@ def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for t in part.column("text").to_pylist():
-                    s = shingles(t)
+                for s in raw_shingles(part.column("text").to_pylist()):
                     held.append(s)
                     size += len(s)
                     if size >= WINDOW:
@@ -135,8 +127,7 @@ def _sets(docs: DataFrame, heavy) -> DataFrame:
 
         def each(rows):
             out = {"doc_id": rows["doc_id"], "n": [], "d1": [], "d2": [], "prefix": []}
-            for t in rows["text"]:
-                s = shingles(t)
+            for s in shingle_sets(rows["text"]):
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 out["n"].append(len(s))
                 out["d1"].append((d >> 64) - (1 << 63))
@@ -240,40 +231,58 @@ def _stars(signatures: DataFrame) -> DataFrame:
     return usual.unionByName(hot.join(pivots, "sig").filter("rep <> a").select("sig", "a", F.col("rep").alias("b")))
 
 
-def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, d): exact Jaccard distance of each pair, and whether it links; the texts of ids in pairs are read again."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def _known_of(stars: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, n, s) of each id in stars: its set's size, and how many of its signatures others have too.
 
-    def make():
-        return lambda rows: {"id": rows["doc_id"], "data": [shingles(t).tobytes() for t in rows["text"]]}
+    An id whose rows have several texts gets an s beyond any bound.
+    """
+    use = stars.select(F.col("b").alias("id"), F.lit(1).alias("one")).unionByName(stars.select("sig", "a").distinct().select(F.col("a").alias("id"), F.lit(1).alias("one")))
+    use = use.groupBy("id").agg(F.sum("one").alias("s"))
+    size = members.filter("n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n"), (F.min(F.struct("d1", "d2")) != F.max(F.struct("d1", "d2"))).alias("several"))
+    return materialise(use.join(size, "id").select("id", "n", F.when(F.col("several"), F.lit(1 << 40)).otherwise(F.col("s")).alias("s")), "sizes")
+
+
+def _may_link(known_x: tuple, known_y: tuple, boundary: int):
+    """Whether two sets of known (n, s) may link: sizes must fit, and their first shingles must have enough in common.
 
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = materialise(per_document(texts, ["doc_id", "text"], "id long, data binary", make), "compare-sets")
+    Of two linked sets take the one whose last listed shingle comes first in
+    the order; all that they share up to there is listed by both, so they share
+    at least overlap - (n - listed) listed ones, which is at most what either
+    shares with anybody. Sets that list 2-subsets aren't judged by this.
+    """
+    (n, s), (m, t) = known_x, known_y
+    several = F.greatest(s, t) >= 1 << 40
+    sizes = 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    overlap = F.ceil(PERCENT * (n + m) / (100 + PERCENT))
+    rest = lambda x: x - F.floor(x - F.ceil(PERCENT * x / 100) + 1)
+    enough = F.least(s, t) >= overlap - F.greatest(rest(n), rest(m))
+    return several | (sizes & ((F.least(n, m) <= boundary) | enough))
+
+
+def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, d): exact Jaccard distance of each pair, and whether it links; the texts of ids in pairs are read again."""
+    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
 
     def run(batches):
+        last, kept = None, np.zeros(0, np.uint64)
         for batch in batches:
             d, hit = [], []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                inter = len(np.intersect1d(p, q, assume_unique=True))
-                union = len(p) + len(q) - inter
+            sets = iter(shingle_sets(batch.column("y").to_pylist()))
+            for a, x in zip(batch.column("a").to_pylist(), batch.column("x").to_pylist(), strict=True):
+                if last != (a, x):  # rows come by pivot, whose set is made once
+                    last, kept = (a, x), shingles(x)
+                q = next(sets)
+                inter = len(np.intersect1d(kept, q, assume_unique=True))
+                union = len(kept) + len(q) - inter
                 d.append(1 - inter / union if union else 1.0)
-                hit.append(bool(union) and linked(inter, len(p), len(q)))
+                hit.append(bool(union) and bool(linked(inter, len(kept), len(q))))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d, pa.float64()), pa.array(hit, pa.bool_())], names=["a", "b", "d", "link"])
 
-    left = sets.select(F.col("id").alias("a"), F.col("data").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("data").alias("y"))
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, d double, link boolean")
     # an id that repeats with other texts counts with its nearest one
-    out = materialise(both.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("link").alias("link")), "compared")
-    discard(sets)
-    return out
-
-
-def _tidy(spark) -> None:
-    """Let Spark's cleaner drop shuffle files of stages that are done and written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return materialise(both.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("link").alias("link")), "compared")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -287,52 +296,54 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     differ, each brings its links. A row without an id keeps a null component.
     An empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     heavy = heavy_shingles(docs)
     sets = materialise(_sets(docs, heavy), "sets")
     members = materialise(sets.select("doc_id", "n", "d1", "d2"), "members")
-    known = sets.filter("n > 0 and doc_id is not null")
-    boundary = choose_boundary(known)
-    reps = known.filter(F.col("n") >= SMALLEST).groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    some = sets.filter("n > 0 and doc_id is not null")
+    boundary = choose_boundary(some)
+    reps = some.filter(F.col("n") >= SMALLEST).groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     stars = materialise(_stars(_signatures(reps, boundary, heavy)), "stars")
     discard(sets)
-    _tidy(spark)
-    compared = _compared(docs, stars.select("a", "b").distinct())
-    _tidy(spark)
+    known = _known_of(stars, members)
+    of = lambda side: known.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("s").alias(f"s_{side}"))
+    tried = stars.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+    tried = tried.filter(_may_link((F.col("n_a"), F.col("s_a")), (F.col("n_b"), F.col("s_b")), boundary)).select("a", "b")
+    compared = _compared(docs, materialise(tried, "pairs"))
     links = compared.filter("link").select("a", "b")
     # rows of one id with different texts join their classes
     classes = members.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     many = members.filter("n > 0 and doc_id is not null").select("doc_id", "d1", "d2").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id")
     bridges = members.join(many, "doc_id", "left_semi").join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     first = materialise(components(links.unionByName(bridges)), "components")
-    left = _left_over(stars, compared, first, members, classes)
+    left = _left_over(stars, compared, first, known, boundary)
     if not left.isEmpty():
         again = _compared(docs, left)
-        _tidy(spark)
         edges = first.select(F.col("id").alias("a"), F.col("component").alias("b")).filter("a <> b").unionByName(again.filter("link").select("a", "b"))
         first = materialise(components(edges), "components")
     out = members.join(classes, ["d1", "d2"], "left").join(first.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
 
-def _left_over(stars: DataFrame, compared: DataFrame, comp: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of one signature that lie in different components, aren't compared yet and may link by the triangle inequality."""
+def _left_over(stars: DataFrame, compared: DataFrame, comp: DataFrame, known: DataFrame, boundary: int) -> DataFrame:
+    """Pairs of one signature that lie in different components, aren't compared yet and may still link.
+
+    A member's distance from its signature's pivot is known where the two were
+    compared; else it lies between 1/4 and 1.
+    """
     of = lambda name, side: comp.select(F.col("id").alias(side), F.col("component").alias(name))
-    apart = compared.join(of("ca", "a"), "a", "left").join(of("cb", "b"), "b", "left")
-    apart = apart.select("a", "b", "d", F.coalesce("cb", "b").alias("c"), (F.coalesce("ca", "a") != F.coalesce("cb", "b")).alias("open"))
-    # members of a signature with their distance from its pivot
-    near = stars.join(apart, ["a", "b"]).select("sig", "b", "d", "c", "open")
-    far_groups = near.filter("open").select("sig").distinct()
-    near = materialise(near.join(far_groups, "sig", "left_semi"), "left-over")
-    x = near.filter("open").select("sig", F.col("b").alias("x"), F.col("d").alias("dx"), F.col("c").alias("cx"))
-    y = near.select("sig", F.col("b").alias("y"), F.col("d").alias("dy"), F.col("c").alias("cy"), F.col("open").alias("oy"))
-    may = (F.col("cx") != F.col("cy")) & (F.abs(F.col("dx") - F.col("dy")) <= 1 - PERCENT / 100 + 1e-9) & (~F.col("oy") | (F.col("x") < F.col("y")))
-    pairs = x.join(y, "sig").filter(may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    sizes = members.filter("n > 0").join(classes, ["d1", "d2"]).filter("doc_id = rep").groupBy("rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    size_of = lambda side: sizes.select(F.col("rep").alias(side), F.col("lo").alias(f"lo_{side}"), F.col("hi").alias(f"hi_{side}"))
-    fits = (100 * F.col("hi_a") >= PERCENT * F.col("lo_b")) & (100 * F.col("hi_b") >= PERCENT * F.col("lo_a"))
-    pairs = pairs.join(size_of("a"), "a").join(size_of("b"), "b").filter(fits).select("a", "b")
+    pairs = stars.select("a", "b").distinct().join(compared, ["a", "b"], "left").join(of("ca", "a"), "a", "left").join(of("cb", "b"), "b", "left")
+    pairs = pairs.select("a", "b", F.coalesce("d", F.lit(1 - PERCENT / 100)).alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi"), F.coalesce("cb", "b").alias("c"), (F.coalesce("ca", "a") != F.coalesce("cb", "b")).alias("open"))
+    members = stars.join(pairs, ["a", "b"]).join(known.withColumnRenamed("id", "b"), "b").select("sig", "b", "lo", "hi", "c", "open", "n", "s")
+    # signatures with a member outside the pivot's component, and another member
+    groups = members.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.max("open").alias("any")).filter("any and k > 1").select("sig")
+    members = materialise(members.join(groups, "sig", "left_semi"), "left-over")
+    x = members.filter("open").select("sig", *[F.col(c).alias(f"{c}_x") for c in ("b", "lo", "hi", "c", "n", "s")])
+    y = members.select("sig", *[F.col(c).alias(f"{c}_y") for c in ("b", "lo", "hi", "c", "open", "n", "s")])
+    near = 1 - PERCENT / 100 + 1e-9
+    may = (F.col("c_x") != F.col("c_y")) & (F.col("lo_x") - F.col("hi_y") <= near) & (F.col("lo_y") - F.col("hi_x") <= near) & (~F.col("open_y") | (F.col("b_x") < F.col("b_y")))
+    may = may & _may_link((F.col("n_x"), F.col("s_x")), (F.col("n_y"), F.col("s_y")), boundary)
+    pairs = x.join(y, "sig").filter(may).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
     done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return materialise(pairs.join(done, ["a", "b"], "left_anti"), "left-pairs")
 

@@ -68,7 +68,10 @@ def test_normalised():
     assert abs(w.probability(b, np.array([0.5, 0.5, 0, 0]), np.array([0.4, 0.3, 0.3, 0]), 0.25).sum() - 1) < 1e-9
     assert abs(w.probability(b * 0, np.zeros(4), np.array([0.4, 0.3, 0.3, 0]), 0.25).sum() - 1) < 1e-9
     assert list(lm.unpacked(lm.packed(np.array([0, 300, 2])))) == [0, 300, 2]
+    big = np.array([0, 254, 255, 256, 10**12, 3])
+    assert list(lm.unpacked(lm.packed(big))) == list(big) and len(lm.unpacked(lm.packed(big[:0]))) == 0
     keys = np.sort(np.random.default_rng(0).integers(0, 2**64 - 1, 100, np.uint64))
+    assert list(lm.widened(lm.narrow(keys))) == list(keys) and len(lm.widened(lm.narrow(keys[:0]))) == 0
     assert lm.cuts(keys, 7)[0] == 0 and lm.cuts(keys, 7)[-1] == 100
 
 
