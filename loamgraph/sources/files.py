@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -59,20 +60,62 @@ def with_ids(files: DataFrame, column: str = "file_id", order: str = "path", spr
     return dealt.join(F.broadcast(before), "_part").withColumn(column, at.cast("long")).drop("_part", "_before")
 
 
-def read_tree(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Source files below the roots: file_id, path, language, text, n_bytes. Unreadable text is kept with replacement characters."""
+def walk(roots: list[str]) -> list[tuple[str, int]]:
+    """(path, bytes) of source files below the roots on a mounted file system; skipped folders aren't entered, links are followed once."""
+    out, seen = {}, set()
+    for root in roots:
+        for folder, inner, names in os.walk(os.path.abspath(root), followlinks=True):
+            real = os.path.realpath(folder)
+            if real in seen:
+                inner.clear()
+                continue
+            seen.add(real)
+            inner[:] = sorted(d for d in inner if d not in SKIPPED)
+            for name in names:
+                path = os.path.join(folder, name)
+                ext = "." + name.rsplit(".", 1)[1] if "." in name else ""
+                noise = name in ("package-lock.json", "npm-shrinkwrap.json") or (name.endswith(".min.js") and len(name) > 7)
+                if ext in LANGUAGE and not noise and os.path.isfile(path):
+                    out[path] = os.path.getsize(path)
+    return sorted(out.items())
+
+
+def read_tree(spark: SparkSession, roots: list[str], per_task: int = 500) -> DataFrame:
+    """Source files below the roots: file_id, path, language, text, n_bytes; text is NULL where a file can't be read.
+
+    The driver lists names only; the executors read the files, so the roots
+    must be mounted on all of them. Spark's own readers skip names that begin
+    with `_` or `.`, and with them `__init__.py`; see read_store() for trees
+    in an object store.
+    """
+    found = walk(roots)
+    listed = spark.createDataFrame(found, "path string, n_bytes long").repartition(max(1, -(-len(found) // per_task)))
+
+    def read(batches):
+        for b in batches:
+            text = []
+            for p in b["path"]:
+                try:
+                    with open(p, "rb") as f:
+                        text.append(f.read().decode("utf-8", "replace"))
+                except OSError:
+                    text.append(None)
+            yield b.assign(text=text)
+
+    rows = listed.mapInPandas(read, "path string, n_bytes long, text string")
+    return with_ids(rows.select("path", language_of(F.col("path")).alias("language"), "text", "n_bytes"))
+
+
+def read_store(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """The same from any store that Spark reads, without names that begin with `_` or `.`."""
     globs = "*.{" + ",".join(e[1:] for e in LANGUAGE) + "}"
 
-    def one(root: str) -> DataFrame:
+    def below(root: str) -> DataFrame:
         rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", globs).load(root)
-        return rows.select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), F.col("content"), F.col("length").alias("n_bytes"))
-
-    def below(df: DataFrame, root: str) -> DataFrame:
-        # skipped folders count below the root only
-        inside = F.substring("path", F.lit(len(root.rstrip("/")) + 1), F.length("path"))
+        rows = rows.select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), "content", F.col("length").alias("n_bytes"))
+        inside = F.substring("path", F.lit(len(root.rstrip("/")) + 1), F.length("path"))  # skipped folders count below the root only
         parts = F.split(paths.dirname(inside), "/")
-        return df.withColumn("language", language_of(F.col("path"))).filter(F.col("language").isNotNull() & ~is_noise(F.col("path")) & ~F.arrays_overlap(parts, F.lit(SKIPPED)))
+        return rows.withColumn("language", language_of(F.col("path"))).filter(F.col("language").isNotNull() & ~is_noise(F.col("path")) & ~F.arrays_overlap(parts, F.lit(SKIPPED)))
 
-    files = union_roots([below(one(r), r) for r in roots])
-    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.make_valid_utf8(F.col("content").cast("string")))
-    return with_ids(files.select("path", "language", text.alias("text"), "n_bytes"))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return with_ids(union_roots([below(r) for r in roots]).select("path", "language", text.alias("text"), "n_bytes"))
