@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import links, paths, values
 from .functions.cost import CostParams
 from .operators import canvas, clones, filestats, graph, history, notes, resolve, totals
 from .plans import corpus
-from .session import materialise
 from .sources import files as sources
 
 QUERIES: dict[str, Callable] = {}
@@ -594,3 +592,77 @@ def overlay_upsert(spark, sf_dir):
     c = corpus.table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("/f"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_acctbal").alias("x"))
     old = c.filter("c_custkey % 2 = 0 and c_custkey % 8 <> 0").select("path", "x")
     return notes.upsert_positions(old, c.filter("c_custkey % 4 = 0").select("path", (F.col("x") + 1000).alias("x")))
+
+
+# --- scanned sources, whole documents -----------------------------------------------
+
+
+@query()
+def scanned_statistics(spark, sf_dir):
+    """Statistics by the scanners of documents taken as sources of their language."""
+    from .scan import facts
+
+    return facts.stats_of(facts.scan_files(corpus.files(spark, sf_dir), False)).drop("hot", "hash", "error")
+
+
+@query("WITH " + HREFS_SQL + "SELECT page_id AS file_id, (row_number() OVER (PARTITION BY page_id ORDER BY seq) - 1)::INTEGER AS seq, raw FROM hrefs WHERE regexp_extract(raw, '^([^?#]*)', 1) <> ''")
+def html_scanned_refs(spark, sf_dir):
+    """Links of pages by the HTML scanner."""
+    from .scan import facts
+
+    p = corpus.table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.concat(F.lit("/site/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit("html").alias("language"), F.col("html").alias("text"))
+    return facts.refs_of(facts.scan_files(p, False)).select("file_id", "seq", "raw")
+
+
+@query(WITH_EDGES + "SELECT count(*) AS nodes, (SELECT count(*) FROM edges) AS links FROM nodes")
+def graph_json_export(spark, sf_dir):
+    """The trade graph as one JSON document, read back and counted."""
+    from .sources import documents
+
+    nodes = corpus.trade_nodes(spark, sf_dir).select("id", F.concat(F.lit("/n/"), F.col("id").cast("string")).alias("path"), F.lit("sql").alias("language"))
+    doc = documents.graph_json(nodes, corpus.trade_edges(spark, sf_dir))
+    back = doc.select(F.from_json("value", "nodes array<struct<id:long>>, links array<struct<source:long>>").alias("d"))
+    return back.select(F.size("d.nodes").cast("long").alias("nodes"), F.size("d.links").cast("long").alias("links"))
+
+
+@query()
+def layout_positions(spark, sf_dir):
+    """Places of the trade graph's nodes."""
+    from .operators import layout
+
+    nodes = corpus.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.concat(F.lit("/n/r"), F.col("n_regionkey").cast("string"), F.lit("/"), "n_name").alias("path"))
+    return layout.layout(nodes, corpus.trade_edges(spark, sf_dir))
+
+
+@query(WITH_FILES + f", commits AS (SELECT DISTINCT * FROM ({corpus.COMMITS_SQL})) SELECT path, count(*) AS git_commits, count(DISTINCT author) AS git_authors, max(ts) AS git_last_commit FROM commits GROUP BY 1")
+def commit_stream_history(spark, sf_dir):
+    """History from the commit feed read as a stream."""
+    import uuid
+
+    from .session import shared_dir
+    from .streaming import commits as feed
+
+    at = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    corpus.commits(spark, sf_dir).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema("path string, author long, ts long").parquet(f"{at}/in").withColumn("author", F.col("author").cast("string"))
+    feed.append_history(stream, f"{at}/out", f"{at}/state").awaitTermination()
+    return feed.history_of(spark, f"{at}/out")
+
+
+@query(WITH_EDGES + "SELECT n_nationkey::BIGINT AS id, sqrt((n_nationkey % 7) * (n_nationkey % 7) + (n_nationkey % 5) * (n_nationkey % 5) + 1.0::DOUBLE) AS r FROM nation ORDER BY 2 DESC, 1 LIMIT 1".replace(WITH_EDGES, ""))
+def bounding_radius(spark, sf_dir):
+    """The farthest node and its distance from the origin."""
+    from .operators import layout
+
+    k = F.col("n_nationkey")
+    p = corpus.table(spark, sf_dir, "nation").select(k.cast("long").alias("id"), (k % 7).cast("double").alias("x"), (k % 5).cast("double").alias("y"), F.lit(1.0).alias("z"))
+    far = p.join(F.broadcast(layout.bounding_radius(p)), F.abs(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) - F.col("radius")) < 1e-9)
+    return far.orderBy("id").limit(1).select("id", F.col("radius").alias("r"))
+
+
+@query("SELECT p_partkey AS id FROM part WHERE (p_size - 25) * (p_size - 25) + (p_partkey % 100 - 50) * (p_partkey % 100 - 50) <= 25 ORDER BY (p_size - 25) * (p_size - 25) + (p_partkey % 100 - 50) * (p_partkey % 100 - 50), 1 LIMIT 1")
+def nearest_point(spark, sf_dir):
+    from .operators import layout
+
+    p = corpus.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 100).cast("double").alias("y"))
+    return layout.nearest(p, 25.0, 50.0, 5.0)
