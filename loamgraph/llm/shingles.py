@@ -34,6 +34,8 @@ WORDS, PERCENT = 5, 75
 HEAVY, WINDOW, SEEN = 400_000, 2_000_000, 4
 #: A signature of shingles all held by more documents than this goes by an aggregate and a join that can be split.
 HOT = 20_000
+#: Cells of the parity sketch.
+BITS = 1024
 SMALLEST, LARGEST_LIGHT, COMPARE_COST = 2, 64, 4.0
 
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -109,6 +111,12 @@ def in_order(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], most: int) ->
     return np.concatenate([light, rest[np.lexsort((rest, weight))]])[:most]
 
 
+def parity(s: np.ndarray) -> list[int]:
+    """Whether each of BITS hash cells holds an odd number of the set, packed in longs: two sets differ in as many elements at least as their cells do."""
+    odd = (np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def prefix_size(n: int, shared: int) -> int:
     """How many of the first shingles must hold `shared` of those that any linked set shares."""
     return min(n, n - -(-PERCENT * n // 100) + shared)
@@ -119,25 +127,26 @@ def linked(inter, n_a, n_b):
 
 
 def _sets(docs: DataFrame, heavy) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set) and the prefix of each row."""
+    """doc_id, n, d1, d2 (digest of the set), parity sketch and prefix of each row."""
     known = docs.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY hashes and counts
 
     def make():
         order = known.value
 
         def each(rows):
-            out = {"doc_id": rows["doc_id"], "n": [], "d1": [], "d2": [], "prefix": []}
+            out = {"doc_id": rows["doc_id"], "n": [], "d1": [], "d2": [], "sketch": [], "prefix": []}
             for s in shingle_sets(rows["text"]):
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 out["n"].append(len(s))
                 out["d1"].append((d >> 64) - (1 << 63))
                 out["d2"].append((d & ((1 << 64) - 1)) - (1 << 63))
+                out["sketch"].append(parity(s))
                 out["prefix"].append(in_order(s, order, prefix_size(len(s), 2)).tobytes() if len(s) >= SMALLEST else b"")
             return out
 
         return each
 
-    return per_document(docs, ["doc_id", "text"], "doc_id long, n int, d1 long, d2 long, prefix binary", make)
+    return per_document(docs, ["doc_id", "text"], "doc_id long, n int, d1 long, d2 long, sketch array<long>, prefix binary", make)
 
 
 def choose_boundary(sets: DataFrame) -> int:
@@ -232,31 +241,32 @@ def _stars(signatures: DataFrame) -> DataFrame:
 
 
 def _known_of(stars: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, n, s) of each id in stars: its set's size, and how many of its signatures others have too.
+    """(id, n, s, p) of each id in stars: its set's size, how many of its signatures others have too, its sketch.
 
     An id whose rows have several texts gets an s beyond any bound.
     """
     use = stars.select(F.col("b").alias("id"), F.lit(1).alias("one")).unionByName(stars.select("sig", "a").distinct().select(F.col("a").alias("id"), F.lit(1).alias("one")))
     use = use.groupBy("id").agg(F.sum("one").alias("s"))
-    size = members.filter("n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n"), (F.min(F.struct("d1", "d2")) != F.max(F.struct("d1", "d2"))).alias("several"))
-    return materialise(use.join(size, "id").select("id", "n", F.when(F.col("several"), F.lit(1 << 40)).otherwise(F.col("s")).alias("s")), "sizes")
+    size = members.filter("n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n"), (F.min(F.struct("d1", "d2")) != F.max(F.struct("d1", "d2"))).alias("several"), F.first("sketch").alias("p"))
+    return materialise(use.join(size, "id").select("id", "n", F.when(F.col("several"), F.lit(1 << 40)).otherwise(F.col("s")).alias("s"), "p"), "sizes")
 
 
-def _may_link(known_x: tuple, known_y: tuple, boundary: int):
-    """Whether two sets of known (n, s) may link: sizes must fit, and their first shingles must have enough in common.
+def _may_link(x: str, y: str, boundary: int):
+    """Whether two sets of known n, s and p (columns with these suffixes) may link: sizes and sketches must fit, and their first shingles must have enough in common.
 
     Of two linked sets take the one whose last listed shingle comes first in
     the order; all that they share up to there is listed by both, so they share
     at least overlap - (n - listed) listed ones, which is at most what either
     shares with anybody. Sets that list 2-subsets aren't judged by this.
     """
-    (n, s), (m, t) = known_x, known_y
+    n, s, m, t = (F.col(f"{c}_{side}") for side in (x, y) for c in ("n", "s"))
     several = F.greatest(s, t) >= 1 << 40
     sizes = 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
     overlap = F.ceil(PERCENT * (n + m) / (100 + PERCENT))
     rest = lambda x: x - F.floor(x - F.ceil(PERCENT * x / 100) + 1)
     enough = F.least(s, t) >= overlap - F.greatest(rest(n), rest(m))
-    return several | (sizes & ((F.least(n, m) <= boundary) | enough))
+    differ = F.aggregate(F.zip_with(f"p_{x}", f"p_{y}", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    return several | (sizes & ((F.least(n, m) <= boundary) | enough) & (differ <= n + m - 2 * overlap))
 
 
 def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -299,16 +309,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     heavy = heavy_shingles(docs)
     sets = materialise(_sets(docs, heavy), "sets")
-    members = materialise(sets.select("doc_id", "n", "d1", "d2"), "members")
+    members = materialise(sets.select("doc_id", "n", "d1", "d2", "sketch"), "members")
     some = sets.filter("n > 0 and doc_id is not null")
     boundary = choose_boundary(some)
     reps = some.filter(F.col("n") >= SMALLEST).groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     stars = materialise(_stars(_signatures(reps, boundary, heavy)), "stars")
     discard(sets)
     known = _known_of(stars, members)
-    of = lambda side: known.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("s").alias(f"s_{side}"))
+    of = lambda side: known.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("s").alias(f"s_{side}"), F.col("p").alias(f"p_{side}"))
     tried = stars.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
-    tried = tried.filter(_may_link((F.col("n_a"), F.col("s_a")), (F.col("n_b"), F.col("s_b")), boundary)).select("a", "b")
+    tried = tried.filter(_may_link("a", "b", boundary)).select("a", "b")
     compared = _compared(docs, materialise(tried, "pairs"))
     links = compared.filter("link").select("a", "b")
     # rows of one id with different texts join their classes
@@ -334,15 +344,15 @@ def _left_over(stars: DataFrame, compared: DataFrame, comp: DataFrame, known: Da
     of = lambda name, side: comp.select(F.col("id").alias(side), F.col("component").alias(name))
     pairs = stars.select("a", "b").distinct().join(compared, ["a", "b"], "left").join(of("ca", "a"), "a", "left").join(of("cb", "b"), "b", "left")
     pairs = pairs.select("a", "b", F.coalesce("d", F.lit(1 - PERCENT / 100)).alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi"), F.coalesce("cb", "b").alias("c"), (F.coalesce("ca", "a") != F.coalesce("cb", "b")).alias("open"))
-    members = stars.join(pairs, ["a", "b"]).join(known.withColumnRenamed("id", "b"), "b").select("sig", "b", "lo", "hi", "c", "open", "n", "s")
+    members = stars.join(pairs, ["a", "b"]).join(known.withColumnRenamed("id", "b"), "b").select("sig", "b", "lo", "hi", "c", "open", "n", "s", "p")
     # signatures with a member outside the pivot's component, and another member
     groups = members.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.max("open").alias("any")).filter("any and k > 1").select("sig")
     members = materialise(members.join(groups, "sig", "left_semi"), "left-over")
-    x = members.filter("open").select("sig", *[F.col(c).alias(f"{c}_x") for c in ("b", "lo", "hi", "c", "n", "s")])
-    y = members.select("sig", *[F.col(c).alias(f"{c}_y") for c in ("b", "lo", "hi", "c", "open", "n", "s")])
+    x = members.filter("open").select("sig", *[F.col(c).alias(f"{c}_x") for c in ("b", "lo", "hi", "c", "n", "s", "p")])
+    y = members.select("sig", *[F.col(c).alias(f"{c}_y") for c in ("b", "lo", "hi", "c", "open", "n", "s", "p")])
     near = 1 - PERCENT / 100 + 1e-9
     may = (F.col("c_x") != F.col("c_y")) & (F.col("lo_x") - F.col("hi_y") <= near) & (F.col("lo_y") - F.col("hi_x") <= near) & (~F.col("open_y") | (F.col("b_x") < F.col("b_y")))
-    may = may & _may_link((F.col("n_x"), F.col("s_x")), (F.col("n_y"), F.col("s_y")), boundary)
+    may = may & _may_link("x", "y", boundary)
     pairs = x.join(y, "sig").filter(may).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
     done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return materialise(pairs.join(done, ["a", "b"], "left_anti"), "left-pairs")
