@@ -52,7 +52,8 @@ def ai_estimate(t: dict[str, Column], p: CostParams) -> dict[str, Column]:
     some = t["sloc"] > 0
     kept = t["chars"] / (p.chars_per_token if p.chars_per_token > 0 else 4.0)
     density = t["decisions"] / F.nullif(t["decision_sloc"], F.lit(0)) / TYPICAL_DENSITY
-    complexity = F.coalesce(F.least(F.greatest(density, F.lit(0.5)), F.lit(2.0)), F.lit(1.0))
+    # greatest() skips NULL, so unknown complexity needs a case of its own
+    complexity = F.when(t["decision_sloc"] > 0, F.least(F.greatest(density, F.lit(0.5)), F.lit(2.0))).otherwise(1.0)
     size = 1.0 + 0.5 * F.log10(F.greatest(t["sloc"] / 1000.0, F.lit(1.0)))
     multiplier = p.reasoning_multiplier * complexity * size
     out = {"tokens_kept": kept, "multiplier": multiplier, "tokens_spent": kept * multiplier, "ai_cost": kept * multiplier / 1e6 * p.token_price}

@@ -14,6 +14,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: expressions that use an argument many times would double at each level of nesting."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def basename(p: Column) -> Column:
     return F.regexp_extract(p, r"([^/]*)$", 1)
 
@@ -37,20 +42,24 @@ def join(a: Column, b: Column) -> Column:
     return F.when(F.endswith(a, F.lit("/")), F.concat(a, b)).otherwise(F.concat(a, F.lit("/"), b))
 
 
-def clean(p: Column) -> Column:
-    """Lexical `.` and `..`: `..` above the root goes, leading ones of a relative path stay; nothing left is `.`."""
+def _clean(p: Column) -> Column:
     absolute = F.startswith(p, F.lit("/"))
     parts = F.filter(F.split(p, "/"), lambda x: (x != "") & (x != "."))
     empty = F.array().cast("array<string>")
-    last = lambda acc: F.element_at(acc, -1)
+    last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(".."))
     step = lambda acc, x: (
         F.when(x != "..", F.concat(acc, F.array(x)))
-        .when((F.size(acc) > 0) & (F.when(F.size(acc) > 0, last(acc)).otherwise("..") != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when(last(acc) != "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
         .when(absolute, acc)
         .otherwise(F.concat(acc, F.array(x)))
     )
     body = F.array_join(F.aggregate(parts, empty, step), "/")
-    return F.when(absolute, F.concat(F.lit("/"), body)).when(body == "", ".").otherwise(body)
+    return let(body, lambda x: F.when(absolute, F.concat(F.lit("/"), x)).when(x == "", ".").otherwise(x))
+
+
+def clean(p: Column) -> Column:
+    """Lexical `.` and `..`: `..` above the root goes, leading ones of a relative path stay; nothing left is `.`."""
+    return let(p, _clean)
 
 
 def relative(target: Column, start: Column) -> Column:

@@ -65,10 +65,11 @@ def in_folder(path: Column, raw: Column) -> Column:
 def weblink(path: Column, link: Column, endings: list[str]) -> Column:
     """Relative: from the page's folder. From `/` on: as it is, then below each folder above the page, nearest first."""
     tries = [*[""], *endings]
-    relative = _each(in_folder(path, link), tries)
+    each = lambda base: paths.let(base, lambda b: _each(b, tries))
+    relative = each(in_folder(path, link))
     rest = F.substring(link, F.lit(2), F.length(link))
-    below = F.flatten(F.transform(paths.ancestors(paths.dirname(path)), lambda d: _each(paths.clean(paths.join(d, rest)), tries)))
-    return F.when(F.startswith(link, F.lit("/")), F.concat(_each(paths.clean(link), tries), below)).otherwise(relative)
+    below = F.flatten(F.transform(paths.ancestors(paths.dirname(path)), lambda d: each(paths.clean(paths.join(d, rest)))))
+    return F.when(F.startswith(link, F.lit("/")), F.concat(each(paths.clean(link)), below)).otherwise(relative)
 
 
 def wiki(path: Column, target: Column) -> Column:
@@ -88,7 +89,7 @@ def python(path: Column, raw: Column) -> Column:
     rest = F.replace(F.substring(raw, F.length(dots) + 1, F.length(raw)), F.lit("."), F.lit("/"))
     up = F.repeat(F.lit("../"), F.length(dots) - 1)
     base = in_folder(path, F.concat(F.lit("./"), up, rest))
-    return F.when(dots == "", F.array(raw)).otherwise(_each(base, [".py", ".pyi", "/__init__.py", "/__init__.pyi"]))
+    return F.when(dots == "", F.array(raw)).otherwise(paths.let(base, lambda b: _each(b, [".py", ".pyi", "/__init__.py", "/__init__.pyi"])))
 
 
 def go(raw: Column) -> Column:
@@ -108,6 +109,10 @@ def php(path: Column, raw: Column, scope: Column, imports: Column) -> Column:
 
 def script_file(base: Column) -> Column:
     """Places of a JavaScript or TypeScript module at a path: as it is, with an extension, as its source, as a folder."""
+    return paths.let(base, _script_file)
+
+
+def _script_file(base: Column) -> Column:
     swapped = _none()
     for old, new in JS_SOURCE.items():
         cut = F.substring(base, F.lit(1), F.length(base) - len(old))
@@ -121,17 +126,24 @@ def javascript(path: Column, raw: Column, config: Column | None = None) -> Colum
     config: struct(base_url, paths_base, aliases array<struct<prefix, suffix,
     wildcard, targets>>) of the file, NULL without one.
     """
-    cut = F.regexp_extract(raw, r"^([^?#]*)", 1)
-    local = F.when(F.startswith(cut, F.lit("/")), script_file(paths.clean(cut))).otherwise(script_file(in_folder(path, cut)))
+    return paths.let(F.regexp_extract(raw, r"^([^?#]*)", 1), lambda cut: _javascript(path, cut, config))
+
+
+def _javascript(path: Column, cut: Column, config: Column | None) -> Column:
+    local = script_file(F.when(F.startswith(cut, F.lit("/")), paths.clean(cut)).otherwise(in_folder(path, cut)))
     if config is None:
         return F.when(cut.rlike(r"^(/|\.\.?(/|$))"), local).otherwise(_none())
     fits = F.filter(
         F.coalesce(config["aliases"], F.array().cast("array<struct<prefix:string,suffix:string,wildcard:boolean,targets:array<string>>>")),
         lambda a: F.when(a["wildcard"], F.startswith(cut, a["prefix"]) & F.endswith(cut, a["suffix"]) & (F.length(cut) >= F.length(a["prefix"]) + F.length(a["suffix"]))).otherwise(cut == a["prefix"]),
     )
-    best = F.get(F.array_sort(F.transform(fits, lambda a: F.struct((~a["wildcard"]).cast("int").alias("exact"), (-F.length(a["prefix"])).alias("n"), a.alias("a")))), F.lit(0))["a"]
-    star = F.substring(cut, F.length(best["prefix"]) + 1, F.length(cut) - F.length(best["prefix"]) - F.length(best["suffix"]))
-    aliased = F.flatten(F.transform(best["targets"], lambda t: script_file(paths.clean(paths.join(config["paths_base"], F.when(best["wildcard"], F.replace(t, F.lit("*"), star)).otherwise(t))))))
+    ranked = F.array_sort(F.transform(fits, lambda a: F.struct((-(~a["wildcard"]).cast("int")).alias("exact"), (-F.length(a["prefix"])).alias("n"), a.alias("a"))))
+
+    def through(best: Column) -> Column:
+        star = F.substring(cut, F.length(best["prefix"]) + 1, F.length(cut) - F.length(best["prefix"]) - F.length(best["suffix"]))
+        return F.flatten(F.transform(best["targets"], lambda t: script_file(paths.clean(paths.join(config["paths_base"], F.when(best["wildcard"], F.replace(t, F.lit("*"), star)).otherwise(t))))))
+
+    aliased = paths.let(F.get(ranked, F.lit(0))["a"], through)
     based = F.when(config["base_url"].isNotNull(), script_file(paths.clean(paths.join(config["base_url"], cut)))).otherwise(_none())
     bare = F.concat(F.coalesce(aliased, _none()), F.coalesce(based, _none()))
     return F.when(cut.rlike(r"^(/|\.\.?(/|$))"), local).otherwise(bare)
@@ -146,10 +158,10 @@ def windows_script(path: Column, raw: Column) -> Column:
     slashes = F.replace(raw, F.lit("\\"), F.lit("/"))
     at = F.when(slashes.rlike(r"^(/|[A-Za-z]:)"), paths.clean(slashes)).otherwise(in_folder(path, slashes))
     name = paths.basename(slashes)
-    inner = F.concat(at, F.lit("/"), paths.basename(at))
+    by_path = lambda x: F.concat(_each(x, SCRIPT_EXTENSIONS), _each(F.concat(x, F.lit("/"), paths.basename(x)), [".psd1", ".psm1"]))
     by_name = _each(F.concat(F.lit("winscript:"), paths.ascii_lower(name)), SCRIPT_EXTENSIONS)
     module = F.concat(F.lit("psmod:"), F.regexp_replace(paths.ascii_lower(name), r"\.ps[md]1$", ""))
-    return F.concat(_each(at, SCRIPT_EXTENSIONS), _each(inner, [".psd1", ".psm1"]), by_name, F.array(module))
+    return F.concat(paths.let(at, by_path), by_name, F.array(module))
 
 
 def candidates(refs: DataFrame) -> DataFrame:

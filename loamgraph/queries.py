@@ -411,7 +411,7 @@ CODE_SQL = WITH_FILES + ", " + LINES_SQL + """, code AS (SELECT file_id, path, l
   totals AS (SELECT grp, sum(n)::BIGINT AS sloc, sum(chars)::BIGINT AS chars, coalesce(sum(complexity), 0)::BIGINT AS decisions, coalesce(sum(CASE WHEN complexity IS NOT NULL THEN n END), 0)::BIGINT AS decision_sloc, count(*) AS files FROM code WHERE n > 0 GROUP BY grp),
   groups AS (SELECT g.grp, coalesce(sloc, 0) AS sloc, coalesce(chars, 0) AS chars, coalesce(decisions, 0) AS decisions, coalesce(decision_sloc, 0) AS decision_sloc, coalesce(files, 0) AS files FROM (SELECT DISTINCT grp FROM code) g LEFT JOIN totals t ON t.grp = g.grp),
   est AS (SELECT *, CASE WHEN sloc > 0 THEN 2.4::DOUBLE * pow(sloc / 1000.0::DOUBLE, 1.05::DOUBLE) ELSE 0 END AS effort, CASE WHEN sloc > 0 THEN chars / 4.0::DOUBLE ELSE 0 END AS kept,
-    CASE WHEN sloc > 0 THEN 300.0::DOUBLE * coalesce(least(greatest(decisions / nullif(decision_sloc, 0)::DOUBLE / 0.2::DOUBLE, 0.5::DOUBLE), 2.0::DOUBLE), 1.0::DOUBLE) * (1.0 + 0.5::DOUBLE * log10(greatest(sloc / 1000.0::DOUBLE, 1.0::DOUBLE))) ELSE 0 END AS multiplier FROM groups)"""
+    CASE WHEN sloc > 0 THEN 300.0::DOUBLE * CASE WHEN decision_sloc > 0 THEN least(greatest(decisions / nullif(decision_sloc, 0)::DOUBLE / 0.2::DOUBLE, 0.5::DOUBLE), 2.0::DOUBLE) ELSE 1.0::DOUBLE END * (1.0 + 0.5::DOUBLE * log10(greatest(sloc / 1000.0::DOUBLE, 1.0::DOUBLE))) ELSE 0 END AS multiplier FROM groups)"""
 
 
 @query(CODE_SQL + "SELECT * FROM groups")

@@ -161,8 +161,8 @@ def statistics(text: str, f: Facts) -> dict:
     """Line and function statistics of a scanned text."""
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
     if starts[-1] == len(text):
-        starts.pop()
-    row = lambda at: bisect.bisect_right(starts, at) - 1
+        starts.pop()  # a last line end opens no line, and an empty text has none
+    row = lambda at: max(0, bisect.bisect_right(starts, at) - 1)
     touched, led = set(), set()
     for a, b in f.comments:
         first, last = row(a), row(max(a, b - 1))
@@ -170,7 +170,7 @@ def statistics(text: str, f: Facts) -> dict:
         led.update(range(first + 1, last + 1))
         if not text[starts[first] : a].strip(" \t\r\f"):
             led.add(first)
-    ends = [*starts[1:], len(text)]
+    ends = [*starts[1:], len(text)][: len(starts)]
     blank_lines, widest, before, ups = 0, 0, -1, [0] * 9
     for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
         line = text[a:b]

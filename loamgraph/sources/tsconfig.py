@@ -45,7 +45,8 @@ def configs(files: DataFrame) -> DataFrame:
             got = [parse(t or "") for t in b["text"]]
             yield pd.DataFrame({"path": b["path"], "base": [g["base"] for g in got], "aliases": [g["aliases"] for g in got], "up": [g["up"] for g in got]})
 
-    some = files.filter(paths.basename(F.col("path")).rlike(r"^(ts|js)config.*\.json$")).select("path", "text")
+    # what is extended may have any name
+    some = files.filter(F.endswith("path", F.lit(".json")) & (F.contains("text", F.lit('"compilerOptions"')) | F.contains("text", F.lit('"extends"')))).select("path", "text")
     raw = some.mapInPandas(run, f"path string, base string, aliases {ALIASES}, up string")
     d = paths.dirname(F.col("path"))
     base = F.when(F.col("base").isNotNull(), paths.clean(paths.join(d, F.col("base"))))
