@@ -25,8 +25,7 @@ def basename(p: Column) -> Column:
 
 def dirname(p: Column) -> Column:
     """Without a slash `.`; a slash in front only: `/`."""
-    cut = F.regexp_replace(p, r"/[^/]*$", "")
-    return F.when(F.instr(p, "/") == 0, ".").when(cut == "", "/").otherwise(cut)
+    return let(p, lambda x: F.when(F.instr(x, "/") == 0, ".").otherwise(F.coalesce(F.nullif(F.regexp_replace(x, r"/[^/]*$", ""), F.lit("")), F.lit("/"))))
 
 
 def extension(p: Column) -> Column:

@@ -28,8 +28,7 @@ def language_of(path: Column) -> Column:
 
 
 def is_noise(path: Column) -> Column:
-    name = paths.basename(path)
-    return name.isin("package-lock.json", "npm-shrinkwrap.json") | (F.endswith(name, F.lit(".min.js")) & (F.length(name) > 7))
+    return paths.let(paths.basename(path), lambda name: name.isin("package-lock.json", "npm-shrinkwrap.json") | (F.endswith(name, F.lit(".min.js")) & (F.length(name) > 7)))
 
 
 def claimed(listing: DataFrame) -> DataFrame:
