@@ -198,9 +198,9 @@ def hot_functions_topk(spark, sf_dir):
     return hot.select("file_id", F.array_join(F.transform("hot", lambda x: F.concat_ws(":", x["complexity"], x["line"])), ",").alias("hot"))
 
 
-@query("SELECT o_orderkey, 5.0 + 11.0 * least(1.0::DOUBLE, log10(greatest((o_orderkey % 9000)::DOUBLE, 1.0::DOUBLE)) / log10(5000.0::DOUBLE)) AS size FROM orders")
+@query("SELECT o_orderkey, round(5.0::DOUBLE + 11.0 * least(1.0::DOUBLE, log10(greatest((o_orderkey % 9000)::DOUBLE, 1.0::DOUBLE)) / log10(5000.0::DOUBLE)), 6) AS size FROM orders")
 def node_size(spark, sf_dir):
-    return corpus.table(spark, sf_dir, "orders").select("o_orderkey", values.node_size(F.col("o_orderkey") % 9000).alias("size"))
+    return corpus.table(spark, sf_dir, "orders").select("o_orderkey", F.round(values.node_size(F.col("o_orderkey") % 9000), 6).alias("size"))
 
 
 # --- resolution ----------------------------------------------------------------
