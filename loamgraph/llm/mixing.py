@@ -164,5 +164,6 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """
     taken = materialise(mix(docs, **how).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("z")), "mix-taken")
     copies = taken.filter("2 * t >= z and z > 0").select(F.col("doc_id").alias("_id"), F.round(F.col("t") / F.col("z")).cast("int").alias("_copies"))
-    both = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    # the ids grow with the documents, so they are never broadcast
+    both = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(copies["_id"]))
     return both.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])

@@ -365,7 +365,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keep = materialise(keep, "keep").withColumnRenamed("doc_id", "_id")
     words = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
     rows = docs.withColumn("_words", words & F.col("doc_id").isNotNull())
-    some = rows.filter("_words").join(keep, F.col("doc_id").cast("long") == F.col("_id"))
+    # the ids grow with the documents, so they are never broadcast
+    some = rows.filter("_words").join(keep.hint("merge"), F.col("doc_id").cast("long") == F.col("_id"))
     single = some.filter("_rows = 1").select(*docs.columns)
     several = some.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
     return single.unionByName(several).unionByName(rows.filter("not _words").select(*docs.columns))
