@@ -22,7 +22,7 @@ from .common import per_document
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries of a memo before it is emptied; it only saves time.
-MEMO = 400_000
+MEMO = 150_000
 NEVER = 1 << 60
 
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, per_document
+from .common import fold, per_document, release
 
 #: Labelled documents a language that the trigram model is fitted on, about (a fraction by hash of the id): the bound of the sample.
 TRAIN_DOCS = 2_000
@@ -174,7 +174,9 @@ def keep_identified(docs: DataFrame, model: Model, least: float = KEEP) -> DataF
 
         m = known.value
         found = (m.predict(t) for t in text)
-        return pd.Series([lang != "und" and bool(shares) and shares[0] >= least for lang, _, _, shares in found], dtype=bool)
+        out = pd.Series([lang != "und" and bool(shares) and shares[0] >= least for lang, _, _, shares in found], dtype=bool)
+        release()
+        return out
 
     return docs.filter(kept(F.col("text")))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise
-from .common import hashed_words, mixed, per_document, slices
+from .common import hashed_words, mixed, per_document, release, slices
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -86,6 +86,7 @@ def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     if size >= WINDOW:
                         yield flush()
                         held, size = [], 0
+            release()
         if held:
             yield flush()
 
@@ -287,6 +288,7 @@ def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 d.append(1 - inter / union if union else 1.0)
                 hit.append(bool(union) and bool(linked(inter, len(kept), len(q))))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d, pa.float64()), pa.array(hit, pa.bool_())], names=["a", "b", "d", "link"])
+            release()
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
