@@ -10,8 +10,8 @@ WINDOW, LEAST_LINES, BUCKET, RESULTS = 50, 5, 64, 20_000
 
 def windows(tokens: DataFrame, size: int = WINDOW) -> DataFrame:
     """(file_id, toks array) -> file_id, pos (from 0), h: a hash of each run of `size` tokens."""
-    some = tokens.filter(F.size("toks") >= size)
-    return some.select("file_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("toks") - size + 1), lambda i: F.xxhash64(F.array_join(F.slice("toks", i, size), "\x01")))).alias("pos", "h"))
+    some = tokens.filter(F.size("toks") >= size).select("file_id", F.transform("toks", lambda x: F.xxhash64(x)).alias("hs"))
+    return some.select("file_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("hs") - size + 1), lambda i: F.xxhash64(F.slice("hs", i, size)))).alias("pos", "h"))
 
 
 def buckets(wins: DataFrame, most: int = BUCKET) -> DataFrame:
