@@ -2,15 +2,16 @@
 
 Patterns find the protected entities. For each of them corpus co-occurrence
 says how strongly a term near it reveals it: with N documents, df the number of
-documents that hold something and c the number of different windows in which
-term and entity stand together,
+documents that hold something and c the number of documents in which term and
+entity stand together,
 
     pmi = log(c * N / (df(term) * df(entity))),   information = log(N / df(entity)).
 
 A term with pmi >= GENERALISE * information discloses the entity and is
-generalised to its class; from REMOVE * information on it is removed. Pairs
-with c < SUPPORT are no evidence. Equal windows count once, so that copies of a
-document don't make its words disclosing.
+generalised to its class; from REMOVE * information on it is removed. Every row
+is a document in all three counts, copies included. Pairs in fewer than SUPPORT
+different texts are no evidence, so that copies of one document alone don't make
+its words disclosing.
 """
 
 from __future__ import annotations
@@ -94,8 +95,8 @@ def entity_of(text: str, kind: int) -> int:
     return term_of(f"{KINDS[kind]}\0{value}")
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """(entity, window, term, start, stop) of each word within WINDOW words of an entity; numbers and entities' own parts aside."""
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(entity, term, start, stop) of each word within WINDOW words of an entity; numbers and entities' own parts aside."""
     out = []
     reach = WINDOW * 24
     for a, k, b in spans:
@@ -110,30 +111,30 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
             w = m.group()
             if not any(c.isdigit() for c in w) and not any(x < m.end() and m.start() < y for x, _, y in spans):
                 near.append((term_of(w.lower()), m.start(), m.end()))
-        window = term_of(" ".join(str(t) for t, _, _ in near))
         e = entity_of(text[a:b], k)
-        out += [(e, window, t, x, y) for t, x, y in near]
+        out += [(e, t, x, y) for t, x, y in near]
     return out
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """doc_id, content (a hash of the text), base spans and contexts of each row."""
+    """doc_id, content (a hash of the text), base spans, different entities and contexts of each row."""
 
     def make():
         def each(rows):
-            out = {"doc_id": rows["doc_id"], "content": [], "base": [], "near": []}
+            out = {"doc_id": rows["doc_id"], "content": [], "base": [], "entities": [], "near": []}
             for t in rows["text"]:
                 t = t or ""
                 spans = entities(t)
                 out["content"].append(term_of(t) if spans else 0)
                 out["base"].append([{"start": a, "kind": k, "stop": b} for a, k, b in spans])
-                out["near"].append([dict(zip(("entity", "win", "term", "start", "stop"), x, strict=True)) for x in contexts(t, spans)] if spans else [])
+                out["entities"].append(sorted({entity_of(t[a:b], k) for a, k, b in spans}))
+                out["near"].append([dict(zip(("entity", "term", "start", "stop"), x, strict=True)) for x in contexts(t, spans)] if spans else [])
             return out
 
         return each
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return per_document(docs, ["doc_id", "text"], f"doc_id {kind}, content long, base array<struct<start:int,kind:int,stop:int>>, near array<struct<entity:long,win:long,term:long,start:int,stop:int>>", make)
+    return per_document(docs, ["doc_id", "text"], f"doc_id {kind}, content long, base array<struct<start:int,kind:int,stop:int>>, entities array<long>, near array<struct<entity:long,term:long,start:int,stop:int>>", make)
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
@@ -154,13 +155,15 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
 def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """(entity, term, ratio) of the pairs in which the term discloses the entity."""
-    near = scanned.filter(F.size("near") > 0).select("doc_id", "content", F.explode("near").alias("x")).select("doc_id", "content", "x.entity", "x.win", "x.term")
+    pairs = F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
+    near = scanned.filter(F.size("near") > 0).select("content", F.explode(pairs).alias("x")).select("content", "x.*")
     total = docs.count()
-    together = near.groupBy("entity", "term", "win").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.sum("one").alias("c")).filter(F.col("c") >= SUPPORT)
+    texts = near.groupBy("entity", "term", "content").agg(F.count(F.lit(1)).alias("copies"))
+    together = texts.groupBy("entity", "term").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("support")).filter(F.col("support") >= SUPPORT)
     together = materialise(together, "pii-pairs")
     terms = together.select("term").distinct()
     df_term = _word_counts(docs).join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df_term"))
-    df_entity = near.select("entity", "doc_id", "content").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
+    df_entity = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
     rows = together.join(df_term, "term").join(df_entity, "entity")
     ratio = F.log(F.col("c") * F.lit(float(total)) / (F.col("df_term").cast("double") * F.col("df_entity"))) / F.log(F.lit(float(total)) / F.col("df_entity"))
     return rows.filter(F.col("df_entity") < total).select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= GENERALISE)

@@ -60,6 +60,19 @@ def test_disclosure(spark):
     assert "[EMAIL]" in clean[60] and "zanzibar" not in clean[60] and clean[0] == texts[0] and clean[70] is None
 
 
+def test_copies_and_boilerplate(spark):
+    texts = [f"plain filler about nothing {'ab'[i % 2]}" for i in range(1000)]
+    texts += [f"{w} asks zanzibar at ann.lee@mail.example.com" for w in ("one", "two", "three", "four", "five") for _ in range(40)]
+    texts += [f"story {i} of its own " + "and so on " * 5 + "contact quuxhelp at desk@corp.example.com" for i in range(50)]
+    texts += ["lonely xylophone at only.copies@mail.example.com"] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    # a term that always stands with the entity discloses it, however often the texts are copied or the line is repeated
+    assert not any("zanzibar" in clean[i] for i in range(1000, 1200)) and not any("quuxhelp" in clean[i] for i in range(1200, 1250))
+    # copies of one text are no evidence
+    assert all("xylophone" in clean[i] for i in range(1250, 1280))
+
+
 def test_query_digest(spark):
     from loamgraph.llm.common import table
 
