@@ -1,14 +1,16 @@
 """Personal data: patterns, and terms that give the entities away.
 
 Patterns find the protected entities. For each of them corpus co-occurrence
-says how strongly a term near it reveals it: with N documents, df the number of
-documents that hold something and c the number of documents in which term and
-entity stand together,
+says how strongly a term of the same text reveals it: with N documents, df the
+number of documents that hold something and c the number of documents in which
+term and entity stand together, wherever in them,
 
     pmi = log(c * N / (df(term) * df(entity))),   information = log(N / df(entity)).
 
 A term with pmi >= GENERALISE * information discloses the entity and is
-generalised to its class; from REMOVE * information on it is removed. Every row
+generalised to its class; from REMOVE * information on it is removed, at each of
+its places in the texts that hold the entity. Terms are words that touch no
+entity, numbers too. Every row
 is a document in all three counts, copies included. Pairs in fewer than SUPPORT
 different texts are no evidence, so that copies of one document alone don't make
 its words disclosing.
@@ -17,7 +19,10 @@ its words disclosing.
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +34,7 @@ from .spans import digest, joined, replaced
 KINDS = ["email", "ip", "card", "phone"]
 ALL_KINDS = [*KINDS, "term", "termdel"]
 LABELS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", ""]
-WINDOW, SUPPORT, GENERALISE, REMOVE = 6, 3, 0.7, 0.9
+SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.9
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -95,56 +100,72 @@ def entity_of(text: str, kind: int) -> int:
     return term_of(f"{KINDS[kind]}\0{value}")
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, stop) of each word within WINDOW words of an entity; numbers and entities' own parts aside."""
-    out = []
-    reach = WINDOW * 24
-    for a, k, b in spans:
-        near = []
-        left = [m for m in _WORD.finditer(text, max(0, a - reach), a)][-WINDOW:]
-        right = []
-        for m in _WORD.finditer(text, b, min(len(text), b + reach)):
-            right.append(m)
-            if len(right) == WINDOW:
-                break
-        for m in left + right:
-            w = m.group()
-            if not any(c.isdigit() for c in w) and not any(x < m.end() and m.start() < y for x, _, y in spans):
-                near.append((term_of(w.lower()), m.start(), m.end()))
-        e = entity_of(text[a:b], k)
-        out += [(e, t, x, y) for t, x, y in near]
-    return out
+def words(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(word in lower case, start, stop) of each word that touches no span; linear in the text."""
+    cover, at, reach = sorted((a, b) for a, _, b in spans), 0, -1
+    for m in _WORD.finditer(text):
+        while at < len(cover) and cover[at][0] < m.end():
+            reach = max(reach, cover[at][1])
+            at += 1
+        if m.start() >= reach:
+            yield m.group().lower(), m.start(), m.end()
+
+
+def places(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[int], bytes]:
+    """Different terms of the text, and where they are: for each word its term's place in that list, the gap before it and its length, packed."""
+    known: dict[str, int] = {}
+    rows = [(known.setdefault(w, len(known)), a, b) for w, a, b in words(text, spans)]
+    p = np.array(rows, "<u4").reshape(-1, 3).T.copy()
+    p[2] -= p[1]
+    p[1] = np.diff(p[1], prepend=np.zeros(1, "<u4"))
+    return list(map(term_of, known)), zlib.compress(p.view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1).tobytes(), 1)
+
+
+def placed(packed: bytes) -> np.ndarray:
+    """(term's place, start, stop) of each word, from what places() packed."""
+    p = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(3, 4, -1).transpose(0, 2, 1).copy().view("<u4")[:, :, 0].astype(np.int64)
+    p[1] = np.cumsum(p[1])
+    p[2] += p[1]
+    return p.T
+
+
+_BASE = "array<struct<start:int,kind:int,stop:int>>"
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """doc_id, content (a hash of the text), base spans, different entities and contexts of each row."""
+    """doc_id, content (a hash of the text), base spans, different entities and terms, and the terms' places; no terms without base spans."""
 
     def make():
         def each(rows):
-            out = {"doc_id": rows["doc_id"], "content": [], "base": [], "entities": [], "near": []}
+            out = {"doc_id": rows["doc_id"], "content": [], "base": [], "entities": [], "terms": [], "places": []}
             for t in rows["text"]:
                 t = t or ""
                 spans = entities(t)
+                terms, packed = places(t, spans) if spans else ([], None)
                 out["content"].append(term_of(t) if spans else 0)
                 out["base"].append([{"start": a, "kind": k, "stop": b} for a, k, b in spans])
                 out["entities"].append(sorted({entity_of(t[a:b], k) for a, k, b in spans}))
-                out["near"].append([dict(zip(("entity", "term", "start", "stop"), x, strict=True)) for x in contexts(t, spans)] if spans else [])
+                out["terms"].append(terms)
+                out["places"].append(packed)
             return out
 
         return each
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return per_document(docs, ["doc_id", "text"], f"doc_id {kind}, content long, base array<struct<start:int,kind:int,stop:int>>, entities array<long>, near array<struct<entity:long,term:long,start:int,stop:int>>", make)
+    return per_document(docs, ["doc_id", "text"], f"doc_id {kind}, content long, base {_BASE}, entities array<long>, terms array<long>, places binary", make)
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
-    """(term, n): documents that hold the word, summed over each slice of rows."""
+    """(term, n): documents that hold the word outside entities, summed over each slice of rows."""
 
     def make():
         def each(rows):
             total: dict[str, int] = {}
             for t in rows["text"]:
-                for w in set(_WORD.findall((t or "").lower())):
+                t = t or ""
+                spans = entities(t)
+                found = {w for w, _, _ in words(t, spans)} if spans else {w.lower() for w in set(_WORD.findall(t))}
+                for w in found:
                     total[w] = total.get(w, 0) + 1
             return {"term": list(map(term_of, total)), "n": list(total.values())}
 
@@ -154,19 +175,49 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
 
 def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(entity, term, ratio) of the pairs in which the term discloses the entity."""
-    pairs = F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
-    near = scanned.filter(F.size("near") > 0).select("content", F.explode(pairs).alias("x")).select("content", "x.*")
+    """(content, term, ratio): the terms of each text that disclose an entity in it, with the highest ratio.
+
+    Pairs aren't made of terms and entities that cannot reach SUPPORT or
+    GENERALISE: with c <= df(entity), the ratio needs
+    df(term) <= N^(1 - GENERALISE) * df(entity)^GENERALISE.
+    """
     total = docs.count()
-    texts = near.groupBy("entity", "term", "content").agg(F.count(F.lit(1)).alias("copies"))
-    together = texts.groupBy("entity", "term").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("support")).filter(F.col("support") >= SUPPORT)
-    together = materialise(together, "pii-pairs")
-    terms = together.select("term").distinct()
-    df_term = _word_counts(docs).join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df_term"))
-    df_entity = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
-    rows = together.join(df_term, "term").join(df_entity, "entity")
+    held = scanned.filter(F.size("base") > 0)
+    holders = held.select("content", F.explode("entities").alias("entity")).groupBy("entity", "content").agg(F.count(F.lit(1)).alias("copies"))
+    df_entity = holders.groupBy("entity").agg(F.sum("copies").alias("df_entity"), F.count(F.lit(1)).alias("support"))
+    df_entity = df_entity.filter((F.col("support") >= SUPPORT) & (F.col("df_entity") < total)).select("entity", "df_entity")
+    most = F.lit(1 + 1e-9) * F.pow(F.lit(float(max(1, total))), F.lit(1 - GENERALISE)) * F.pow(F.col("df_entity").cast("double"), F.lit(GENERALISE))
+    holders = materialise(holders.join(df_entity, "entity").withColumn("most", most), "pii-entities")
+    bounds = holders.groupBy("content").agg(F.max("most").alias("most_here"))
+    # copies of a text are one row from here on
+    terms = held.select("content", F.explode("terms").alias("term")).distinct().join(bounds, "content")
+    df_term = _word_counts(docs).groupBy("term").agg(F.sum("n").alias("df_term")).filter(F.col("df_term") >= SUPPORT)
+    terms = materialise(terms.join(df_term, "term").filter(F.col("df_term") <= F.col("most_here")).select("content", "term", "df_term"), "pii-terms")
+    pairs = terms.join(holders, "content").filter(F.col("df_term") <= F.col("most"))
+    told = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("support"), F.first("df_term").alias("df_term"), F.first("df_entity").alias("df_entity")).filter(F.col("support") >= SUPPORT)
     ratio = F.log(F.col("c") * F.lit(float(total)) / (F.col("df_term").cast("double") * F.col("df_entity"))) / F.log(F.lit(float(total)) / F.col("df_entity"))
-    return rows.filter(F.col("df_entity") < total).select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= GENERALISE)
+    told = materialise(told.select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= GENERALISE), "pii-told")
+    return terms.select("content", "term").join(told, "term").join(holders.select("content", "entity"), ["content", "entity"]).groupBy("content", "term").agg(F.max("ratio").alias("ratio"))
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """doc_id, content, base, more of rows that also have `told`, the text's disclosing terms and their kinds."""
+
+    def make():
+        def each(rows):
+            out = {k: rows[k] for k in ("doc_id", "content", "base")} | {"more": []}
+            for told, terms, packed in zip(rows["told"], rows["terms"], rows["places"], strict=True):
+                known = {x["term"]: x["kind"] for x in told}
+                kinds = np.array([known.get(t, -1) for t in terms], np.int64)
+                p = placed(packed)
+                p = p[kinds[p[:, 0]] >= 0]
+                out["more"].append([{"start": a, "kind": k, "stop": b} for a, k, b in zip(p[:, 1].tolist(), kinds[p[:, 0]].tolist(), p[:, 2].tolist(), strict=True)])
+            return out
+
+        return each
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return per_document(rows, ["doc_id", "content", "base", "told", "terms", "places"], f"doc_id {kind}, content long, base {_BASE}, more {_BASE}", make)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -180,16 +231,12 @@ def find(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     scanned = materialise(_scan(docs), "pii-scan")
     told = disclosures(docs, scanned)
-    near = scanned.filter(F.size("near") > 0).select("doc_id", "content", F.explode("near").alias("x")).select("doc_id", "content", "x.*")
     kind = F.when(F.col("ratio") >= REMOVE, ALL_KINDS.index("termdel")).otherwise(ALL_KINDS.index("term"))
-    found = (
-        near.join(told, ["entity", "term"])
-        .groupBy("doc_id", "content", "start", "stop").agg(F.max(kind).alias("kind"))
-        .groupBy("doc_id", "content").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop"))).alias("more"))
-        .withColumnsRenamed({"doc_id": "_id", "content": "_content"})
-    )
-    out = scanned.select("doc_id", "content", "base").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")), "left")
-    return out.select("doc_id", "content", "base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,stop:int>>")).alias("more"))
+    told = told.groupBy("content").agg(F.collect_list(F.struct("term", kind.alias("kind"))).alias("told"))
+    rows = scanned.filter(F.size("base") > 0).join(told, "content", "left")
+    none = F.array().cast(_BASE)
+    plain = rows.filter(F.col("told").isNull()).unionByName(scanned.filter(F.size("base") == 0), allowMissingColumns=True)
+    return _marked(rows.filter(F.col("told").isNotNull())).unionByName(plain.select("doc_id", "content", "base", none.alias("more")))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

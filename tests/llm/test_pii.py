@@ -73,6 +73,31 @@ def test_copies_and_boilerplate(spark):
     assert all("xylophone" in clean[i] for i in range(1250, 1280))
 
 
+def test_whole_texts(spark):
+    texts = [f"plain filler about nothing {'ab'[i % 2]}" for i in range(1000)]
+    long = "verylongwordmadeofthirtyfourletters"
+    far = " ".join(["and so on"] * 10)
+    texts += [f"Zanzibar {'abcdef'[i]} {far} jsmith84 4711 {' ' * 300} {long} {long} {long} {long} {long} ann.lee@mail.example.com {far} zanzibar {i} 😀 ZANZIBAR" for i in range(6)]
+    texts += ["zanzibar without it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert len(rows) == len(texts) and rows[1006].more == []
+    for i in range(1000, 1006):
+        shown = sorted(texts[i][s.start : s.stop] for s in rows[i].more)
+        assert shown == sorted(["Zanzibar", "zanzibar", "ZANZIBAR", "jsmith84", "4711", *[long] * 5, *["and", "so", "on"] * 20])
+
+
+def test_places():
+    r = random.Random(5)
+    for _ in range(500):
+        t = "".join(r.choice(["ab", "AB", " ", "7", "İ", ".", "@", "c.de", "x@y.z", "  "]) for _ in range(r.randrange(30)))
+        spans = pii.entities(t)
+        want = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
+        assert list(pii.words(t, spans)) == want
+        terms, packed = pii.places(t, spans)
+        assert [(terms[k], a, b) for k, a, b in pii.placed(packed).tolist()] == [(pii.term_of(w), a, b) for w, a, b in want]
+
+
 def test_query_digest(spark):
     from loamgraph.llm.common import table
 
