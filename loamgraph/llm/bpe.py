@@ -14,15 +14,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
+from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import per_document
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Entries of a memo before it is emptied; it only saves time.
-MEMO = 150_000
+#: Entries of a memo's younger half: when it is full it becomes the older half, and what was in that one and isn't used goes. It only saves time.
+MEMO = 200_000
+LONGEST_KEPT = 64
 NEVER = 1 << 60
 
 
@@ -41,16 +45,21 @@ class Codec:
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
         self.size = {i: len(b) for b, i in ranks.items()}
+        self.shown = {i: str(i) for i in ranks.values()}
         self.pieces = regex.compile(pattern)
         self.tree = ahocorasick.Automaton()
         for b, i in ranks.items():
             self.tree.add_word(b.decode("latin-1"), i)
         self.tree.make_automaton()
-        self.longest = max(map(len, ranks), default=0)
+        # each memo has a younger and an older half
         self.fits: dict[tuple[int, int], bool] = {}
+        self.old_fits: dict[tuple[int, int], bool] = {}
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.shorter: dict[int, int] = {}
-        self.memo: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.firsts: dict[tuple[int, int], int] = {}
+        self.old_firsts: dict[tuple[int, int], int] = {}
+        self.memo: dict[str, bytes] = {}
+        self.old_memo: dict[str, bytes] = {}
 
     def merged(self, data: bytes, trace: list | None = None) -> list[int]:
         """Plain merging by rank, for the bytes of one or two tokens; trace gets the pair of each merge."""
@@ -90,8 +99,8 @@ class Codec:
         if found is not None:
             return found
         if len(self.fits) > MEMO:
-            self.fits.clear()
-        token, rank, a, b, limit, found = self.token, self.ranks.get, left, right, NEVER, None
+            self.fits, self.old_fits = {}, self.fits
+        token, rank, a, b, limit, found = self.token, self.ranks.get, left, right, NEVER, self.old_fits.get(key)
         while found is None:
             across = rank(token[a] + token[b])
             if across is not None and across < limit:
@@ -119,52 +128,78 @@ class Codec:
             found = self.shorter[token] = next((self.ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in self.ranks), -1)
         return found
 
+    def first_fit(self, before: int, token: int) -> int:
+        """Of the token and its shorter prefixes that are tokens, the longest that may follow `before`; -1 if none may."""
+        key, shorter = (before, token), self.shorter
+        known = self.old_firsts.get(key)
+        if known is not None:
+            token = known
+        else:
+            while token >= 0 and not self.compatible(before, token):
+                token = shorter[token] if token in shorter else self.prefix(token)
+        if len(self.firsts) > MEMO:
+            self.firsts, self.old_firsts = {}, self.firsts
+        self.firsts[key] = token
+        return token
+
     def piece(self, data: bytes) -> list[int]:
+        """Ids of one piece: the longest match at each place, or a shorter one where that doesn't fit what stands before it."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
         text, end = data.decode("latin-1"), len(data)
-        size, fits, compatible, longest, reach = self.size, self.fits.get, self.compatible, self.tree.iter_long, self.longest
-        dead: set[tuple[int, int]] = set()  # (position, token before it) from which the end is out of reach
-        out: list[int] = []
-        at, before, token = 0, -1, next(longest(text[:reach]))[1]
-        while True:
-            if token >= 0:
-                fit = before < 0 or fits((before, token))
-                if fit is None:
-                    fit = compatible(before, token)
-                if fit and not (dead and (at + size[token], token) in dead):
-                    out.append(token)
-                    at += size[token]
-                    if at == end:
-                        return out
-                    before, token = token, next(longest(text[at : at + reach]))[1]
-                else:
-                    token = self.prefix(token)
-                continue
-            dead.add((at, before))
-            token = out.pop()
-            at, before, token = at - size[token], out[-1] if out else -1, self.prefix(token)
-
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """Ids, and the same in decimal joined by commas."""
-        ids: list[int] = []
-        shown: list[str] = []
-        memo = self.memo
-        for p in self.pieces.findall(text):
-            got = memo.get(p)
-            if got is None:
-                found = self.piece(p.encode())
-                got = (tuple(found), ",".join(map(str, found)))
-                if len(p) <= 64:
-                    if len(memo) > MEMO:
-                        memo.clear()
-                    memo[p] = got
-            ids += got[0]
-            shown.append(got[1])
-        return ids, ",".join(shown)
-
-    def decode(self, ids: list[int]) -> bytes:
+        size, longest, firsts = self.size, self.tree.iter_long, self.firsts.get
+        match: dict[int, int] = {}  # longest tokens by place, as far as they have been asked for
+        here = 0
+        for stop, token in longest(text):
+            match[here] = token
+            here = stop + 1
+        dead: set[tuple[int, int]] = set()  # (place, token before it) from which the end is out of reach
+        token = match[0]
+        out, at, before = [token], size[token], token
+        while at < end:
+            token = match.get(at)
+            if token is None:
+                here = at
+                for stop, found in longest(text[at:]):
+                    if here in match:  # the same tokens follow as before
+                        break
+                    match[here] = found
+                    here = at + stop + 1
+                token = match[at]
+            fit = firsts((before, token))
+            token = self.first_fit(before, token) if fit is None else fit
+            while token < 0 or (dead and (at + size[token], token) in dead):
+                if token < 0:  # back to the token before, and on to its next shorter prefix
+                    dead.add((at, before))
+                    token = out.pop()
+                    at -= size[token]
+                    before = out[-1] if out else -1
+                token = self.prefix(token)
+                if token >= 0 and before >= 0:
+                    token = self.first_fit(before, token)
+            out.append(token)
+            at += size[token]
+            before = token
+        return out
+
+    def packed(self, piece: str) -> bytes:
+        """Ids of a piece, four bytes each, by way of the memo."""
+        got = self.old_memo.get(piece)
+        if got is None:
+            got = array("i", self.piece(piece.encode("utf-8", "replace"))).tobytes()
+        if len(piece) <= LONGEST_KEPT:
+            if len(self.memo) > MEMO:
+                self.memo, self.old_memo = {}, self.memo
+            self.memo[piece] = got
+        return got
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of the text."""
+        get, packed = self.memo.get, self.packed  # an outdated younger half costs calls, no more
+        return np.frombuffer(b"".join([get(p) or packed(p) for p in self.pieces.findall(text)]), np.int32)
+
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
@@ -197,7 +232,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         c = codec(ranks.value, pattern)
 
         def each(rows):
-            ids = [c.encode(t or "")[0] for t in rows["text"]]
+            ids = [c.encode(t or "") for t in rows["text"]]
             return {"doc_id": rows["doc_id"], "ids": ids, "n_tokens": [len(x) for x in ids]}
 
         return each
@@ -227,9 +262,9 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         def each(rows):
             out = {"doc_id": rows["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for t in rows["text"]:
-                ids, shown = c.encode(t or "")
+                ids = c.encode(t or "").tolist()
                 out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(shown.encode()).hexdigest())
+                out["ids_sha256"].append(hashlib.sha256(",".join(map(c.shown.__getitem__, ids)).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(c.decode(ids)).hexdigest())
             return out
 

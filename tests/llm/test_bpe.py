@@ -20,9 +20,9 @@ def both():
 @pytest.mark.parametrize("text", CASES)
 def test_cases(both, text):
     own, ref = both
-    ids, shown = own.encode(text)
+    ids = own.encode(text).tolist()
     assert ids == ref.encode_ordinary(text)
-    assert shown == ",".join(map(str, ids)) and own.decode(ids) == text.encode()
+    assert own.decode(ids) == text.encode()
 
 
 def test_random(both):
@@ -32,7 +32,7 @@ def test_random(both):
         kind = r.randrange(4)
         pool = ["abcdefghij", "aàâbéèêç ", "".join(chr(r.randrange(32, 0x3000)) for _ in range(30)), "xyzXYZ09.,-_ \n"][kind]
         text = "".join(r.choice(pool) for _ in range(r.randrange(1, 400)))
-        assert own.encode(text)[0] == ref.encode_ordinary(text)
+        assert own.encode(text).tolist() == ref.encode_ordinary(text)
 
 
 def test_compatible_pairs(both):
