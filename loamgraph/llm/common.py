@@ -26,6 +26,11 @@ def fold_of(doc_id: int | None, mod: int = 5) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod
 
 
+def by_hash(h: Column, size: int, total: int) -> Column:
+    """Whether a 64-bit hash falls into the fraction size / total, whatever the two are."""
+    return F.lit(True) if total <= size else h.bitwiseAND(F.lit((1 << 63) - 1)) < F.lit((size << 63) // total)
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,14 +15,19 @@ from pyspark.sql import functions as F
 from ..session import discard, materialise
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m): the smallest v of each u. Grouped by another form of the key, so that a join with it deals both sides out anew: only then can adaptive execution split a hot key of the join."""
+    return edges.groupBy(F.bitwise_not("u").alias("w")).agg(F.min("v").alias("m")).select(F.bitwise_not("w").alias("u"), "m")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (u, v) with u > v, distinct."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = _least(both).select("u", F.least("u", "m").alias("m"))
         out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = _least(edges)
         out = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.filter("u > v").distinct()
 

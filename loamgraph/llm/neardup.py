@@ -2,18 +2,21 @@
 
 Vectors are made unit length, so that cosine >= c means a distance of at most
 eps = sqrt(2 - 2c), and turned onto the principal axes of a bounded sample (an
-orthogonal turn changes no distance; AXES leading ones make the grid). Cells
-have a side of eps: linked vectors lie in the same or in neighbouring cells on
-every axis. Equal vectors are one row with a count. The vectors are sorted by
-cell and cut into blocks; two blocks meet only if their cells on the first
-GRID axes are neighbours and their bounding boxes are at most eps apart. A
-meeting is a recursive join of two intervals of the order: halves whose boxes
-are provably distant are skipped, small ones are compared in full, in double
-precision.
-
-Blocks, not vectors, are what a hot cell is made of: a cell with a third of all
-vectors is many blocks of BLOCK rows, each pair of which is a task's work of
-its own.
+orthogonal turn changes no distance). On the AXES leading ones space is cut into
+cells of side eps; equal vectors are one class, and the classes are sorted by
+their cells on all of these axes, identical cells by a hash. The sorted sequence
+is cut into blocks of BLOCK.
+
+The sequence is joined with itself recursively: an interval of FAN^k blocks has
+the bounding box of what is in it, a pair of intervals whose boxes are more than
+eps apart is dropped with all that lies below it, others are replaced by the
+pairs of their parts. Down to blocks this is a join of tables of boxes, a level
+a round; inside a pair of blocks it goes on in a task, and pairs of at most LEAF
+vectors a side are compared in full. What a product in single precision can't
+rule out is decided by the cosine of the vectors as given, in double precision.
+
+A cell with a third of all vectors is many blocks, each pair of which is a
+task's work of its own.
 """
 
 from __future__ import annotations
@@ -26,31 +29,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 from .components import components
-from .vectors import dimensions, matrix, unit, valid
+from .vectors import cosines, dimensions, matrix, sample_of, unit, valid
 
-COSINE, BLOCK, LEAF, SAMPLE, AXES, GRID, SLACK = 0.9, 2048, 256, 20_000, 16, 2, 1e-9
+COSINE, BLOCK, LEAF, SAMPLE, AXES, FAN = 0.9, 8192, 256, 20_000, 16, 16
+#: What a cosine of unit vectors in single precision may be wrong by, and a distance computed from coordinates.
+ROUGH, SLACK = 1e-5, 1e-6
 
 
 def axes(rows: DataFrame, dim: int) -> np.ndarray:
     """Principal axes of a sample of about SAMPLE rows, all `dim` of them, as columns."""
-    total = rows.count()
-    share = int(min(1.0, SAMPLE / max(1, total)) * 1_000_000)
-    sample = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit("axes")), F.lit(1_000_000)) < share).select("embedding").toArrow()
-    if not sample.num_rows:
+    x = sample_of(rows, SAMPLE, "axes")
+    if not len(x):
         return np.eye(dim)
-    x = unit(matrix(sample.column(0).combine_chunks(), dim))
+    x = unit(x)
     x = x - x.mean(axis=0)
     return np.linalg.eigh(x.T @ x)[1][:, ::-1]
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, eps: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) with |a_i - b_j| <= eps or a little more, each once; same: a is b, and i < j only.
+def near_pairs(a: np.ndarray, b: np.ndarray, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) of unit vectors whose cosine may reach `cosine`, each once; same: a is b, and i < j only.
 
-    a and b are in grid order with principal coordinates first.
+    a and b are in grid order with principal coordinates first, in single precision.
     """
-    k = min(AXES, a.shape[1])
+    k, eps = min(AXES, a.shape[1]), (2 - 2 * cosine) ** 0.5 + SLACK
+    rough = ROUGH + 1e-7 * a.shape[1] ** 0.5
     stack = [(0, len(a), 0, len(b))]
     while stack:
         i, m, j, n = stack.pop()
@@ -58,11 +62,10 @@ def near_pairs(a: np.ndarray, b: np.ndarray, eps: float, same: bool) -> Iterator
             continue
         p, q = a[i:m, :k], b[j:n, :k]
         gap = np.maximum(0, np.maximum(p.min(0) - q.max(0), q.min(0) - p.max(0)))
-        if (gap * gap).sum() > (eps + SLACK) ** 2:
+        if (gap * gap).sum() > eps**2:
             continue
         if m - i <= LEAF and n - j <= LEAF:
-            dot = a[i:m] @ b[j:n].T
-            x, y = np.nonzero(dot >= 1 - (eps * eps) / 2 - SLACK)
+            x, y = np.nonzero(a[i:m] @ b[j:n].T >= cosine - rough)
             x, y = x + i, y + j
             if same:
                 x, y = x[x < y], y[x < y]
@@ -106,132 +109,151 @@ class Forest:
             self.label = to[self.label]
 
 
-def _prepared(vectors: DataFrame, dim: int, eps: float) -> DataFrame:
-    """Distinct vectors (rep, n, embedding, cells) of one size."""
-    rows = vectors.filter(F.size("embedding") == dim)
-    turn = axes(rows, dim)[:, :GRID]
+def _classes(rows: DataFrame, dim: int, turn: np.ndarray, eps: float) -> DataFrame:
+    """A row for each distinct vector: number, rep (its smallest id), n (its rows), embedding, cell (sorts by its cells on the leading axes)."""
+    lead = turn[:, :AXES]
 
     def cells(batches):
         for batch in batches:
             if batch.num_rows:
-                x = unit(matrix(batch.column("embedding"), dim)) @ turn
-                c = np.floor(x / eps).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c[:, i]) for i in range(GRID))], names=[*batch.schema.names, *(f"c{i}" for i in range(GRID))])
+                c = np.floor(unit(matrix(batch.column("embedding"), dim)) @ lead / eps) + (1 << 15)
+                c = np.clip(c, 0, (1 << 16) - 1).astype(">u2")
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in c], pa.binary())], names=[*batch.schema.names, "cell"])
 
-    distinct = rows.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).select("rep", "n", "embedding")
+    distinct = rows.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    distinct = distinct.select(F.monotonically_increasing_id().alias("number"), "rep", "n", "embedding")
     kind = distinct.schema["embedding"].dataType.simpleString()
-    return distinct.mapInArrow(cells, f"rep long, n long, embedding {kind}, " + ", ".join(f"c{i} int" for i in range(GRID)))
+    return distinct.mapInArrow(cells, f"number long, rep long, n long, embedding {kind}, cell binary")
+
 
+def _blocks(classes: DataFrame, dim: int, turn: np.ndarray) -> DataFrame:
+    """The sorted sequence cut into blocks of BLOCK classes: block, low, high (its box on the leading axes), numbers, reps, copies, data (packed)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    spark, lead = classes.sparkSession, turn[:, :AXES]
+    kind = classes.schema["embedding"].dataType.simpleString()
+
+    def count(batches):
+        from pyspark import TaskContext
 
-def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(vec_id, n_links, edges): direct links of each valid vector, and edges enough to connect what is linked.
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int64)), pa.array(np.arange(at, at + n))], names=[*batch.schema.names, "part", "at"])
+            at += n
+
+    ordered = classes.withColumn("salt", F.xxhash64("number")).repartitionByRange("cell", "salt").sortWithinPartitions("cell", "salt").select("number", "rep", "n", "embedding")
+    ordered = materialise(ordered.mapInArrow(count, f"number long, rep long, n long, embedding {kind}, part long, at long"), "ordered")
+    # one row for each partition of the sort: where its part of the sequence begins
+    sizes = sorted(ordered.groupBy("part").agg((F.max("at") + 1).alias("n")).collect())
+    starts = itertools.accumulate((r["n"] for r in sizes), initial=0)
+    begin = spark.createDataFrame([(r["part"], s) for r, s in zip(sizes, starts, strict=False)], "part long, begin long")
+    numbered = ordered.join(F.broadcast(begin), "part").withColumn("seq", F.col("begin") + F.col("at"))
+    numbered = numbered.select(F.floor(F.col("seq") / BLOCK).cast("long").alias("block"), "seq", "number", "rep", "n", "embedding")
+
+    def pack(key, table):
+        table = table.sort_by("seq")
+        x = table.column("embedding").combine_chunks()
+        u = unit(matrix(x, dim)) @ lead
+        own = x.flatten().to_numpy(zero_copy_only=False)
+        row = {"block": key[0].as_py(), "low": u.min(0).tolist(), "high": u.max(0).tolist(), "data": own.tobytes()}
+        row |= {to: table.column(c).to_numpy().astype(np.int64).tobytes() for to, c in (("numbers", "number"), ("reps", "rep"), ("copies", "n"))}
+        return pa.Table.from_pylist([row], schema=arrow)
+
+    schema = "block long, low array<double>, high array<double>, numbers binary, reps binary, copies binary, data binary"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    blocks = materialise(numbered.groupBy("block").applyInArrow(pack, schema), "blocks")
+    discard(ordered)
+    return blocks
+
+
+def meetings(boxes: DataFrame, blocks: int, eps: float, axes: int) -> DataFrame:
+    """(block, other), block <= other: pairs of blocks whose boxes are at most eps apart, by a recursive join of intervals of the sequence.
+
+    boxes: (block, low, high), numbered from 0 without gaps.
+    """
+    depth = 1
+    while FAN**depth < blocks:
+        depth += 1
+    gap = F.aggregate(F.zip_with(F.zip_with("low", "high2", lambda x, y: x - y), F.zip_with("low2", "high", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y)), F.lit(0.0), lambda s, g: s + g * g)
+    pairs = boxes.sparkSession.range(1).select(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("other"))
+    for level in reversed(range(depth)):
+        node = F.floor(F.col("block") / FAN**level).cast("long").alias("block")
+        at = boxes
+        if level:
+            ends = lambda f, c: F.array(*[f(F.col(c)[i]) for i in range(axes)]).alias(c)
+            at = boxes.groupBy(node).agg(ends(F.min, "low"), ends(F.max, "high"))
+        parts = lambda c: F.explode(F.sequence(F.col(c) * FAN, F.col(c) * FAN + FAN - 1))
+        pairs = pairs.withColumn("block", parts("block")).withColumn("other", parts("other"))
+        pairs = pairs.filter("block <= other").join(at, "block").join(at.select(F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2")), "other")
+        pairs = pairs.filter(gap <= (eps + SLACK) ** 2).select("block", "other")
+    return pairs
+
+
+def links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, n_links) of each row, and (a, b): edges enough to connect what is linked.
 
     vectors: (vec_id long, embedding), valid rows only.
     """
-    eps = float(np.sqrt(2 - 2 * cosine))
-    parts = [_links_of(vectors, d, cosine, eps) for d in dimensions(vectors)]
+    parts = [_links_of(vectors, d, cosine) for d in dimensions(vectors)]
     if not parts:
-        none = vectors.sparkSession.createDataFrame([], "vec_id long, n_links long"), vectors.sparkSession.createDataFrame([], "a long, b long")
-        return none
-    counts, edges = zip(*parts, strict=True)
-    out = counts[0], edges[0]
+        return vectors.sparkSession.createDataFrame([], "vec_id long, n_links long"), vectors.sparkSession.createDataFrame([], "a long, b long")
+    out = parts[0]
     for c, e in parts[1:]:
         out = out[0].unionByName(c), out[1].unionByName(e)
     return out
 
 
-def _links_of(vectors: DataFrame, dim: int, cosine: float, eps: float) -> tuple[DataFrame, DataFrame]:
-    spark = vectors.sparkSession
+def _links_of(vectors: DataFrame, dim: int, cosine: float) -> tuple[DataFrame, DataFrame]:
+    spark, eps = vectors.sparkSession, float(np.sqrt(2 - 2 * cosine))
     rows = vectors.filter(F.size("embedding") == dim)
     turn = axes(rows, dim)
-    distinct = materialise(_prepared(vectors, dim, eps), "grid")
-    grid = [f"c{i}" for i in range(GRID)]
-    schema = "block long, " + ", ".join(f"{g} int" for g in grid) + ", low array<double>, high array<double>, ids array<long>, copies array<long>, data binary"
-
-    def cut(batches):
-        """Blocks of at most BLOCK rows of one cell, from rows sorted by cell; a cell may go on in another task."""
-        from pyspark import TaskContext
-
-        number = itertools.count(TaskContext.get().partitionId() << 32)
-
-        def flush(batch):
-            x = unit(matrix(batch.column("embedding").combine_chunks(), dim)) @ turn
-            order = np.lexsort(np.floor(x[:, : min(AXES, dim)] / eps).T[::-1])
-            x = np.ascontiguousarray(x[order])
-            lead = x[:, : min(AXES, dim)]
-            cell = [batch.column(g)[0].as_py() for g in grid]
-            row = [next(number), *cell, lead.min(0).tolist(), lead.max(0).tolist(), batch.column("rep").to_numpy()[order].tolist(), batch.column("n").to_numpy()[order].tolist(), x.tobytes()]
-            return pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))], schema=arrow)
-
-        held, key = [], None
-        for batch in batches:
-            c = np.stack([batch.column(g).to_numpy() for g in grid])
-            edges_at = [0, *(np.flatnonzero((c[:, 1:] != c[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for s, e in itertools.pairwise(edges_at):
-                if s == e:
-                    continue
-                if key != (key := tuple(c[:, s])) and held:
-                    yield flush(pa.Table.from_batches(held))
-                    held = []
-                while s < e:
-                    take = min(e - s, BLOCK - sum(x.num_rows for x in held))
-                    held.append(batch.slice(s, take))
-                    s += take
-                    if sum(x.num_rows for x in held) == BLOCK:
-                        yield flush(pa.Table.from_batches(held))
-                        held = []
-        if held:
-            yield flush(pa.Table.from_batches(held))
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-    names = arrow.names
-    # range partitioning by cell and a hash splits a cell with very many vectors over several tasks
-    ordered = distinct.withColumn("_r", F.xxhash64("rep")).repartitionByRange(*grid, "_r").sortWithinPartitions(*grid, "_r").drop("_r")
-    blocks = materialise(ordered.mapInArrow(cut, schema), "blocks")
-    boxes = blocks.select("block", *grid, "low", "high")
-    reach = F.explode(F.array(*[F.array(*[F.lit(x) for x in step]) for step in itertools.product((-1, 0, 1), repeat=GRID)]))
-    moved = boxes.withColumn("step", reach).select(F.col("block").alias("other"), *[(F.col(g) + F.col("step")[i]).alias(g) for i, g in enumerate(grid)], F.col("low").alias("low2"), F.col("high").alias("high2"))
-    gap = F.aggregate(F.zip_with(F.zip_with("low", "high2", lambda x, y: x - y), F.zip_with("low2", "high", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y)), F.lit(0.0), lambda s, g: s + g * g)
-    meet = boxes.join(moved, grid).filter("block <= other").filter(gap <= (eps + SLACK) ** 2).select("block", "other")
-    pairs = meet.repartition(max(64, spark.sparkContext.defaultParallelism * 4), "block", "other")
-    payload = blocks.select("block", "ids", "copies", "data")
-    second = payload.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("copies").alias("copies2"), F.col("data").alias("data2"))
-    joined = pairs.join(payload, "block").join(second, "other")
+    stored = np.float32 if "float" in rows.schema["embedding"].dataType.simpleString() else np.float64
+    classes = materialise(_classes(rows, dim, turn, eps), "classes")
+    blocks = _blocks(classes, dim, turn)
+    boxes = blocks.select("block", "low", "high")
+    pairs = materialise(meetings(boxes, boxes.count(), eps, min(AXES, dim)), "meetings")
+    payload = blocks.select("block", "numbers", "reps", "copies", "data")
+    second = payload.select(*[F.col(c).alias(to) for c, to in (("block", "other"), ("numbers", "numbers2"), ("reps", "reps2"), ("copies", "copies2"), ("data", "data2"))])
+    # a row of pairs is a megabyte or more to come: many small tasks, dealt out by pair
+    dealt = pairs.repartition(max(64, spark.sparkContext.defaultParallelism * 4), "block", "other")
+    joined = dealt.join(payload, "block").join(second, "other")
 
     def compare(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                one = batch.slice(r, 1)
-                get = lambda c: one.column(c)[0].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                a, b = (np.frombuffer(one.column(c)[0].as_buffer(), np.float64).reshape(-1, dim) for c in ("data", "data2"))
-                same = one.column("block")[0] == one.column("other")[0]
-                ia, ib, na, nb = get("ids"), get("ids2"), get("copies"), get("copies2")
+                get = lambda c, t=np.int64: np.frombuffer(batch.column(c)[r].as_buffer(), t)  # noqa: B023, E731
+                a, b = (get(c, stored).reshape(-1, dim).astype(np.float64) for c in ("data", "data2"))
+                same = batch.column("block")[r] == batch.column("other")[r]
+                ua, ub = ((unit(x) @ turn).astype(np.float32) for x in (a, b))
+                na, nb = get("copies"), get("copies2")
                 count_a, count_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
                 forest = Forest(len(a) + len(b))
                 shift = 0 if same else len(a)
                 kept = []
-                for x, y in near_pairs(a, b, eps, same):
-                    ok = (a[x] * b[y]).sum(axis=1) >= cosine
+                ra, rb = get("reps"), get("reps2")
+                for x, y in near_pairs(ua, ub, cosine, same):
+                    ok = cosines(a[x], b[y]) >= cosine
                     x, y = x[ok], y[ok]
                     np.add.at(count_a, x, nb[y])
                     np.add.at(count_a if same else count_b, y, na[x])
-                    kept += [(int(ia[u]), int(ib[v - shift])) for u, v in forest.add(x, y + shift)]
-                out = [(int(i), int(n), None, None) for i, n in zip(ia, count_a, strict=True) if n]
+                    kept += [(int(ra[u]), int(rb[v - shift])) for u, v in forest.add(x, y + shift)]
+                out = [(int(i), int(n), None, None) for i, n in zip(get("numbers"), count_a, strict=True) if n]
                 if not same:
-                    out += [(int(i), int(n), None, None) for i, n in zip(ib, count_b, strict=True) if n]
+                    out += [(int(i), int(n), None, None) for i, n in zip(get("numbers2"), count_b, strict=True) if n]
                 out += [(None, None, u, v) for u, v in kept]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["rep", "links", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["number", "links", "a", "b"])
 
-    found = materialise(joined.mapInArrow(compare, "rep long, links long, a long, b long"), "links")
-    direct = found.filter("rep is not null").groupBy("rep").agg(F.sum("links").alias("links"))
-    reps = distinct.select("rep", "n", "embedding").join(direct, "rep", "left").select("rep", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    found = materialise(joined.mapInArrow(compare, "number long, links long, a long, b long"), "links")
+    discard(pairs)
+    discard(blocks)
+    direct = found.filter("number is not null").groupBy("number").agg(F.sum("links").alias("links"))
+    known = classes.select("number", "rep", "n", "embedding").join(direct, "number", "left").select("rep", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     # each copy has its class's links; a hot class joins as one row on the right
-    members = rows.join(reps, "embedding").select("vec_id", "rep", "n_links")
-    members = materialise(members, "members")
+    members = materialise(rows.join(known, "embedding").select("vec_id", "rep", "n_links"), "members")
+    discard(classes)
     edges = found.filter("a is not null").select("a", "b").unionByName(members.filter("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
     return members.select("vec_id", "n_links"), edges
 

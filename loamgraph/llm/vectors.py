@@ -25,6 +25,31 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two, which changes no digit: squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, in double precision: products are added in order, so that equal rows give equal values wherever they stand, in SQL too."""
+    a, b = scaled(a), scaled(b)
+    dot, p, q = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+    for x, y in zip(a.T, b.T, strict=True):
+        dot += x * y
+        p += x * x
+        q += y * y
+    return np.clip(dot / np.sqrt(p * q), -1, 1)
+
+
+def sample_of(rows: DataFrame, size: int, tag: str, column: str = "embedding") -> np.ndarray:
+    """About `size` rows' vectors of one dimension, by a hash of the vector: a bounded sample, empty for an empty table."""
+    from .common import by_hash
+
+    total = rows.count()
+    got = rows.filter(by_hash(F.xxhash64(column, F.lit(tag)), size, total)).select(column).toArrow().column(0)
+    return matrix(got.combine_chunks(), len(got[0])) if len(got) else np.zeros((0, 0))
+
+
 def dimensions(vectors: DataFrame, column: str = "embedding") -> list[int]:
     """The sizes that vectors have, most rows first: vectors of different sizes are never compared."""
     rows = vectors.groupBy(F.size(column).alias("d")).count().filter("d > 0").collect()
