@@ -20,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op4_shingle_join": shingles.OP4_SQL,
     "op5_near_dup_vectors": neardup.OP5_SQL,
+    "op6_nearest_vectors": ann.OP6_SQL,
     "op7_chat_format": chat.OP7_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
 }

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from loamgraph.llm import ann, neardup
@@ -59,6 +60,34 @@ def test_near_duplicates_empty(spark):
     assert neardup.near_duplicates(spark.createDataFrame([(1, None, "")], SCHEMA)).collect()[0].kept
 
 
+def test_threshold_and_shared_ids(spark):
+    # whole numbers with squares that add up to 100 or whose cosine with (10, 0, 0, 0) is 0.9 exactly
+    lead = [(10, 0, 0, 0)] + [(9, *rest) for rest in {(a, b, c) for a in range(-4, 5) for b in range(-4, 5) for c in range(-4, 5) if a * a + b * b + c * c == 19}]
+    rows = [(i, [float(k * x) for x in v]) for k in (1, 3) for i, v in enumerate(lead, 100 * k)]
+    rows.append((rows[4][0], rows[9][1][::-1]))
+    x = np.array([v for _, v in rows])
+
+    def cosine(a, b):
+        dot = lambda p, q: sum(u * v for u, v in zip(p, q, strict=True))
+        return dot(a, b) / math.sqrt(dot(a, a) * dot(b, b))
+
+    hit = np.array([[i != j and cosine(a, b) >= 0.9 for j, b in enumerate(x)] for i, a in enumerate(x)])
+    assert sum(cosine(x[0], b) == 0.9 for b in x) > 20
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links) for r in got) == sorted((i, int(n)) for (i, _), n in zip(rows, hit.sum(axis=1), strict=True))
+
+
+def test_meetings(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FAN", 3)
+    r = np.random.default_rng(2)
+    low = np.sort(r.normal(scale=3, size=(40, 2)), axis=0)
+    high = low + r.random((40, 2)) * 0.5
+    boxes = spark.createDataFrame([(i, low[i].tolist(), high[i].tolist()) for i in range(40)], "block long, low array<double>, high array<double>")
+    got = {(p.block, p.other) for p in neardup.meetings(boxes, 40, 0.4, 2).collect()}
+    gap = lambda i, j: (np.maximum(0, np.maximum(low[i] - high[j], low[j] - high[i])) ** 2).sum()
+    assert got == {(i, j) for i in range(40) for j in range(i, 40) if gap(i, j) <= (0.4 + neardup.SLACK) ** 2} and len(got) < 500
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
@@ -102,4 +131,22 @@ def test_recall(spark):
         want = set(t.vec_id.to_numpy()[np.argsort(-s)[:5]])
         hit += len(want & {r.vec_id for r in rows if r.query_id == t.vec_id[q]})
     assert hit / (5 * len(asked)) >= 0.9
+
+
+def test_codes_prune():
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.array(t.column("embedding").to_pylist(), float)
+    coder = ann.Coder(x, x.shape[1])
+    codes, scalars = coder.encode(x)
+    guess, error = coder.bounds(x[::50], codes, scalars)
+    exact = ann.cosines(np.repeat(x[::50], len(x), axis=0), np.tile(x, (len(x[::50]), 1))).reshape(guess.shape)
+    exact[np.arange(len(guess)), np.arange(0, len(x), 50)] = -2
+    fifth = np.sort(exact, axis=1)[:, -5]
+    near = exact >= fifth[:, None]
+    assert ((guess + error) >= exact)[near].mean() > 0.97
+    assert (guess + error >= fifth[:, None]).mean() < 0.15
+
+
+def test_nearest_of_nothing(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
