@@ -31,6 +31,22 @@ def by_hash(h: Column, size: int, total: int) -> Column:
     return F.lit(True) if total <= size else h.bitwiseAND(F.lit((1 << 63) - 1)) < F.lit((size << 63) // total)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+        taken.add(n.lower())
+    return out
+
+
+def own(df: DataFrame) -> list[Column]:
+    """The columns of df, to be selected from a frame that has more, whatever they are called."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,10 +8,12 @@ term and entity stand together, wherever in them,
     pmi = log(c * N / (df(term) * df(entity))),   information = log(N / df(entity)).
 
 A term with pmi >= GENERALISE * information discloses the entity and is
-generalised to its class; from REMOVE * information on it is removed, at each of
-its places in the texts that hold the entity. Terms are words that touch no
-entity, numbers too. Every row
-is a document in all three counts, copies included. Pairs in fewer than SUPPORT
+generalised to its class (NUMBER, CODE, NAME or WORD, by its characters); from
+REMOVE * information on it is removed, at each of its places in the texts that
+hold the entity. Entities are the values themselves and the groups that they
+belong to: an address's domain, a network, the issuer of a card, a telephone
+exchange. Terms are words that touch no entity, numbers too. Every row is a
+document in all three counts, copies included. Pairs in fewer than SUPPORT
 different texts are no evidence, so that copies of one document alone don't make
 its words disclosing.
 """
@@ -28,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import per_document, release
+from .common import own, per_document, release, unused
 from .spans import digest, joined, replaced
 
 KINDS = ["email", "ip", "card", "phone"]
 ALL_KINDS = [*KINDS, "term", "termdel"]
-LABELS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", ""]
+LABELS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[WORD]", "", "[NUMBER]", "[CODE]", "[NAME]"]
 SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.9
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -95,9 +97,22 @@ def term_of(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) - (1 << 63)
 
 
-def entity_of(text: str, kind: int) -> int:
+def entities_of(text: str, kind: int) -> list[int]:
+    """What a base span stands for: its value and the group that the value belongs to."""
     value = text.lower() if kind == 0 else text if kind == 1 else "".join(filter(str.isdigit, text))
-    return term_of(f"{KINDS[kind]}\0{value}")
+    group = value.rpartition("@")[2] if kind == 0 else value.rpartition(".")[0] if kind == 1 else value[:6] if kind == 2 else value[:-4]
+    return [term_of(f"{KINDS[kind]}\0{value}"), term_of(f"{KINDS[kind]} group\0{group}")]
+
+
+def generalised(text: str, start: int, kind: int, stop: int) -> tuple[int, int, int]:
+    """The span with the place in LABELS of what it is replaced by."""
+    if kind == ALL_KINDS.index("term"):
+        word = text[start:stop]
+        if any(map(str.isdigit, word)):
+            kind = LABELS.index("[NUMBER]" if word.isdigit() else "[CODE]")
+        elif word[0].isupper():
+            kind = LABELS.index("[NAME]")
+    return start, kind, stop
 
 
 def words(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
@@ -144,7 +159,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                 terms, packed = places(t, spans) if spans else ([], None)
                 out["content"].append(term_of(t) if spans else 0)
                 out["base"].append([{"start": a, "kind": k, "stop": b} for a, k, b in spans])
-                out["entities"].append(sorted({entity_of(t[a:b], k) for a, k, b in spans}))
+                out["entities"].append(sorted({e for a, k, b in spans for e in entities_of(t[a:b], k)}))
                 out["terms"].append(terms)
                 out["places"].append(packed)
             return out
@@ -240,8 +255,14 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with entities and disclosing terms replaced in `text` (and n_chars, where there is one, counted anew); other columns unchanged."""
-    found = find(docs).filter(F.size("more") > 0).select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), F.col("more").alias("_more")).distinct()
+    """docs with entities and disclosing terms replaced in `text` (and n_chars, where there is one, counted anew).
+
+    Other columns are unchanged, whatever they are called. Null and empty texts
+    stay as they are, repeated rows stay repeated (rows of one id with
+    different texts are told apart), an empty table stays empty.
+    """
+    mark, at, which, spans = unused(docs, "_content", "_id", "_hash", "_more")
+    found = find(docs).filter(F.size("more") > 0).select(F.col("doc_id").alias(at), F.col("content").alias(which), F.col("more").alias(spans)).distinct()
 
     @F.pandas_udf("long")
     def content(text):
@@ -259,18 +280,18 @@ def sanitise(docs: DataFrame) -> DataFrame:
         for t, m in zip(text, more, strict=True):
             spans = entities(t) if t else []
             if m is not None:
-                spans = spans + [(x["start"], x["kind"], x["stop"]) for x in m]
+                spans = spans + [generalised(t, x["start"], x["kind"], x["stop"]) for x in m]
             out.append(replaced(t, spans, LABELS) if spans else t)
         release()
         return pd.Series(out, dtype=object)
 
-    rows = docs.withColumn("_c", content(F.col("text")))
+    rows = docs.withColumn(mark, content(F.col("text")))
     # most rows have no such terms: only ids and spans of those that do are joined
-    rows = rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (rows["_c"] == found["_content"]), "left")
-    rows = rows.withColumn("text", clean(F.col("text"), F.col("_more")))
+    rows = rows.join(found, rows["doc_id"].eqNullSafe(found[at]) & (rows[mark] == found[which]), "left")
+    rows = rows.withColumn("text", clean(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows.select(*own(docs))
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:

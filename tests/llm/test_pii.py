@@ -87,6 +87,21 @@ def test_whole_texts(spark):
         assert shown == sorted(["Zanzibar", "zanzibar", "ZANZIBAR", "jsmith84", "4711", *[long] * 5, *["and", "so", "on"] * 20])
 
 
+def test_generalised():
+    labels = [pii.LABELS[pii.generalised("Anna x9 4711 word", a, 4, b)[1]] for a, b in ((0, 4), (5, 7), (8, 12), (13, 17))]
+    assert labels == ["[NAME]", "[CODE]", "[NUMBER]", "[WORD]"] and pii.generalised("Anna", 0, 5, 4) == (0, 5, 4)
+
+
+def test_groups_of_entities(spark):
+    # every address occurs once; their domain is what the term discloses
+    texts = [f"plain filler about nothing {'ab'[i % 2]}" for i in range(1000)] + [f"story {i} by Zanzibar staff: u{i}@zan.example.org" for i in range(8)]
+    docs = spark.createDataFrame([(i, t, "x", "y", 3) for i, t in enumerate(texts)], "doc_id long, text string, _content string, _ID string, n_chars long")
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns
+    rows = {r.doc_id: r for r in out.collect()}
+    assert all("Zanzibar" not in rows[i].text and "[EMAIL]" in rows[i].text and rows[i]._content == "x" and rows[i]._ID == "y" and rows[i].n_chars == len(rows[i].text) for i in range(1000, 1008))
+
+
 def test_places():
     r = random.Random(5)
     for _ in range(500):
