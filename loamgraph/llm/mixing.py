@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import SPACE
+from .common import SPACE, own, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK, MOST, SHARD_DOCS, SEED = 32, 3, 2_000, "mix-1"
@@ -160,10 +160,12 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     Rows that share an id share what is taken of them. A document of which less
     than half is taken goes, so a cut block shifts a shard by half a document
-    at most.
+    at most. A null or empty text has no words and goes; an empty table stays
+    empty; columns may have any names.
     """
+    at, copy, number = unused(docs, "_id", "_copies", "_k")
     taken = materialise(mix(docs, **how).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("z")), "mix-taken")
-    copies = taken.filter("2 * t >= z and z > 0").select(F.col("doc_id").alias("_id"), F.round(F.col("t") / F.col("z")).cast("int").alias("_copies"))
+    copies = taken.filter("2 * t >= z and z > 0").select(F.col("doc_id").alias(at), F.round(F.col("t") / F.col("z")).cast("int").alias(copy))
     # the ids grow with the documents, so they are never broadcast
-    both = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(copies["_id"]))
-    return both.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    both = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(copies[at]))
+    return both.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*own(docs))

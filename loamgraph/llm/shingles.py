@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise
-from .common import hashed_words, mixed, per_document, release, slices
+from .common import hashed_words, mixed, own, per_document, release, slices, unused
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -36,7 +36,9 @@ HEAVY, WINDOW, SEEN = 400_000, 2_000_000, 4
 HOT = 20_000
 #: Cells of the parity sketch.
 BITS = 1024
-SMALLEST, LARGEST_LIGHT, COMPARE_COST = 2, 64, 4.0
+SMALLEST, COMPARE_COST = 2, 4.0
+#: Members outside the pivot's component that one task compares with the rest of a signature.
+PART = 1_000
 
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -150,14 +152,29 @@ def _sets(docs: DataFrame, heavy) -> DataFrame:
     return per_document(docs, ["doc_id", "text"], "doc_id long, n int, d1 long, d2 long, sketch array<long>, prefix binary", make)
 
 
-def choose_boundary(sets: DataFrame) -> int:
+def least_cost(sizes: dict[int, int], others: float) -> int:
     """The largest size whose sets list 2-subsets: where the whole cost is least.
 
-    The statistics cover all sets up to LARGEST_LIGHT shingles: their sizes,
-    and the lengths of inverted lists of each 64th shingle by hash.
+    sizes: how many classes there are of each size. A subset costs 1, an entry
+    of a list 1 and COMPARE_COST for each of the `others` that it meets there.
     """
-    small = sets.filter(F.col("n").between(SMALLEST, LARGEST_LIGHT))
-    sizes = {r["n"]: r["c"] for r in small.select("n", "d1", "d2").distinct().groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
+    n = np.array(sorted(sizes), np.int64)
+    c = np.array([sizes[k] for k in n.tolist()], np.float64)
+    p = np.array([(prefix_size(k, 1), prefix_size(k, 2)) for k in n.tolist()], np.float64).reshape(-1, 2)
+    upto = lambda x: np.concatenate([[0.0], np.cumsum(x)])
+    subsets, entries = upto(c * p[:, 1] * (p[:, 1] - 1) / 2), upto(c * p[:, 0])
+    tried = np.concatenate([[SMALLEST - 1], n[n >= SMALLEST]])
+    small = np.searchsorted(n, tried, side="right")
+    # small sets that a larger one may link with are in the lists as well
+    listed = np.minimum(small, np.searchsorted(n, -(-PERCENT * (tried + 1) // 100)))
+    cost = subsets[small] + entries[-1] - entries[listed] + (entries[-1] - entries[small]) * others * COMPARE_COST
+    return int(tried[np.argmin(cost)])
+
+
+def choose_boundary(sets: DataFrame) -> int:
+    """least_cost() by the sizes of all sets, each distinct one counted once, and the lengths of the inverted lists of each 64th shingle by hash."""
+    some = sets.filter(F.col("n") >= SMALLEST)
+    sizes = {r["n"]: r["c"] for r in some.select("n", "d1", "d2").distinct().groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
 
     def run(batches):
         for batch in batches:
@@ -171,21 +188,9 @@ def choose_boundary(sets: DataFrame) -> int:
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), batch.column("d1").take(pa.array(at))], names=["token", "d1"])
 
-    lists = small.select("n", "d1", "prefix").mapInArrow(run, "token long, d1 long").distinct().groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    lists = some.select("n", "d1", "prefix").mapInArrow(run, "token long, d1 long").distinct().groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("c"))
     got = lists.agg(F.sum("c").alias("s"), F.sum(F.col("c") * (F.col("c") - 1)).alias("q")).first()
-    others = (got["q"] or 0.0) / (got["s"] or 1.0)  # mean number of other entries in an entry's list
-
-    def cost(x: int) -> float:
-        total = 0.0
-        for n, c in sizes.items():
-            if n <= x:
-                p = prefix_size(n, 2)
-                total += c * p * (p - 1) / 2
-            if n > x or 100 * n >= PERCENT * (x + 1):
-                total += c * prefix_size(n, 1) * (1 + (others * COMPARE_COST if n > x else 0))
-        return total
-
-    return min(range(SMALLEST - 1, LARGEST_LIGHT + 1), key=cost)
+    return least_cost(sizes, (got["q"] or 0.0) / (got["s"] or 1.0))
 
 
 def _signatures(reps: DataFrame, boundary: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -324,7 +329,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     compared = _compared(docs, materialise(tried, "pairs"))
     links = compared.filter("link").select("a", "b")
     # rows of one id with different texts join their classes
-    classes = members.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # grouped by another form of the key: the join below then deals both sides out anew, and a set with very many members can be split
+    classes = members.filter("n > 0 and doc_id is not null").groupBy(F.bitwise_not("d1").alias("e1"), "d2").agg(F.min("doc_id").alias("rep")).select(F.bitwise_not("e1").alias("d1"), "d2", "rep")
     many = members.filter("n > 0 and doc_id is not null").select("doc_id", "d1", "d2").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id")
     bridges = members.join(many, "doc_id", "left_semi").join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     first = materialise(components(links.unionByName(bridges)), "components")
@@ -347,31 +353,46 @@ def _left_over(stars: DataFrame, compared: DataFrame, comp: DataFrame, known: Da
     pairs = stars.select("a", "b").distinct().join(compared, ["a", "b"], "left").join(of("ca", "a"), "a", "left").join(of("cb", "b"), "b", "left")
     pairs = pairs.select("a", "b", F.coalesce("d", F.lit(1 - PERCENT / 100)).alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi"), F.coalesce("cb", "b").alias("c"), (F.coalesce("ca", "a") != F.coalesce("cb", "b")).alias("open"))
     members = stars.join(pairs, ["a", "b"]).join(known.withColumnRenamed("id", "b"), "b").select("sig", "b", "lo", "hi", "c", "open", "n", "s", "p")
-    # signatures with a member outside the pivot's component, and another member
-    groups = members.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.max("open").alias("any")).filter("any and k > 1").select("sig")
-    members = materialise(members.join(groups, "sig", "left_semi"), "left-over")
-    x = members.filter("open").select("sig", *[F.col(c).alias(f"{c}_x") for c in ("b", "lo", "hi", "c", "n", "s", "p")])
-    y = members.select("sig", *[F.col(c).alias(f"{c}_y") for c in ("b", "lo", "hi", "c", "open", "n", "s", "p")])
+    # an id with several texts is of no one size
+    several = F.col("s") >= 1 << 40
+    # signatures with a member outside the pivot's component, and another member; the former are cut into `parts` that meet the rest one by one
+    groups = members.groupBy(F.bitwise_not("sig").alias("key")).agg(F.count(F.lit(1)).alias("k"), F.max("open").alias("any"), F.count_if("open").alias("outside"), F.max(several & F.col("open")).alias("odd")).filter("any and k > 1")
+    groups = groups.select(F.bitwise_not("key").alias("sig"), F.ceil(F.col("outside") / PART).cast("int").alias("parts"), "odd")
+    members = materialise(members.join(groups, "sig"), "left-over")
+    # linked sets' sizes differ by a third at most, so they are in the same band of sizes or in neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT)) + 1e-9).cast("int")
+    some, all_of = F.lit(-2), F.lit(-1)
+    x = members.filter("open").withColumn("band", F.explode(F.when(several, F.array(all_of)).otherwise(F.array(band - 1, band, band + 1, some))))
+    x = x.select("sig", "band", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"{c}_x") for c in ("b", "lo", "hi", "c", "n", "s", "p")])
+    y = members.withColumn("band", F.explode(F.array_compact(F.array(F.when(several, some).otherwise(band), F.when(F.col("odd"), all_of)))))
+    y = y.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    y = y.select("sig", "band", "part", *[F.col(c).alias(f"{c}_y") for c in ("b", "lo", "hi", "c", "open", "n", "s", "p")])
     near = 1 - PERCENT / 100 + 1e-9
     may = (F.col("c_x") != F.col("c_y")) & (F.col("lo_x") - F.col("hi_y") <= near) & (F.col("lo_y") - F.col("hi_x") <= near) & (~F.col("open_y") | (F.col("b_x") < F.col("b_y")))
     may = may & _may_link("x", "y", boundary)
-    pairs = x.join(y, "sig").filter(may).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
+    pairs = x.join(y, ["sig", "part", "band"]).filter(may).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
     done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return materialise(pairs.join(done, ["a", "b"], "left_anti"), "left-pairs")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs, all columns unchanged, with one row of each component: a row of the component's smallest id; rows without shingles or id all stay."""
+    """docs, all columns unchanged, with one row of each component: a row of the component's smallest id.
+
+    Rows without shingles or id all stay. Of rows that repeat an id one stays,
+    whatever their texts are. An empty table stays empty. Columns may have any
+    names.
+    """
+    has, rows_of, at = unused(docs, "_words", "_rows", "_id")
     found = jaccard_components(docs)
-    keep = found.filter((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    keep = materialise(keep, "keep").withColumnRenamed("doc_id", "_id")
+    keep = found.filter((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.count(F.lit(1)).alias(rows_of))
+    keep = materialise(keep, "keep").withColumnRenamed("doc_id", at)
     words = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    rows = docs.withColumn("_words", words & F.col("doc_id").isNotNull())
+    rows = docs.withColumn(has, words & F.col("doc_id").isNotNull())
     # the ids grow with the documents, so they are never broadcast
-    some = rows.filter("_words").join(keep.hint("merge"), F.col("doc_id").cast("long") == F.col("_id"))
-    single = some.filter("_rows = 1").select(*docs.columns)
-    several = some.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
-    return single.unionByName(several).unionByName(rows.filter("not _words").select(*docs.columns))
+    some = rows.filter(has).join(keep.hint("merge"), F.col("doc_id").cast("long") == F.col(at))
+    single = some.filter(F.col(rows_of) == 1).select(*own(docs))
+    several = some.filter(F.col(rows_of) > 1).select(*own(docs)).dropDuplicates(["doc_id"])
+    return single.unionByName(several).unionByName(rows.filter(~F.col(has)).select(*own(docs)))
 
 
 def op4_shingle_join(spark, sf_dir: str) -> DataFrame:

@@ -56,6 +56,7 @@ def test_against_brute_force(spark, seed, monkeypatch):
         monkeypatch.setattr(shingles, "SEEN", 2)
     if seed == 3:
         monkeypatch.setattr(shingles, "choose_boundary", lambda sets: 20)
+        monkeypatch.setattr(shingles, "PART", 1)
     rows = corpus(seed) + [(-1, None, ""), (-2, "", ""), (-3, " \n\t", ""), (-4, "one", ""), (-5, "One", "")]
     got = shingles.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string, component_id string"))
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == brute(rows)
@@ -82,6 +83,34 @@ def test_odd_rows(spark):
     assert shingles.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_least_cost():
+    r = random.Random(3)
+    for _ in range(200):
+        sizes = {r.randrange(2, 300): r.randrange(1, 50) for _ in range(r.randrange(1, 40))}
+        others = r.random() * r.choice([0.1, 5, 500])
+
+        def cost(x):
+            total = 0.0
+            for n, c in sizes.items():
+                p = shingles.prefix_size(n, 2)
+                total += c * p * (p - 1) / 2 if n <= x else 0
+                if n > x or 100 * n >= 75 * (x + 1):
+                    total += c * shingles.prefix_size(n, 1) * (1 + (others * shingles.COMPARE_COST if n > x else 0))
+            return total
+
+        got = shingles.least_cost(sizes, others)
+        assert got in [1, *sizes] and abs(cost(got) - min(map(cost, [1, *sizes]))) < 1e-6 * cost(got)
+    assert shingles.least_cost({}, 1.0) == 1
+
+
+def test_keep_one_with_clashing_columns(spark):
+    t = " ".join(f"v{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, t, 7, "a", True, 1.0), (2, t, 8, "b", False, 2.0), (2, t, 9, "c", True, 3.0), (3, " ", 1, "d", True, 4.0), (4, "x " * 300_000, 1, "e", True, 5.0)], "doc_id long, text string, _rows int, _ID string, _words boolean, `a.b` double")
+    out = shingles.keep_one(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r._rows, r._ID, r._words, r["a.b"]) for r in out.collect()) == [(1, 7, "a", True, 1.0), (3, 1, "d", True, 4.0), (4, 1, "e", True, 5.0)]
+
+
 def test_prefixes():
     for n in range(2, 400):
         for shared in (1, 2):
