@@ -20,8 +20,9 @@ def percent_decoded(c: Column) -> Column:
 def weblink(raw: Column) -> Column:
     """A local link's path: trimmed, unquoted, cut at ? or #, decoded; NULL for empty ones, other sites and assets."""
     c = F.regexp_replace(raw, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "")
-    for _ in range(3):
-        c = F.regexp_replace(c, r"""(?s)^(?:"(.*)"|'(.*)'|<(.*)>)$""", "$1$2$3")
+    # a round for each quote that it begins with
+    rounds = F.sequence(F.lit(1), F.greatest(F.length(F.regexp_extract(c, r"""^(["'<]*)""", 1)), F.lit(1)))
+    c = F.aggregate(rounds, c, lambda s, _: F.regexp_replace(s, r"""(?s)^(?:"(.*)"|'(.*)'|<(.*)>)$""", "$1$2$3"))
     c = percent_decoded(F.regexp_extract(c, r"(?s)^([^?#]*)", 1))
     bad = (c == "") | c.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]+:") | c.startswith("//") | ascii_lower(extension(c)).isin(ASSETS)
     return F.when(~bad, c)

@@ -7,6 +7,8 @@ to_side, from_end, to_end, label).
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,14 +27,15 @@ def links_of(nodes: DataFrame) -> DataFrame:
     return rows.select("canvas", "ord", "id", "k", links.project_path(F.col("canvas"), F.col("name")).alias("target"))
 
 
-def reachable(root: DataFrame, links_: DataFrame, canvases: DataFrame, depth: int = DEPTH) -> DataFrame:
+def reachable(root: DataFrame, links_: DataFrame, canvases: DataFrame) -> DataFrame:
     """Breadth first from root(canvas): canvas, parent, level. Each canvas once, by its shortest trail, then the smallest parent and node.
 
-    Only existing canvases are entered. Levels are written one by one.
+    Only existing canvases are entered, however far below the root. Levels are
+    written one by one, and now and then put together.
     """
     step = links_.join(canvases.select(F.col("canvas").alias("target")), "target", "left_semi").select("canvas", "target").distinct()
     seen = front = materialise(root.select("canvas", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level")), "trail")
-    for level in range(1, depth + 1):
+    for level in itertools.count(1):
         new = step.join(front.select("canvas"), "canvas").groupBy(F.col("target").alias("to")).agg(F.min("canvas").alias("parent"))
         new = new.withColumnRenamed("to", "canvas").join(seen, "canvas", "left_anti").select("canvas", "parent", F.lit(level).alias("level"))
         front = materialise(new, "trail")
@@ -40,18 +43,21 @@ def reachable(root: DataFrame, links_: DataFrame, canvases: DataFrame, depth: in
             discard(front)
             break
         seen = seen.unionByName(front)
+        if level % 16 == 0:
+            seen = materialise(seen, "trail")
     return seen
 
 
-def breadcrumbs(index: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(canvas, parent) -> canvas, trail: from the root to the canvas."""
-    spark = index.sparkSession
-    index.createOrReplaceTempView("_loam_index")
-    return spark.sql(f"""
-        WITH RECURSIVE trail(canvas, trail, n) AS (
-          SELECT canvas, canvas, 0 FROM _loam_index WHERE parent IS NULL
-          UNION ALL SELECT i.canvas, concat(t.trail, ' > ', i.canvas), n + 1 FROM _loam_index i JOIN trail t ON i.parent = t.canvas WHERE n < {depth}
-        ) SELECT canvas, trail FROM trail""")
+def breadcrumbs(index: DataFrame) -> DataFrame:
+    """(canvas, parent) -> canvas, trail: from the root to the canvas. Trails double in length each round, so their number is the logarithm of the depth."""
+    now = materialise(index.select("canvas", F.col("parent").alias("top"), F.col("canvas").alias("trail")), "crumbs")
+    while not now.filter("top is not null").isEmpty():
+        above = now.select(F.col("canvas").alias("top"), F.col("top").alias("next"), F.col("trail").alias("head"))
+        longer = now.join(above, "top", "left").select("canvas", F.col("next").alias("top"), F.concat_ws(" > ", "head", "trail").alias("trail"))
+        new = materialise(longer, "crumbs")
+        discard(now)
+        now = new
+    return now.select("canvas", "trail")
 
 
 def entries(nodes: DataFrame) -> DataFrame:

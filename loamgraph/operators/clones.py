@@ -2,35 +2,77 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW, LEAST_LINES, BUCKET, RESULTS = 50, 5, 64, 20_000
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
 def windows(tokens: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(file_id, toks array) -> file_id, pos (from 0), h: a hash of each run of `size` tokens."""
+    """(file_id, toks array) -> file_id, pos (from 0), h: a hash of each run of `size` tokens, prev: the hash of the token before it.
+
+    The hash rolls: sums of token hashes times powers of an odd number, from
+    differences of running sums, so that its price doesn't grow with `size`.
+    """
+    inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
+    kind = tokens.schema["file_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("hs")
+            held, count = [], 0
+            for r in range(batch.num_rows):
+                t = lists[r].values.to_numpy().view(np.uint64)
+                n = len(t) - size + 1
+                up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(t) - 1, _STEP)]), dtype=np.uint64)
+                down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, inverse)]), dtype=np.uint64)
+                total = np.concatenate([[np.uint64(0)], np.cumsum(t * up, dtype=np.uint64)])
+                h = (total[size:] - total[:-size]) * down
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                held.append((r, n, (h ^ (h >> np.uint64(29))).view(np.int64), t[: n - 1].view(np.int64)))
+                count += n
+                if count >= 500_000 or r == batch.num_rows - 1:
+                    prev = [x for _, _, _, p in held for x in (pa.nulls(1, pa.int64()), pa.array(p))]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("file_id").take(pa.array(np.repeat([x[0] for x in held], [x[1] for x in held]))),
+                            pa.array(np.concatenate([np.arange(x[1], dtype=np.int32) for x in held])),
+                            pa.array(np.concatenate([x[2] for x in held])),
+                            pa.concat_arrays(prev),
+                        ],
+                        names=["file_id", "pos", "h", "prev"],
+                    )
+                    held, count = [], 0
+
     some = tokens.filter(F.size("toks") >= size).select("file_id", F.transform("toks", lambda x: F.xxhash64(x)).alias("hs"))
-    return some.select("file_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("hs") - size + 1), lambda i: F.xxhash64(F.slice("hs", i, size)))).alias("pos", "h"))
+    return some.mapInArrow(run, f"file_id {kind}, pos int, h long, prev long")
+
 
+def buckets(wins: DataFrame, most: int | None = BUCKET) -> DataFrame:
+    """Windows that share a hash, the first `most` of each in order of (file, position).
 
-def buckets(wins: DataFrame, most: int = BUCKET) -> DataFrame:
-    """Windows that share a hash, the first `most` of each in order of (file, position); the bound is part of the result's meaning."""
+    The bound is part of the result's meaning; None keeps all of them.
+    """
     by = Window.partitionBy("h")
-    ranked = wins.withColumn("rank", F.row_number().over(by.orderBy("file_id", "pos"))).filter(F.col("rank") <= most)
-    return ranked.withColumn("n", F.count(F.lit(1)).over(by)).filter("n > 1").select("file_id", "pos", "h")
+    ranked = wins if most is None else wins.withColumn("rank", F.row_number().over(by.orderBy("file_id", "pos"))).filter(F.col("rank") <= most)
+    return ranked.withColumn("n", F.count(F.lit(1)).over(by)).filter("n > 1").select("file_id", "pos", "h", "prev")
 
 
 def pairs(bucketed: DataFrame, tokens: DataFrame, size: int = WINDOW) -> DataFrame:
     """(fa, pa, fb, pb, n): maximal equal runs, n tokens long; a run in one file doesn't overlap itself."""
-    a = bucketed.select("h", F.col("file_id").alias("fa"), F.col("pos").alias("pa"))
-    b = bucketed.select("h", F.col("file_id").alias("fb"), F.col("pos").alias("pb"))
-    both = a.join(b, "h").filter((F.col("fa") < F.col("fb")) | ((F.col("fa") == F.col("fb")) & (F.col("pa") < F.col("pb")))).drop("h")
+    a = bucketed.select("h", F.col("file_id").alias("fa"), F.col("pos").alias("pa"), F.col("prev").alias("va"))
+    b = bucketed.select("h", F.col("file_id").alias("fb"), F.col("pos").alias("pb"), F.col("prev").alias("vb"))
+    both = a.join(b, "h").filter((F.col("fa") < F.col("fb")) | ((F.col("fa") == F.col("fb")) & (F.col("pa") < F.col("pb"))))
+    # only runs that can't be extended to the left get their tokens
+    both = both.filter((F.col("pa") == 0) | (F.col("pb") == 0) | (F.col("va") != F.col("vb"))).select("fa", "pa", "fb", "pb")
     ta = tokens.select(F.col("file_id").alias("fa"), F.col("toks").alias("ta"))
     tb = tokens.select(F.col("file_id").alias("fb"), F.col("toks").alias("tb"))
     both = both.join(ta, "fa").join(tb, "fb")
-    before = lambda t, p: F.get(t, F.col(p) - 1)
-    both = both.filter((F.col("pa") == 0) | (F.col("pb") == 0) | (before("ta", "pa") != before("tb", "pb")))
     n = F.least(F.size("ta") - F.col("pa"), F.size("tb") - F.col("pb"))
     rest = lambda t, p: F.slice(t, F.col(p) + 1, n)
     differs = F.array_position(F.zip_with(rest("ta", "pa"), rest("tb", "pb"), lambda x, y: x == y), False)
@@ -39,8 +81,11 @@ def pairs(bucketed: DataFrame, tokens: DataFrame, size: int = WINDOW) -> DataFra
     return both.select("fa", "pa", "fb", "pb", length.alias("n")).filter(F.col("n") >= size)
 
 
-def located(found: DataFrame, tokens: DataFrame, least_lines: int = LEAST_LINES, most: int = RESULTS) -> DataFrame:
-    """Runs as lines: a, a_line, a_end, b, b_line, b_end, where both sides span `least_lines`; tokens also has rows, the line of each token."""
+def located(found: DataFrame, tokens: DataFrame, least_lines: int = LEAST_LINES, most: int | None = RESULTS) -> DataFrame:
+    """Runs as lines: a, a_line, a_end, b, b_line, b_end, where both sides span `least_lines`; tokens also has rows, the line of each token.
+
+    The first `most` of them in that order are part of the result's meaning; None keeps all.
+    """
     rows_a = tokens.select(F.col("file_id").alias("fa"), F.col("rows").alias("ra"))
     rows_b = tokens.select(F.col("file_id").alias("fb"), F.col("rows").alias("rb"))
     at = lambda r, p: F.get(r, p)
@@ -48,7 +93,7 @@ def located(found: DataFrame, tokens: DataFrame, least_lines: int = LEAST_LINES,
         F.col("fa").alias("a"), at("ra", F.col("pa")).alias("a_line"), at("ra", F.col("pa") + F.col("n") - 1).alias("a_end"),
         F.col("fb").alias("b"), at("rb", F.col("pb")).alias("b_line"), at("rb", F.col("pb") + F.col("n") - 1).alias("b_end"))
     out = out.filter((F.col("a_end") - F.col("a_line") + 1 >= least_lines) & (F.col("b_end") - F.col("b_line") + 1 >= least_lines))
-    return out.orderBy("a", "a_line", "b", "b_line", "a_end", "b_end").limit(most)
+    return out if most is None else out.orderBy("a", "a_line", "b", "b_line", "a_end", "b_end").limit(most)
 
 
 def merged_stretches(clones: DataFrame) -> DataFrame:

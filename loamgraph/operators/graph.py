@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import discard, materialise
 
-#: Pairs of a closure beyond which blast radius isn't computed.
-PAIR_BUDGET = 400_000_000
+#: Components times nodes beyond which blast radius isn't computed (a fixed value).
+BUDGET = 400_000_000
 
 
 def pairs(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def fan(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(n, "id", "left").select("id", F.coalesce("fan_in", F.lit(0)).cast("long").alias("fan_in"), F.coalesce("fan_out", F.lit(0)).cast("long").alias("fan_out"))
 
 
-def closure(edges: DataFrame, budget: int | None = PAIR_BUDGET) -> DataFrame | None:
+def closure(edges: DataFrame, budget: int | None = None) -> DataFrame | None:
     """(u, v) for each v that u reaches over one edge or more; None once there are more than `budget` pairs.
 
     Semi-naive: only pairs found in the last round are extended. Each round is
@@ -32,6 +32,7 @@ def closure(edges: DataFrame, budget: int | None = PAIR_BUDGET) -> DataFrame | N
     """
     step = materialise(pairs(edges).withColumnsRenamed({"source": "u", "target": "v"}), "closure")
     reach, delta, rounds = step, step, [step]
+    size = step.count() if budget is not None else 0
     while True:
         new = delta.join(step.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").select("u", F.col("w").alias("v")).distinct().join(reach, ["u", "v"], "left_anti")
         delta = materialise(new, "closure")
@@ -40,10 +41,12 @@ def closure(edges: DataFrame, budget: int | None = PAIR_BUDGET) -> DataFrame | N
             return reach
         rounds.append(delta)
         reach = reach.unionByName(delta)
-        if budget is not None and reach.count() > budget:
-            for r in rounds:
-                discard(r)
-            return None
+        if budget is not None:
+            size += delta.count()
+            if size > budget:
+                for r in rounds:
+                    discard(r)
+                return None
 
 
 def blast_radius(nodes: DataFrame, reach: DataFrame | None) -> DataFrame:
@@ -54,6 +57,22 @@ def blast_radius(nodes: DataFrame, reach: DataFrame | None) -> DataFrame:
     return nodes.select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("blast_radius"))
 
 
+def blast_allowed(nodes: DataFrame, cycle: DataFrame) -> bool:
+    """Whether strongly connected components times nodes are within BUDGET; cycle has cycle_size of each node."""
+    got = cycle.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("cycle_size") > 1, 1 / F.col("cycle_size")).otherwise(1.0)).alias("parts")).first()
+    return round(got["parts"] or 0) * got["n"] <= BUDGET
+
+
+def blast_and_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """blast_radius() and cycles() of a graph; beyond BUDGET the first has NULLs, and cycles come without a closure."""
+    n = nodes.count()
+    if n * n <= BUDGET:
+        reach = closure(edges)
+        return blast_radius(nodes, reach), cycles(nodes, reach)
+    found = materialise(cycles_large(nodes, edges), "cycles")
+    return blast_radius(nodes, closure(edges) if blast_allowed(nodes, found) else None), found
+
+
 def _cycles(nodes: DataFrame, member: DataFrame) -> DataFrame:
     """(id, root) of nodes in components of two or more -> id, cycle_id (smallest member), cycle_size (0 outside)."""
     size = member.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))

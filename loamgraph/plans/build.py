@@ -39,10 +39,9 @@ def build(files: DataFrame, commits: DataFrame | None = None, tracked: DataFrame
     resolved = materialise(resolved_references(files, facts), "resolved")
     edges = resolve.edges(resolved)
     nodes = files.select(F.col("file_id").alias("id"), "path", "language")
-    reach = graph.closure(edges)
+    blast, cycle = graph.blast_and_cycles(nodes, edges)
     out = nodes.join(scans.stats_of(facts).withColumnRenamed("file_id", "id"), "id", "left")
-    more = [graph.fan(nodes, edges), resolve.unresolved(files, resolved).withColumnRenamed("file_id", "id"), graph.blast_radius(nodes, reach)]
-    more.append(graph.cycles(nodes, reach) if reach is not None else graph.cycles_large(nodes, edges))
+    more = [graph.fan(nodes, edges), resolve.unresolved(files, resolved).withColumnRenamed("file_id", "id"), blast, cycle]
     for m in more:
         out = out.join(m, "id", "left")
     if commits is not None:

@@ -192,10 +192,18 @@ def statistics(text: str, f: Facts) -> dict:
     if f.functions is not None:
         spans = sorted(f.functions, key=lambda s: (s[0], -s[1]))
         count = [1] * len(spans)
-        for p in f.branches or []:
-            inside = [i for i, (a, b, _) in enumerate(spans) if a <= p < b]
-            if inside:
-                count[min(inside, key=lambda i: spans[i][1] - spans[i][0])] += 1
+        # spans nest, so the innermost open one is the last that began
+        at, still = 0, []
+        for p in sorted(f.branches or []):
+            while at < len(spans) and spans[at][0] <= p:
+                while still and spans[still[-1]][1] <= spans[at][0]:
+                    still.pop()
+                still.append(at)
+                at += 1
+            while still and spans[still[-1]][1] <= p:
+                still.pop()
+            if still:
+                count[still[-1]] += 1
         out["functions"], out["max_function_complexity"] = len(spans), max(count, default=0)
         # of equals, the function that ends first stays first
         order = sorted((i for i in range(len(spans)) if count[i] >= HOT_LEAST), key=lambda i: (-count[i], spans[i][1]))

@@ -35,6 +35,44 @@ _CS_HEAD = re.compile(r"(?:(?P<name>[A-Za-z_]\w*)\s*(?:<[^<>{}()]*>)?\s*\((?:[^(
 _CS_PIECE = re.compile(r"\bnamespace\s+([\w.]+)\s*([;{])|\b(?:class|interface|struct|enum)\s+([A-Za-z_]\w*)\s*(?:<[^<>{}]*>)?([^{;]*)\{|[{}]")
 
 
+_CS_ARROW = re.compile(r"(?m)^[ \t]*(?:(?:public|private|protected|internal|static|override|virtual|sealed|async|unsafe|extern|partial|new)[ \t]+)*(?!(?:return|await|throw|yield|else|case)\b)[A-Za-z_][\w.]*(?:<[^;{}()=]*>)?[?\[\], ]*[ \t]+(?P<name>[A-Za-z_]\w*)\s*(?:<[^<>{}()]*>)?\s*\((?:[^(){};]|\([^()]*\))*\)\s*(?:where\b[^{;=]*)?=>(?!\s*\{)")
+
+
+def _arms(bare: str) -> list[int]:
+    """Places of the arrows of switch expressions' arms: the first one after the brace or after each comma that stands in no inner bracket."""
+    out = []
+    for m in re.finditer(r"\bswitch\s*\{", bare):
+        depth, fresh = 0, True
+        for x in re.finditer(r"=>|[(\[{,)\]}]", bare[m.end() :]):
+            if x.group() in "([{":
+                depth += 1
+            elif x.group() in ")]}":
+                depth -= 1
+                if depth < 0:
+                    break
+            elif depth == 0:
+                if x.group() == "," or not fresh:
+                    fresh = x.group() == ","
+                else:
+                    out.append(m.end() + x.start())
+                    fresh = False
+    return out
+
+
+def _arrow_bodies(bare: str) -> list[tuple[int, int, str]]:
+    """Methods whose body is an expression: from their head to the semicolon outside brackets."""
+    out = []
+    for m in _CS_ARROW.finditer(bare):
+        depth, stop = 0, len(bare)
+        for x in re.finditer(r"[(\[{)\]};]", bare[m.end() :]):
+            if x.group() == ";" and depth <= 0:
+                stop = m.end() + x.start()
+                break
+            depth += (x.group() in "([{") - (x.group() in ")]}")
+        out.append((m.start() + len(m.group()) - len(m.group().lstrip()), stop, m["name"]))
+    return out
+
+
 def _split_list(s: str) -> list[str]:
     """Names of a comma-separated list, without generics, arguments and constraints."""
     s = re.split(r"\bwhere\b", s)[0]
@@ -67,7 +105,10 @@ def csharp(path: str, text: str) -> Facts:
         depth += 1
         if x[1] or x[3]:
             stack.append((depth, x[1] or x[3], bool(x[1])))
-    return _finish(f, m, _CS_HEAD, r"\b(?:if|for|foreach|while|catch)\b|\bcase\b|&&|\|\||\?\?|\?(?=[^?.\[,>)\s][^:;\n]*:)|\?\s(?=[^:;\n]*:)")
+    f = _finish(f, m, _CS_HEAD, r"\b(?:if|for|foreach|while|catch)\b|\bcase\b|\bdefault\s*:|&&|\|\||\?\?|\?(?=[^?.\[,>)\s][^:;\n]*:)|\?\s(?=[^:;\n]*:)")
+    f.branches = sorted(f.branches + _arms(m.bare))
+    f.functions = f.functions + _arrow_bodies(m.bare)
+    return f
 
 
 _GO = Syntax(line=("//",), block=(("/*", "*/"),), strings=(r'"(?:\\.|[^"\\\n])*"?', r"'(?:\\.|[^'\\\n])*'?", r"`[^`]*`?")).pattern()

@@ -14,7 +14,7 @@ from .registry import CLONED, SCANNERS
 
 STATS = "lines int, blank_lines int, comment_lines int, chars int, max_indent int, parse_errors int, complexity int, functions int, max_function_complexity int, hot array<struct<line:int,complexity:int,name:string>>"
 SCHEMA = f"file_id long, decls array<struct<kind:string,key:string>>, refs array<struct<kind:string,raw:string,scope:string>>, stats struct<{', '.join(c.replace(' ', ':', 1) for c in STATS.split(', '))}>, toks array<string>, rows array<int>, hash string, error string"
-#: Files beyond this size have no tokens.
+#: Files of more bytes than this have no tokens (a fixed value).
 TOKEN_BYTES = 1 << 20
 
 
@@ -36,7 +36,7 @@ def scan_files(files: DataFrame, with_tokens: bool = True) -> DataFrame:
                     row["refs"] = [{"kind": k, "raw": v, "scope": s} for k, v, s in f.refs]
                     row["stats"] = statistics(text, f)
                     row["hash"] = f"{fnv1a(text.encode('utf-8', 'replace')):016x}"
-                    if with_tokens and language in CLONED and len(text) <= TOKEN_BYTES:
+                    if with_tokens and language in CLONED and row["stats"]["chars"] <= TOKEN_BYTES:
                         row["toks"], row["rows"] = tokens(text, f)
                 except Exception as e:  # one odd file must not end the build
                     row["error"] = f"{type(e).__name__}: {e}"[:200]

@@ -120,7 +120,7 @@ def bash(path: str, text: str) -> Facts:
             if p and script(p) and "/" in p:
                 f.refer(p, REQUIRE)
     f.comments, f.code, f.errors = m.comments, m.code, m.open_ends
-    f.branches = places(m.bare, re.compile(r"(?<![\w-])(?:if|elif|for|while|until)(?![\w-])|&&|\|\||(?m:^)[ \t]*[^\s()#;&|]+\)(?!\))"))
+    f.branches = places(m.bare, re.compile(r"(?<![\w-])(?:if|elif|for|while|until)(?![\w-])|&&|\|\||(?:(?<![\w-])in(?![\w-])|;;&?|;&)\s*(?!esac\b)\(?[^()\n]*?\)(?!\))"))
     f.functions = brace_functions(m.bare, _SH_HEAD)
     return f
 
