@@ -33,7 +33,7 @@ from ..session import discard, materialise
 from .components import components
 from .vectors import cosines, dimensions, matrix, sample_of, unit, valid
 
-COSINE, BLOCK, LEAF, SAMPLE, AXES, FAN = 0.9, 8192, 256, 20_000, 16, 16
+COSINE, BLOCK, LEAF, SAMPLE, AXES, FAN = 0.9, 4096, 256, 20_000, 16, 16
 #: What a cosine of unit vectors in single precision may be wrong by, and a distance computed from coordinates.
 ROUGH, SLACK = 1e-5, 1e-6
 
