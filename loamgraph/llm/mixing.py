@@ -16,6 +16,8 @@ its documents, so that a source with a third of all rows is many groups.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from ..session import materialise
 from .common import SPACE, own, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
-BLOCK, MOST, SHARD_DOCS, SEED = 32, 3, 2_000, "mix-1"
+BLOCK, MOST, SHARD_DOCS, SLICE, SEED = 32, 3, 2_000, 4_096, "mix-1"
 
 
 def words(text: Column) -> Column:
@@ -35,6 +37,13 @@ def seeded(doc_id: Column, seed: str, tag: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{tag}:{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
+def beside(rows: DataFrame, totals: DataFrame, group: list[str], how: str = "inner") -> DataFrame:
+    """rows with the columns of totals, which has a row for each group; a null group is a group."""
+    names = {g: f"_g{i}" for i, g in enumerate(group)}
+    same = [F.col(g).eqNullSafe(F.col(n)) for g, n in names.items()]
+    return rows.join(totals.withColumnsRenamed(names), reduce(Column.__and__, same), how).drop(*names.values())
+
+
 def highest_quotients(rows: DataFrame, group: list[str], item: str, votes: str, seats: str, most: str) -> DataFrame:
     """Sainte-Lague within each group: adds column `quota`, the item's number of seats.
 
@@ -42,22 +51,29 @@ def highest_quotients(rows: DataFrame, group: list[str], item: str, votes: str,
     can take at most. With m items and V votes every divisor between
     V / (seats + m/2 + 1) and V / (seats - m/2 - 1) is tried implicitly: seats
     below the first bound are sure, so at most 2m + 2 quotients a group are
-    ranked, however many seats there are. Ties go to the smaller item.
+    ranked, however many seats there are. They are dealt into slices of about
+    SLICE by size, and ranked within a slice, so that a group of very many items
+    is many tasks; only equal quotients always share a slice. Ties go to the
+    smaller item.
     """
-    g = Window.partitionBy(*group)
-    m, total = F.count(F.lit(1)).over(g), F.sum(votes).over(g)
-    bounded = rows.withColumns({"_m": m.cast("double"), "_v": total})
+    sums = rows.groupBy(*group).agg(F.count(F.lit(1)).cast("double").alias("_m"), F.sum(votes).alias("_v"))
     at = lambda d: F.when((d > 0) & (F.col("_v") > 0), F.floor(F.col(votes) * d / F.col("_v") + 0.5)).otherwise(0).cast("long")
-    bounded = bounded.withColumn("_low", F.least(at(F.col(seats) - F.col("_m") / 2 - 1), F.col(most)))
+    bounded = beside(rows, sums, group).withColumn("_low", F.least(at(F.col(seats) - F.col("_m") / 2 - 1), F.col(most)))
     bounded = bounded.withColumn("_high", F.greatest(F.least(at(F.col(seats) + F.col("_m") / 2 + 1), F.col(most)), F.col("_low")))
-    bounded = bounded.withColumn("_left", F.col(seats) - F.sum("_low").over(g))
-    open_seats = bounded.filter(F.col("_high") > F.col("_low")).withColumn("_k", F.explode(F.sequence("_low", F.col("_high") - 1)))
-    rank = F.row_number().over(g.orderBy(F.desc(F.col(votes) / (2 * F.col("_k") + 1)), F.col(item).asc_nulls_last(), "_k"))
-    won = open_seats.withColumn("_r", rank).filter(F.col("_r") <= F.col("_left")).groupBy(*group, item).agg(F.count(F.lit(1)).alias("_won"))
-    keys = [*group, item]
-    left = bounded.drop("_m", "_v", "_high", "_left")
-    cond = [left[k].eqNullSafe(won[k]) for k in keys]
-    return left.join(won, cond, "left").select(*[left[c] for c in left.columns if c != "_low"], (left["_low"] + F.coalesce(won["_won"], F.lit(0))).alias("quota"))
+    bounded = materialise(bounded.drop("_m", "_v"), "mix-seats")
+    sure = bounded.groupBy(*group).agg(F.sum("_low").alias("_sure"))
+    quotients = bounded.filter(F.col("_high") > F.col("_low")).withColumn("_k", F.explode(F.sequence("_low", F.col("_high") - 1)))
+    quotients = quotients.withColumn("_q", F.col(votes) / (2 * F.col("_k") + 1))
+    span = quotients.groupBy(*group).agg(F.max("_q").alias("_top"), F.min("_q").alias("_end"), F.ceil(F.count(F.lit(1)) / SLICE).alias("_slices"))
+    width = F.col("_top") - F.col("_end")
+    dealt = beside(beside(quotients, span, group), sure, group).select(
+        *group, item, "_k", "_q", (F.col(seats) - F.col("_sure")).alias("_left"), F.when(width > 0, F.floor((F.col("_top") - F.col("_q")) / width * F.col("_slices"))).otherwise(0).cast("long").alias("_slice"))
+    upto = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))).drop("_c")
+    rank = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(F.desc("_q"), F.col(item).asc_nulls_last(), "_k"))
+    open_seats = beside(dealt, before, [*group, "_slice"]).filter(F.col("_before") < F.col("_left"))
+    won = open_seats.withColumn("_r", F.col("_before") + rank).filter(F.col("_r") <= F.col("_left")).groupBy(*group, item).agg(F.count(F.lit(1)).alias("_won"))
+    return beside(bounded, won, [*group, item], "left").withColumn("quota", F.col("_low") + F.coalesce("_won", F.lit(0))).drop("_low", "_high", "_won")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import pyspark.sql.functions as F
+import pytest
 
 from loamgraph.llm import chat, mixing
 
@@ -73,9 +74,11 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
-def test_highest_quotients(spark):
+@pytest.mark.parametrize("size", [mixing.SLICE, 3])
+def test_highest_quotients(spark, monkeypatch, size):
     import heapq
 
+    monkeypatch.setattr(mixing, "SLICE", size)
     votes = {f"i{k}": float((k * 37) % 91 + 1) for k in range(40)}
     for seats in (0, 1, 7, 40, 333):
         heap, won = [(-v, k, 0) for k, v in votes.items()], defaultdict(int)
