@@ -31,19 +31,18 @@ def line_stats(files: DataFrame) -> DataFrame:
 def max_indent(files: DataFrame) -> DataFrame:
     """file_id, max_indent: widest indent over the most common increase (1 to 8, ties to the smaller; a tab is 4).
 
-    The rows of a file are its lines; a long file is one window group.
+    Without a shuffle: the lines of a file stay an array in its row. A null text,
+    or one without an increase, gives 0; each row of files gives one.
     """
-    rows = files.select("file_id", F.posexplode(lines_of(F.col("text"))).alias("n", "line")).filter(~F.col("line").rlike(BLANK))
-    lead = F.regexp_extract("line", r"^([ \t]*)", 1)
-    width = F.length(F.replace(lead, F.lit("\t"), F.lit("    ")))
-    rows = rows.select("file_id", "n", width.alias("w"))
-    rows = rows.withColumn("up", F.col("w") - F.lag("w").over(Window.partitionBy("file_id").orderBy("n")))
-    per = rows.groupBy("file_id", F.when(F.col("up").between(1, 8), F.col("up")).alias("up")).agg(F.count(F.lit(1)).alias("c"), F.max("w").alias("w"))
-    # max_by of (count, -increase) is the most common one, the smallest of equals
-    best = F.max_by(F.col("up"), F.when(F.col("up").isNotNull(), F.struct("c", -F.col("up"))))
-    out = per.groupBy("file_id").agg(F.max("w").alias("widest"), best.alias("step"))
-    out = out.select("file_id", F.when(F.col("step").isNull(), 0).otherwise(F.floor(F.col("widest") / F.col("step"))).cast("int").alias("max_indent"))
-    return files.select("file_id").join(out, "file_id", "left").select("file_id", F.coalesce("max_indent", F.lit(0)).alias("max_indent"))
+    lead = lambda line: F.regexp_extract(line, r"^([ \t]*)", 1)
+    width = F.transform(F.filter(lines_of(F.col("text")), lambda line: ~line.rlike(BLANK)), lambda line: F.length(F.replace(lead(line), F.lit("\t"), F.lit("    "))))
+    rows = files.select("file_id", width.alias("w"))
+    rows = rows.select("file_id", "w", F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: b - a).alias("up"))
+    # the greatest (count, -increase) is the most common one, the smallest of equals
+    times = lambda k: F.struct(F.size(F.filter("up", lambda u: u == k)).alias("c"), F.lit(-k).alias("k"))
+    best = F.greatest(*[times(k) for k in range(1, 9)])
+    rows = rows.select("file_id", F.array_max("w").alias("widest"), best.alias("best"))
+    return rows.select("file_id", F.coalesce(F.when(F.col("best.c") > 0, F.floor(F.col("widest") / -F.col("best.k"))), F.lit(0)).cast("int").alias("max_indent"))
 
 
 def hot_functions(functions: DataFrame, most: int = 5, least: int = 10) -> DataFrame:

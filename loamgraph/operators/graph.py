@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise
+from ..sources.files import with_ids
 
 #: Components times nodes beyond which blast radius isn't computed (a fixed value).
 BUDGET = 400_000_000
@@ -134,9 +135,8 @@ def cycles_large(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def hotspots(stats: DataFrame) -> DataFrame:
     """(id, commits, complexity) -> id, hotspot_rank by commits * complexity, ties to the smaller id; only where both are positive."""
-    some = stats.filter("commits > 0 and complexity > 0")
-    score = F.col("commits") * F.col("complexity")
-    rank = some.select("id", F.row_number().over(Window.orderBy(F.desc(score), "id")).cast("long").alias("hotspot_rank"))
+    some = stats.filter("commits > 0 and complexity > 0").select("id", (F.col("commits") * F.col("complexity")).alias("score"))
+    rank = with_ids(some, "place", [F.desc("score"), F.col("id")]).select("id", (F.col("place") + 1).alias("hotspot_rank"))
     return stats.select("id").join(rank, "id", "left")
 
 

@@ -59,6 +59,25 @@ EDGES_SQL = """
   ) WHERE r <= 3"""
 
 
+def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer -> supplier for each line, supplier -> customer for each returned one. Customers have even ids, suppliers odd ones."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") * 2).alias("c"))
+    q = li.groupBy("l_orderkey", "l_suppkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n")).join(o, "l_orderkey").select("c", (F.col("l_suppkey") * 2 + 1).alias("s"), "l_returnflag").distinct()
+    buys = q.select(F.col("c").alias("source"), F.col("s").alias("target"), F.col("l_returnflag").alias("kind"))
+    return buys.unionByName(q.filter("l_returnflag = 'R'").select(F.col("s").alias("source"), F.col("c").alias("target"), F.lit("return").alias("kind")))
+
+
+def purchase_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).cast("long").alias("id"))
+    return c.unionByName(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2 + 1).cast("long").alias("id")))
+
+
+PURCHASES_SQL = """
+  SELECT o_custkey * 2 AS source, l_suppkey * 2 + 1 AS target, l_returnflag AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  UNION SELECT l_suppkey * 2 + 1, o_custkey * 2, 'return' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'"""
+
+
 def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
 

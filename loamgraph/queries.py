@@ -17,6 +17,7 @@ ORACLES: dict[str, str] = {}
 
 WITH_FILES = f"WITH files AS ({corpus.FILES_SQL})"
 WITH_EDGES = f"WITH RECURSIVE edges AS ({corpus.EDGES_SQL}), pairs AS (SELECT DISTINCT source, target FROM edges WHERE source <> target), reach AS (SELECT source AS u, target AS v FROM pairs UNION SELECT r.u, p.target FROM reach r JOIN pairs p ON p.source = r.v), nodes AS (SELECT n_nationkey::BIGINT AS id FROM nation)"
+WITH_PURCHASES = f"WITH edges AS ({corpus.PURCHASES_SQL}), pairs AS (SELECT DISTINCT source, target FROM edges), nodes AS (SELECT c_custkey * 2 AS id FROM customer UNION ALL SELECT s_suppkey * 2 + 1 FROM supplier)"
 WITH_BOXES = f"WITH boxes AS ({corpus.BOXES_SQL}), links AS ({corpus.BOX_EDGES_SQL})"
 
 
@@ -58,11 +59,12 @@ def file_scan_filter(spark, sf_dir):
     return sources.with_ids(sources.claimed(_listing(spark, sf_dir))).select("path", "language", "file_id")
 
 
-@query(WITH_FILES + "SELECT path, row_number() OVER (ORDER BY path) - 1 AS file_id FROM (SELECT path FROM files WHERE file_id % 3 <> 0 UNION SELECT path FROM files WHERE file_id % 2 = 0)")
+@query(WITH_FILES + "SELECT path, row_number() OVER (ORDER BY path) - 1 AS file_id FROM (SELECT path FROM files UNION SELECT CASE WHEN file_id % 2 = 0 THEN path ELSE '/second' || path END FROM files)")
 def root_union_dedupe(spark, sf_dir):
+    """All files below one root, and below a second one, which shares every other file with the first."""
     f = corpus.files(spark, sf_dir).select("file_id", "path")
-    both = sources.union_roots([f.filter("file_id % 3 <> 0").select("path"), f.filter("file_id % 2 = 0").select("path")])
-    return sources.with_ids(both).select("path", "file_id")
+    second = f.select(F.when(F.col("file_id") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("/second"), "path")).alias("path"))
+    return sources.with_ids(sources.union_roots([f.select("path"), second])).select("path", "file_id")
 
 
 # --- paths and links -----------------------------------------------------------
@@ -209,7 +211,7 @@ def node_size(spark, sf_dir):
 PAGE_PATH = "'/site' || regexp_replace(regexp_extract(url, '^https?://[^/]*([^?#]*)', 1), '/$', '') || '.html'"
 SITE_SQL = "WITH " + HREFS_SQL + f""", page AS (SELECT page_id, {PAGE_PATH} AS path FROM pages),
   decls AS (SELECT page_id AS file_id, 0 AS seq, path AS key FROM page UNION ALL
-    SELECT 10000000 + page_id, 1, '/site' || CASE WHEN length(raw) % 2 = 0 THEN '/en' ELSE '' END || raw || CASE WHEN length(raw) % 3 = 1 THEN '.html' ELSE '/index.html' END FROM hrefs WHERE length(raw) % 3 > 0 AND page_id % 5 = 0),
+    SELECT 1000000000000 + page_id, 1, CASE WHEN length(raw) % 3 > 0 AND page_id % 5 = 0 THEN '/site' ELSE '/moved' END || CASE WHEN length(raw) % 2 = 0 THEN '/en' ELSE '' END || raw || CASE WHEN length(raw) % 3 = 1 THEN '.html' ELSE '/index.html' END FROM hrefs),
   symbols AS (SELECT key, max(file_id) AS file_id FROM decls GROUP BY key),
   link AS (SELECT h.page_id AS file_id, h.seq, p.path, regexp_extract(raw, '^([^?#]*)', 1) AS l FROM hrefs h JOIN page p USING (page_id)),
   probes AS (SELECT file_id, seq, d * 4 + e AS pos, base || ext AS key FROM (
@@ -221,12 +223,13 @@ SITE_SQL = "WITH " + HREFS_SQL + f""", page AS (SELECT page_id, {PAGE_PATH} AS p
 
 
 def _web(spark, sf_dir):
-    """Declarations and references of the pages, resolved."""
+    """Declarations and references of the pages, resolved. Every link declares a name; four of five are of another site, so that some links stay open."""
     page_path = F.concat(F.lit("/site"), F.regexp_replace(F.regexp_extract("url", r"^https?://[^/]*([^?#]*)", 1), "/$", ""), F.lit(".html"))
     pages = corpus.table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), page_path.alias("path"))
-    h = _hrefs(spark, sf_dir).filter((F.length("raw") % 3 > 0) & (F.col("page_id") % 5 == 0))
-    named = F.concat(F.lit("/site"), F.when(F.length("raw") % 2 == 0, "/en").otherwise(""), "raw", F.when(F.length("raw") % 3 == 1, ".html").otherwise("/index.html"))
-    decls = pages.select("file_id", F.lit(0).alias("seq"), F.col("path").alias("key")).unionByName(h.select((F.col("page_id") + 10_000_000).alias("file_id"), F.lit(1).alias("seq"), named.alias("key")))
+    h = _hrefs(spark, sf_dir)
+    site = F.when((F.length("raw") % 3 > 0) & (F.col("page_id") % 5 == 0), "/site").otherwise("/moved")
+    named = F.concat(site, F.when(F.length("raw") % 2 == 0, "/en").otherwise(""), "raw", F.when(F.length("raw") % 3 == 1, ".html").otherwise("/index.html"))
+    decls = pages.select("file_id", F.lit(0).alias("seq"), F.col("path").alias("key")).unionByName(h.select((F.col("page_id") + 1_000_000_000_000).alias("file_id"), F.lit(1).alias("seq"), named.alias("key")))
     refs = _hrefs(spark, sf_dir).withColumnRenamed("page_id", "file_id").join(pages, "file_id")
     refs = refs.select("file_id", "seq", F.lit("html").alias("language"), "path", F.lit("IMPORT_PATH").alias("kind"), links.weblink(F.col("raw")).alias("raw"))
     refs = refs.filter("raw is not null").withColumn("candidates", resolve.weblink(F.col("path"), F.col("raw"), resolve.SUFFIXES["html"]))
@@ -264,9 +267,9 @@ def import_lists(spark, sf_dir):
 # --- graph ---------------------------------------------------------------------
 
 
-@query(WITH_EDGES + "SELECT id, (SELECT count(*) FROM pairs WHERE target = id) AS fan_in, (SELECT count(*) FROM pairs WHERE source = id) AS fan_out FROM nodes")
+@query(WITH_PURCHASES + "SELECT id, (SELECT count(*) FROM pairs WHERE target = id) AS fan_in, (SELECT count(*) FROM pairs WHERE source = id) AS fan_out FROM nodes")
 def fan_in_out(spark, sf_dir):
-    return graph.fan(corpus.trade_nodes(spark, sf_dir), corpus.trade_edges(spark, sf_dir))
+    return graph.fan(corpus.purchase_nodes(spark, sf_dir), corpus.purchases(spark, sf_dir))
 
 
 @query(WITH_EDGES + "SELECT id, (SELECT count(*) FROM reach WHERE v = id AND u <> id) AS blast_radius FROM nodes")
@@ -293,14 +296,14 @@ def cycle_mates(spark, sf_dir):
     return graph.cycle_mates(c).select("id", F.array_join(F.transform("mates", lambda x: x.cast("string")), ",").alias("mates"), "more")
 
 
-@query(WITH_EDGES + "SELECT source, target, kind FROM edges WHERE source = 3 OR target = 3")
+@query(WITH_PURCHASES + "SELECT source, target, kind FROM edges WHERE source = 7 OR target = 7")
 def neighbours(spark, sf_dir):
-    return graph.neighbours(corpus.trade_edges(spark, sf_dir), 3)
+    return graph.neighbours(corpus.purchases(spark, sf_dir), 7)
 
 
-@query(WITH_EDGES + "SELECT target AS id, count(*) AS uses FROM edges GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+@query(WITH_PURCHASES + "SELECT target AS id, count(*) AS uses FROM edges GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 def top_depended_on(spark, sf_dir):
-    return graph.top_depended(corpus.trade_edges(spark, sf_dir))
+    return graph.top_depended(corpus.purchases(spark, sf_dir))
 
 
 @query(WITH_FILES + "SELECT language, count(*) AS n, min(file_id) AS first_id FROM files GROUP BY 1 ORDER BY 3 LIMIT 32")
@@ -451,14 +454,15 @@ def selection_cost(spark, sf_dir):
 
 
 @query("SELECT 1 AS n, sum(sloc)::BIGINT AS sloc, sum(files)::BIGINT AS files FROM (SELECT 0 AS sloc, 0 AS files WHERE false) HAVING false UNION ALL SELECT * FROM (" + CODE_SQL + """, start AS (SELECT range AS start FROM range(0, 5)),
-  below AS (SELECT start, CASE k WHEN 0 THEN start ELSE start + 5 END AS g FROM start CROSS JOIN range(0, 2) t(k) UNION SELECT start, 10 + start % 2 FROM start)
+  below AS (SELECT start, start + 5 * k AS g FROM start CROSS JOIN range(0, 4) t(k))
   SELECT b.start::INTEGER AS n, sum(c.n)::BIGINT AS sloc, count(*) AS files FROM below b JOIN code c ON c.grp = 'src' || b.g WHERE c.n > 0 GROUP BY 1)""")
 def rollup_once_per_file(spark, sf_dir):
-    """Diagram i links to diagrams i + 5 and 10 + i % 2, directly and around a cycle; each stands for a source's folder, i + 5 also for a folder inside it."""
+    """Diagram i links to i + 5, that to i + 10 and i + 15 and back; each stands for a source's folder, those from 5 on also for a folder inside it."""
     c = lambda k: F.concat(F.lit("/maps/"), k.cast("string"), F.lit(".canvas"))
     i = spark.range(5)
-    step = i.select(c(F.col("id")).alias("canvas"), c(F.col("id") + 5).alias("target")).unionByName(i.select(c(F.col("id") + 5).alias("canvas"), c(10 + F.col("id") % 2).alias("target"))).unionByName(i.select(c(F.col("id") + 5).alias("canvas"), c(F.col("id")).alias("target")))
-    k = spark.range(12)
+    ways = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 5), (5, 10), (5, 15), (5, 0))])).alias("w")
+    step = i.select("id", ways).select(c(F.col("id") + F.col("w.a")).alias("canvas"), c(F.col("id") + F.col("w.b")).alias("target"))
+    k = spark.range(20)
     folders = k.select(c(F.col("id")).alias("canvas"), F.concat(F.lit("/corpus/src"), F.col("id").cast("string")).alias("folder"))
     folders = folders.unionByName(k.filter("id >= 5").select(c(F.col("id")).alias("canvas"), F.concat(F.lit("/corpus/src"), F.col("id").cast("string"), F.lit("/en")).alias("folder")))
     starts = i.select(F.col("id").cast("int").alias("start"), c(F.col("id")).alias("canvas"))
@@ -514,15 +518,15 @@ def remove_nodes(spark, sf_dir):
 
 
 def _tree(spark, sf_dir):
-    """Customers as diagrams: k links to 2k + 1, 2k + 2 and k / 3; every fortieth is missing, so that some can't be reached."""
-    c = corpus.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).filter("k % 40 <> 39")
-    name = lambda k: F.concat(F.lit("c"), k.cast("string"))
-    step = c.select(name(F.col("k")).alias("canvas"), F.explode(F.array(2 * F.col("k") + 1, 2 * F.col("k") + 2, F.floor(F.col("k") / 3))).alias("t")).select("canvas", name(F.col("t")).alias("target"))
-    return c.select(name(F.col("k")).alias("canvas")), step
+    """Customers as diagrams: k links to 2k + 1, 2k + 2 and k / 3; every fortieth has another name than its links say, so that some can't be reached."""
+    c = corpus.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    c = c.select("k", F.concat(F.when(F.col("k") % 40 == 39, "moved").otherwise("c"), F.col("k").cast("string")).alias("canvas"))
+    step = c.select("canvas", F.explode(F.array(2 * F.col("k") + 1, 2 * F.col("k") + 2, F.floor(F.col("k") / 3))).alias("t")).select("canvas", F.concat(F.lit("c"), F.col("t").cast("string")).alias("target"))
+    return c.select("canvas"), step
 
 
-TREE_SQL = """WITH RECURSIVE c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 40 <> 39),
-  step AS (SELECT DISTINCT 'c' || k AS canvas, 'c' || t AS target FROM (SELECT k, unnest([2 * k + 1, 2 * k + 2, k // 3]) AS t FROM c) WHERE t IN (SELECT k FROM c)),
+TREE_SQL = """WITH RECURSIVE c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 40 = 39 THEN 'moved' ELSE 'c' END || c_custkey AS canvas FROM customer),
+  step AS (SELECT DISTINCT canvas, 'c' || t AS target FROM (SELECT canvas, unnest([2 * k + 1, 2 * k + 2, k // 3]) AS t FROM c) WHERE 'c' || t IN (SELECT canvas FROM c)),
   walk AS (SELECT 'c1' AS canvas, NULL::VARCHAR AS parent, 0 AS level UNION SELECT s.target, s.canvas, w.level + 1 FROM walk w JOIN step s ON s.canvas = w.canvas WHERE w.level < 14),
   best AS (SELECT canvas, parent, level FROM (SELECT *, row_number() OVER (PARTITION BY canvas ORDER BY level, parent) AS r FROM walk) WHERE r = 1)"""
 
@@ -539,7 +543,7 @@ def breadcrumbs(spark, sf_dir):
     return canvas.breadcrumbs(canvas.reachable(every.filter("canvas = 'c1'"), step, every))
 
 
-@query(TREE_SQL + "SELECT 'c' || k AS canvas FROM c WHERE 'c' || k NOT IN (SELECT canvas FROM best)")
+@query(TREE_SQL + "SELECT canvas FROM c WHERE canvas NOT IN (SELECT canvas FROM best)")
 def unreachable(spark, sf_dir):
     every, step = _tree(spark, sf_dir)
     return every.join(canvas.reachable(every.filter("canvas = 'c1'"), step, every), "canvas", "left_anti")
@@ -587,10 +591,10 @@ def stale_overlay(spark, sf_dir):
     return notes.stale(kept, now)
 
 
-@query("SELECT '/f' || c_custkey AS path, c_acctbal + CASE WHEN c_custkey % 4 = 0 THEN 1000 ELSE 0 END AS x FROM customer WHERE c_custkey % 2 = 0")
+@query("SELECT '/f' || c_custkey AS path, c_acctbal + CASE WHEN c_custkey % 4 = 0 THEN 1000 ELSE 0 END AS x FROM customer")
 def overlay_upsert(spark, sf_dir):
     c = corpus.table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("/f"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_acctbal").alias("x"))
-    old = c.filter("c_custkey % 2 = 0 and c_custkey % 8 <> 0").select("path", "x")
+    old = c.filter("c_custkey % 8 <> 0").select("path", "x")
     return notes.upsert_positions(old, c.filter("c_custkey % 4 = 0").select("path", (F.col("x") + 1000).alias("x")))
 
 

@@ -43,20 +43,26 @@ def union_roots(roots: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, roots).dropDuplicates(["path"])
 
 
-def with_ids(files: DataFrame, column: str = "file_id", order: str = "path", spread: int | None = None) -> DataFrame:
-    """Dense ids from 0 in order of path.
+def with_ids(files: DataFrame, column: str = "file_id", order: str | list[Column] = "path", spread: int | None = None) -> DataFrame:
+    """Dense ids from 0 in order of path, or of other columns.
 
     Range partitions are numbered each by a window of its own and shifted by
     the sizes of those before; no partition ever holds all rows. The ranges are
-    written once, so that numbers and rows belong together.
+    written once, so that numbers and rows belong together. Rows that are equal
+    in the order share a partition, and which of them comes first is open.
+    Other columns may have any names.
     """
     spark = files.sparkSession
     n = spread or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialise(files.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()), "ids")
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # one row a partition
-    at = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1 + F.col("_before")
-    return dealt.join(F.broadcast(before), "_part").withColumn(column, at.cast("long")).drop("_part", "_before")
+    order = [F.col(order)] if isinstance(order, str) else order
+    part, shift = "_part", "_before"
+    while {part, shift} & {c.lower() for c in files.columns}:
+        part, shift = part + "_", shift + "_"
+    dealt = materialise(files.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()), "ids")
+    sizes = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(shift))  # one row a partition
+    at = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1 + F.col(shift)
+    return dealt.join(F.broadcast(before), part).withColumn(column, at.cast("long")).drop(part, shift)
 
 
 def walk(roots: list[str]) -> list[tuple[str, int]]:
