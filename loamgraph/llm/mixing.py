@@ -61,13 +61,15 @@ def highest_quotients(rows: DataFrame, group: list[str], item: str, votes: str,
     bounded = beside(rows, sums, group).withColumn("_low", F.least(at(F.col(seats) - F.col("_m") / 2 - 1), F.col(most)))
     bounded = bounded.withColumn("_high", F.greatest(F.least(at(F.col(seats) + F.col("_m") / 2 + 1), F.col(most)), F.col("_low")))
     bounded = materialise(bounded.drop("_m", "_v"), "mix-seats")
-    sure = bounded.groupBy(*group).agg(F.sum("_low").alias("_sure"))
-    quotients = bounded.filter(F.col("_high") > F.col("_low")).withColumn("_k", F.explode(F.sequence("_low", F.col("_high") - 1)))
+    # the largest and the smallest quotient of a group, and how many there are, before any is listed
+    some = lambda divisor: F.when(F.col("_high") > F.col("_low"), F.col(votes) / divisor)
+    span = bounded.groupBy(*group).agg(
+        F.sum("_low").alias("_sure"), F.max(some(2 * F.col("_low") + 1)).alias("_top"), F.min(some(2 * F.col("_high") - 1)).alias("_end"), F.ceil(F.sum(F.col("_high") - F.col("_low")) / SLICE).alias("_slices"))
+    quotients = beside(bounded.filter(F.col("_high") > F.col("_low")), span, group).withColumn("_k", F.explode(F.sequence("_low", F.col("_high") - 1)))
     quotients = quotients.withColumn("_q", F.col(votes) / (2 * F.col("_k") + 1))
-    span = quotients.groupBy(*group).agg(F.max("_q").alias("_top"), F.min("_q").alias("_end"), F.ceil(F.count(F.lit(1)) / SLICE).alias("_slices"))
     width = F.col("_top") - F.col("_end")
-    dealt = beside(beside(quotients, span, group), sure, group).select(
-        *group, item, "_k", "_q", (F.col(seats) - F.col("_sure")).alias("_left"), F.when(width > 0, F.floor((F.col("_top") - F.col("_q")) / width * F.col("_slices"))).otherwise(0).cast("long").alias("_slice"))
+    place = F.when(width > 0, F.floor((F.col("_top") - F.col("_q")) / width * F.col("_slices"))).otherwise(0).cast("long")
+    dealt = materialise(quotients.select(*group, item, "_k", "_q", (F.col(seats) - F.col("_sure")).alias("_left"), place.alias("_slice")), "mix-quotients")
     upto = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = dealt.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))).drop("_c")
     rank = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(F.desc("_q"), F.col(item).asc_nulls_last(), "_k"))
