@@ -12,9 +12,11 @@ character, undoes both.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Four bytes a code point, and the letter A in them.
+WIDE, MARK = "UTF-32", b"\0\0\0A"
 OPEN, MID, NEXT, CLOSE = "### ", ": ", "<|next|>", "</turn>\n"
 #: Control strings and what they become inside a text; CLOSE without its line end, so that a text's last characters cannot complete it.
 ESCAPES = [("\\", "\\\\"), ("### ", "#\\## "), ("<|next|>", "<\\|next|>"), ("</turn>", "<\\/turn>")]
@@ -67,35 +69,34 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
         ),
     )
     head = lambda b: F.concat(F.lit(OPEN), escape_role(b["role"]), F.lit(MID))
-    whole = F.array_join(F.transform("blocks", lambda b: F.concat(head(b), F.array_join(b["texts"], NEXT), F.lit(CLOSE))), "")
-    # one entry per text: characters before it since the last text's end, its own, whether it is under the loss
+    # one entry per text: what stands before it since the last text's end, itself, whether it is under the loss
     parts = F.flatten(
         F.transform(
             "blocks",
             lambda b, k: F.transform(
                 b["texts"],
                 lambda x, i: F.struct(
-                    F.when(i > 0, F.lit(len(NEXT))).otherwise(F.length(head(b)) + F.when(k > 0, F.lit(len(CLOSE))).otherwise(0)).alias("gap"),
-                    F.length(x).alias("n"),
+                    F.when(i > 0, F.lit(NEXT)).otherwise(F.concat(F.when(k > 0, F.lit(CLOSE)).otherwise(F.lit("")), head(b))).alias("gap"),
+                    x.alias("text"),
                     (b["role"] == loss_role).alias("on"),
                 ),
             ),
         )
     )
-    span = "array<struct<start:int,stop:int>>"
-    loss = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + p["gap"] + p["n"]).alias("at"),
-            F.when(p["on"], F.concat(a["spans"], F.array(F.struct((a["at"] + p["gap"]).alias("start"), (a["at"] + p["gap"] + p["n"]).alias("stop"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    return (
+    # places in the output are running sums; window and aggregation keep the partitioning of the first one
+    upto = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = (
         sorted_turns.withColumn("starts", starts)
         .withColumn("blocks", blocks)
-        .select("conv_id", whole.alias("formatted"), loss.alias("loss"))
+        .select("conv_id", F.posexplode(parts).alias("at", "part"))
+        .withColumn("stop", F.sum(F.length("part.gap") + F.length("part.text")).over(upto).cast("int"))
+    )
+    piece = F.struct("at", F.concat("part.gap", "part.text").alias("piece"), F.when(F.col("part.on"), F.struct((F.col("stop") - F.length("part.text")).alias("start"), "stop")).alias("span"))
+    done = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    return done.select(
+        "conv_id",
+        F.concat(F.array_join(F.col("p.piece"), ""), F.lit(CLOSE)).alias("formatted"),
+        F.filter(F.col("p.span"), lambda s: s.isNotNull()).alias("loss"),
     )
 
 
@@ -114,8 +115,15 @@ def parse_formatted(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, loss: Column) -> Column:
-    """All text under the loss spans, unescaped, in order."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["stop"] - s["start"]))), "")
+    """All text under the loss spans, unescaped, in order.
+
+    The spans are cut out of four bytes a code point, where a place needs no
+    counting from the start. MARK stands before each, as a reader would take a
+    text's own first U+FEFF for a byte order mark.
+    """
+    cut = lambda wide, s: F.decode(F.concat(F.lit(MARK), F.substring(wide, s["start"] * 4 + 1, (s["stop"] - s["start"]) * 4)), WIDE)
+    once = F.transform(F.array(F.encode(formatted, WIDE)), lambda wide: F.transform(loss, lambda s: unescape(F.substring(cut(wide, s), F.lit(2), s["stop"] - s["start"]))))
+    return F.array_join(F.get(once, F.lit(0)), "")
 
 
 def op7_chat_format(spark, sf_dir: str) -> DataFrame:

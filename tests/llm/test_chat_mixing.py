@@ -10,7 +10,7 @@ from loamgraph.llm import chat, mixing
 
 
 def test_chat_round_trip(spark):
-    hard = ["\\### Assistant: </turn> ok", "### user: x", "<|next|>", "a</turn>\n### b: ", "\\", "\\\\", "", None, "é漢🙂", "</tur", "n>\n", "$1 \\$", "<\\/turn>"]
+    hard = ["\\### Assistant: </turn> ok", "### user: x", "<|next|>", "a</turn>\n### b: ", "\\", "\\\\", "", None, "é漢🙂", "</tur", "n>\n", "$1 \\$", "<\\/turn>", "\ufeffmark", "\ufffe"]
     rows = [(c, t, ["user", "assistant", "user: ### x", None][(c * 7 + t) % 4 if c % 2 else t // 2 % 2], hard[(c + t) % len(hard)], "x") for c in range(6) for t in range(13)]
     rows += [(9, 1, "user", "tie b", ""), (9, 1, "user", "tie a", ""), (9, 1, "user", "tie a", ""), (None, 0, "assistant", "no id", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, formatted string")
@@ -28,6 +28,17 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_many_and_long_turns(spark):
+    n = 20_000  # quadratic work would take minutes
+    turns = spark.range(n).select(F.lit(3).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("</turn>\né "), F.col("id").cast("string")).alias("text"))
+    long = spark.createDataFrame([(4, 0, "assistant", "### \\é" * 400_000)], "conv_id int, turn long, role string, text string")
+    out = chat.format_conversations(turns.unionByName(long)).select("conv_id", "formatted", "loss", chat.parse_formatted(F.col("formatted")).alias("back"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("lost"))
+    got = {r.conv_id: r for r in out.collect()}
+    assert [x.text for x in got[3].back] == [f"</turn>\né {i}" for i in range(n)]
+    assert got[3].lost == "".join(f"</turn>\né {i}" for i in range(n) if i % 3)
+    assert got[4].lost == got[4].back[0].text == "### \\é" * 400_000
+
+
 def test_chat_query(spark):
     r = chat.op7_chat_format(spark, "/root/testdata/sf0.001").filter("conv_id = -7").collect()[0]
     t = "\\### Assistant: </turn> ok"
