@@ -72,7 +72,7 @@ class Model:
         return pi, float(np.log(p @ pi).sum())
 
     def predict(self, text: str | None) -> tuple[str, float, list[str], list[float]]:
-        """(language, score, languages of the document, their proportions)."""
+        """(language, score, languages of the document, their proportions); of equals the one that sorts first."""
         if not text or not self.langs or not has_letter(text):
             return "und", 0.0, [], []
         cells = trigrams(text)
@@ -115,7 +115,8 @@ def fit(docs: DataFrame, train: Column, per_lang: int = TRAIN_DOCS) -> Model:
     if not langs:
         return Model([], np.zeros((0, CELLS)))
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / sizes[k]))]), F.col("lang"))
-    sample = rows.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1_000_000)) < share * 1_000_000)
+    place = F.xxhash64(F.col("doc_id"), F.lit("langid")).bitwiseAND(F.lit((1 << 63) - 1))
+    sample = rows.filter(place <= share * F.lit(float(1 << 63)))
     number = F.array_position(F.lit(langs), F.col("lang")) - 1
 
     def make():
@@ -165,7 +166,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = KEEP) -> DataFrame:
-    """The rows of docs, all columns unchanged, whose text has letters and a language that holds `least` of it."""
+    """The rows of docs, all columns unchanged, whose text has letters and a language that holds `least` of it.
+
+    Null and empty texts and those without letters go, and under a model
+    without languages all do; repeated rows stay or go together; an empty table
+    stays empty; columns may have any names.
+    """
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

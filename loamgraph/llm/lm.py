@@ -14,7 +14,10 @@ chunks of about CHUNK bytes. Each chunk sends its distinct words and pairs of
 words, packed and cut by hash range, to the tasks that add the counts up; these
 send back to each chunk the totals of exactly what it asked for, and the chunk
 is scored with that. A key has one entry a chunk at most, however frequent it
-is.
+is. Each chunk speaks to each hash range, so where there are more than DIRECT
+of both they do it by way of groups of chunks and coarse ranges, about as many
+as the square root: messages then stay long, and their number is that of the
+chunks times the root. Both ways give the same counts.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from .common import fold, hashed_words, mixed
 from .shingles import _P
 
 CHUNK = 16 << 20
+#: Chunks that send to as many hash ranges themselves; more of them are gathered in groups first.
+DIRECT = 2048
 END, START = np.uint64(0x9D5C1A7B3F2E4D61), np.uint64(0x4B7E2F91A3C5D807)
 BUCKETS, STEP, ROUNDS, LEAST = 24, 0.1, 40, 1e-5
 DEFAULT = (0.05, 0.5, 0.45)
@@ -139,12 +144,34 @@ class Weights:
         return pair * p2 + scale * (w[:, 1] * p1 + w[:, 0] * uniform)
 
 
-def _counts(dealt: DataFrame, parts: int) -> DataFrame:
+_ASKED = pa.schema([("unit", pa.int64()), ("level", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("own", pa.binary()), ("more", pa.binary())])
+_TOLD = pa.schema([("unit", pa.int64()), ("level", pa.int32()), ("part", pa.int32()), ("own", pa.binary()), ("total", pa.binary())])
+ASKED = "unit long, level int, part int, keys binary, own binary, more binary"
+TOLD = "unit long, level int, part int, own binary, total binary"
+
+
+def _summed(rows: list[dict], columns: tuple[str, str]):
+    """(distinct keys of the rows, where each row's keys are among them, sums of both columns by distinct key)."""
+    keys = [widened(r["keys"]) for r in rows]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([unpacked(r[c]) for r in rows]), len(distinct)).astype(np.int64) for c in columns]
+    return distinct, np.split(at, np.cumsum([len(k) for k in keys])[:-1]), sums
+
+
+def _messages(unit: int, level: int, first: int, keys: np.ndarray, edges: np.ndarray, own: np.ndarray, more: np.ndarray) -> list[dict]:
+    """A row for each hash range from `first` on that holds keys."""
+    cut = [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+    return [{"unit": unit, "level": level, "part": first + i, "keys": narrow(keys[s]), "own": packed(own[s]), "more": packed(more[s])} for i, s in enumerate(cut) if s.stop > s.start]
+
+
+def _counts(dealt: DataFrame, parts: int, direct: int | None = None) -> DataFrame:
     """(chunk, level, part, own, total): for each chunk and hash range the counts, without and with the held-out fold, of what it holds.
 
     Rows of chunk -1 hold the number of tokens (level 1: words) and of distinct
     ones, without and with the fold, in own and total.
     """
+    coarse = parts if parts <= (direct or DIRECT) else int(np.ceil(np.sqrt(parts)))
+    fine = -(-parts // coarse)  # ranges within a coarse one, and chunks in a group: 1 if each chunk speaks for itself
 
     def ask(key, table):
         c = Chunk(table.column("text").to_pylist())
@@ -153,32 +180,46 @@ def _counts(dealt: DataFrame, parts: int) -> DataFrame:
         for level, keys, at in ((1, c.words, c.word_of), (2, c.pairs, c.pair_of)):
             own = np.bincount(at[role == 2], minlength=len(keys))
             more = np.bincount(at[role == 1], minlength=len(keys))
-            edges = cuts(keys, parts)
-            for i in range(parts):
-                s = slice(edges[i], edges[i + 1])
-                if s.stop > s.start:
-                    out.append({"chunk": key[0].as_py(), "level": level, "part": i, "keys": narrow(keys[s]), "own": packed(own[s]), "more": packed(more[s])})
-        return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.int64()), ("level", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("own", pa.binary()), ("more", pa.binary())]))
+            out += _messages(key[0].as_py(), level, 0, keys, cuts(keys, coarse), own, more)
+        return pa.Table.from_pylist(out, schema=_ASKED)
 
     def add(key, table):
-        rows = table.select(["chunk", "keys", "own", "more"]).to_pylist()
-        keys = [widened(r["keys"]) for r in rows]
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        own = np.bincount(at, np.concatenate([unpacked(r["own"]) for r in rows]), len(distinct)).astype(np.int64)
-        total = own + np.bincount(at, np.concatenate([unpacked(r["more"]) for r in rows]), len(distinct)).astype(np.int64)
-        out, start = [], 0
-        for r, k in zip(rows, keys, strict=True):
-            mine = at[start : start + len(k)]
-            start += len(k)
-            out.append({"chunk": r["chunk"], "own": packed(own[mine]), "total": packed(total[mine])})
-        if key[0].as_py() == 1:
-            out.append({"chunk": -1, "own": packed(np.array([own.sum(), (own > 0).sum()])), "total": packed(np.array([total.sum(), (total > 0).sum()]))})
-        for r in out:
-            r |= {"level": key[0].as_py(), "part": key[1].as_py()}
-        return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.int64()), ("level", pa.int32()), ("part", pa.int32()), ("own", pa.binary()), ("total", pa.binary())]))
-
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk long, level int, part int, keys binary, own binary, more binary")
-    return asked.groupBy("level", "part").applyInArrow(add, "chunk long, level int, part int, own binary, total binary")
+        level, part = key[0].as_py(), key[1].as_py()
+        rows = table.select(["unit", "keys", "own", "more"]).to_pylist()
+        _, places, (own, more) = _summed(rows, ("own", "more"))
+        total = own + more
+        out = [{"unit": r["unit"], "own": packed(own[at]), "total": packed(total[at])} for r, at in zip(rows, places, strict=True)]
+        if level == 1:
+            out.append({"unit": -1, "own": packed(np.array([own.sum(), (own > 0).sum()])), "total": packed(np.array([total.sum(), (total > 0).sum()]))})
+        return pa.Table.from_pylist([r | {"level": level, "part": part} for r in out], schema=_TOLD)
+
+    def gather(key, table):
+        group, level, part = (k.as_py() for k in key)
+        keys, _, (own, more) = _summed(table.select(["keys", "own", "more"]).to_pylist(), ("own", "more"))
+        lowest, highest = -(-(part << 64) // coarse), -(-((part + 1) << 64) // coarse)
+        inner = np.array([lowest + (highest - lowest) * i // fine for i in range(1, fine)], np.uint64)
+        edges = np.concatenate([[0], np.searchsorted(keys, inner), [len(keys)]]).astype(int)
+        return pa.Table.from_pylist(_messages(group, level, part * fine, keys, edges, own, more), schema=_ASKED)
+
+    def spread(key, asked, told):
+        _, level, part = (k.as_py() for k in key)
+        rows = asked.select(["unit", "keys", "own", "more"]).to_pylist()
+        if not rows:
+            return _TOLD.empty_table()
+        _, places, _ = _summed(rows, ("own", "more"))
+        got = sorted(told.select(["part", "own", "total"]).to_pylist(), key=lambda r: r["part"])
+        own, total = (np.concatenate([unpacked(r[c]) for r in got]) for c in ("own", "total"))
+        return pa.Table.from_pylist([{"unit": r["unit"], "level": level, "part": part, "own": packed(own[at]), "total": packed(total[at])} for r, at in zip(rows, places, strict=True)], schema=_TOLD)
+
+    asked = dealt.groupBy("chunk").applyInArrow(ask, ASKED)
+    if fine == 1:
+        return asked.groupBy("level", "part").applyInArrow(add, TOLD).withColumnRenamed("unit", "chunk")
+    asked = materialise(asked, "lm-asked")
+    group = F.floor(F.col("unit") / fine).alias("group")
+    told = materialise(asked.groupBy(group, "level", "part").applyInArrow(gather, ASKED).groupBy("level", "part").applyInArrow(add, TOLD), "lm-told")
+    back = told.filter("unit >= 0").groupBy(F.col("unit").alias("group"), "level", F.floor(F.col("part") / fine).cast("int").alias("part"))
+    answers = asked.groupBy(group, "level", "part").cogroup(back).applyInArrow(spread, TOLD)
+    return answers.unionByName(told.filter("unit < 0")).withColumnRenamed("unit", "chunk")
 
 
 def _answers(table: pa.Table, column: str) -> dict[int, np.ndarray]:

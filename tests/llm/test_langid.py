@@ -33,6 +33,35 @@ def test_em_matches_plain_em():
     assert np.allclose(pi, own, atol=0.02)
 
 
+def test_set_against_brute_force(spark):
+    """The registered model's sets against all sets of languages up to two, by a plain penalised likelihood."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    m = langid.fit(docs, F.lit(True))
+    texts = [r.text for r in docs.filter("text is not null").orderBy("doc_id").limit(60).collect()]
+    by_lang = {r.lang: r.text for r in docs.filter("lang is not null and text is not null").collect()}
+    texts += [a + " " + b for a in by_lang.values() for b in by_lang.values() if a != b]
+    found = []
+    for t in texts:
+        _, _, langs, shares = m.predict(t)
+        p = m.p[langid.trigrams(t)].astype(float)
+        price = langid.PENALTY * np.log(len(p) + 1)
+
+        def value(a, b, p=p, price=price):
+            pi = np.full(2, 0.5)
+            for _ in range(100):
+                w = p[:, [a, b]] * pi
+                pi = (w / w.sum(axis=1, keepdims=True)).mean(axis=0)
+            return np.log(p[:, [a, b]] @ pi).sum() - price
+
+        single = {(k,): np.log(p[:, k]).sum() for k in range(len(m.langs))}
+        double = {(a, b): value(a, b) for a in range(len(m.langs)) for b in range(a)}
+        best = max(single | double, key=(single | double).get)
+        if len(langs) <= 2:
+            found.append(set(langs) == {m.langs[k] for k in best})
+        assert abs(sum(shares) - 1) < 1e-3
+    assert len(found) > 60 and np.mean(found) > 0.95
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "12 !? 3", "x"), (4, EN, "x"), (4, EN, "x"), (None, DE, "x"), (5, "漢字", None)], "doc_id long, text string, lang_pred string")
     rows = langid.identify(docs, model()).collect()

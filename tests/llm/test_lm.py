@@ -62,6 +62,21 @@ def test_against_plain(spark, chunk):
         assert abs(r.score - own) < 0.02 * abs(own)  # the weights are learned on a grid
 
 
+def test_by_way_of_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 3).cast("int").alias("role"))
+    parts = 37
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("long"))
+
+    def read(counts):
+        rows = counts.collect()
+        whole = {c: sum(lm.unpacked(bytes(r[c])) for r in rows if r.chunk < 0).tolist() for c in ("own", "total")}
+        chunks = {(c, level): [np.concatenate([lm.unpacked(bytes(r[x])) for r in sorted(rows, key=lambda r: r.part) if (r.chunk, r.level) == (c, level)]).tolist() for x in ("own", "total")] for c in range(parts) for level in (1, 2) if any(r.chunk == c for r in rows)}
+        return whole, chunks, len([r for r in rows if r.chunk >= 0])
+
+    straight, groups = read(lm._counts(dealt, parts)), read(lm._counts(dealt, parts, 1))
+    assert straight[:2] == groups[:2] and straight[0]["total"][0] > 0 and groups[2] < straight[2] / 3
+
+
 def test_normalised():
     w = lm.Weights(np.tile(np.array([0.1, 0.3, 0.6]), (lm.BUCKETS, 1)))
     b = np.full(4, 3)
