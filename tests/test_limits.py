@@ -1,6 +1,9 @@
 """What must hold however large, deep or late the input is."""
 
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +77,37 @@ def test_folder_must_be_shared():
         shared_dir(Session)
 
 
+def test_stock_session(tmp_path):
+    """Without any configuration: tables are written, nested blocks drop theirs, threads leave the setting alone, the rest goes with the application."""
+    code = """
+import os, threading
+from pyspark.sql import SparkSession
+from loamgraph import session
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+folder = session.shared_dir(spark).removeprefix("file://")
+assert folder == session.shared_dir(spark).removeprefix("file://")
+left = session.materialise(spark.range(3), "left")
+with session.scratch(spark):
+    a = session.materialise(spark.range(5), "a")
+    with session.scratch(spark):
+        b = session.materialise(a, "b")
+        assert b.count() == 5
+    assert a.count() == 5 and len(os.listdir(folder)) == 2
+assert os.listdir(folder) == [os.path.basename(left._loam_path)] and left.count() == 3
+ts = [threading.Thread(target=lambda: [session.discard(session.materialise(spark.range(9), "t")) for _ in range(4)]) for _ in range(3)]
+[t.start() for t in ts]; [t.join() for t in ts]
+assert spark.conf.get(session.CLEANUP, "false") == "false" and len(os.listdir(folder)) == 1
+spark.stop()
+print(folder)
+"""
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, timeout=300)
+    assert out.returncode == 0, out.stderr
+    folder = out.stdout.split()[-1]
+    assert not os.path.isdir(folder) or not os.listdir(folder)
+
+
 def test_innermost_functions():
     r = random.Random(8)
     for _ in range(200):
