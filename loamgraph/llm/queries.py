@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, langid, lm, mixing, neardup, pii, secrets, shingles
+from . import ann, bpe, chat, langid, lm, mixing, neardup, pii, repair, runs, secrets, shingles, tokencount
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_lm_score": lm.op10_lm_score,
+    "op11_token_counts": tokencount.op11_token_counts,
+    "op12_repair_conversations": repair.op12_repair_conversations,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
 ORACLES = {
