@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import itertools
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise
@@ -10,6 +13,8 @@ from ..sources.files import with_ids
 
 #: Components times nodes beyond which blast radius isn't computed (a fixed value).
 BUDGET = 400_000_000
+#: Longs of 64 nodes in a row of bits.
+WORDS = 16
 
 
 def pairs(edges: DataFrame) -> DataFrame:
@@ -64,14 +69,104 @@ def blast_allowed(nodes: DataFrame, cycle: DataFrame) -> bool:
     return round(got["parts"] or 0) * got["n"] <= BUDGET
 
 
+def condensation(cycle: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, part) of each node and (source, target) between parts, without cycles: a part is a strongly connected component, named by its smallest node."""
+    part = cycle.select("id", F.coalesce("cycle_id", "id").alias("part"))
+    ends = pairs(edges).join(part.withColumnsRenamed({"id": "source", "part": "s"}), "source").join(part.withColumnsRenamed({"id": "target", "part": "t"}), "target")
+    return part, pairs(ends.select(F.col("s").alias("source"), F.col("t").alias("target")))
+
+
+def levels(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """(part), acyclic (source, target) -> part, level: the length of the longest way that ends there.
+
+    Parts that no open link reaches are peeled off, with the links that leave
+    them. A level takes two small tables; its links are read once more only.
+    """
+    rest, left, out = parts.select("part").distinct(), materialise(links, "peel-links"), []
+    for level in itertools.count():
+        blocked = left.select(F.col("target").alias("part"), F.lit(True).alias("blocked")).distinct()
+        told = materialise(rest.join(blocked, "part", "left"), "peel")
+        out.append((level, told))
+        rest = told.filter("blocked").select("part")
+        if rest.isEmpty():
+            break
+        kept = materialise(left.join(rest.withColumnRenamed("part", "source"), "source", "left_semi"), "peel-links")
+        discard(left)
+        left = kept
+    done = reduce(DataFrame.unionByName, [t.filter("blocked is null").select("part", F.lit(n).alias("level")) for n, t in out])
+    done = materialise(done, "levels")
+    discard(left)
+    for _, t in out:
+        discard(t)
+    return done
+
+
+def reach_counts(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, part), acyclic (source, target) over parts -> part, n: how many nodes lie in the part or in parts that reach it.
+
+    Nodes are numbered along the levels and kept as bits: a row (part, slice)
+    holds WORDS longs, 64 nodes each, and only slices with a bit have a row, so
+    that the parts' ancestors take nodes / 8 bytes each at most. Level by level
+    a part's bits are its own nodes' and those that came over its links, joined
+    by bit_or, which Spark aggregates before it shuffles; what a level sends on
+    is written by the level that will read it. No pair of nodes is a row.
+    """
+    level = levels(parts, links)
+    words, span = [f"b{k}" for k in range(WORDS)], 64 * WORDS
+    either = [F.bit_or(w).alias(w) for w in words]
+    placed = with_ids(parts.join(level, "part"), "place", [F.col("level"), F.col("part"), F.col("id")])
+    at = F.col("place") % span
+    bits = [F.when(F.floor(at / 64) == k, F.expr(f"shiftleft(1L, cast((place % {span}) % 64 as int))")).otherwise(F.lit(0).cast("long")).alias(w) for k, w in enumerate(words)]
+    own = placed.select("part", "level", F.floor(F.col("place") / span).alias("slice"), *bits).groupBy("part", "level", "slice").agg(*either)
+    own = materialise(own, "bits-own", "level")
+    onward = links.join(level.withColumnsRenamed({"part": "target", "level": "to"}), "target").join(level.withColumnsRenamed({"part": "source", "level": "from"}), "source")
+    onward = materialise(onward.select("source", "target", "from", "to"), "bits-links", "from")
+    reads: dict[int, list[int]] = {}  # which levels a level gets bits from
+    for r in onward.select("from", "to").distinct().collect():
+        reads.setdefault(r["to"], []).append(r["from"])
+    sends = {m for ms in reads.values() for m in ms}
+    sent, full = {}, []
+    for n in range(level.agg(F.max("level")).first()[0] + 1 if not level.isEmpty() else 0):
+        rows = own.filter(F.col("level") == n).select("part", "slice", *words)
+        for m in reads.get(n, ()):
+            rows = rows.unionByName(sent[m].filter(F.col("to") == n).select("part", "slice", *words))
+        full.append(materialise(rows.groupBy("part", "slice").agg(*either), "bits") if n in reads else rows)
+        if n in sends:
+            step = onward.filter(F.col("from") == n).select(F.col("source").alias("part"), "target", "to")
+            sent[n] = materialise(full[n].join(step, "part").groupBy(F.col("target").alias("part"), "to", "slice").agg(*either), "bits-sent", "to")
+    if not full:
+        return parts.select("part", F.lit(0).cast("long").alias("n")).limit(0)
+    ones = reduce(Column.__add__, [F.bit_count(w) for w in words])
+    out = materialise(reduce(DataFrame.unionByName, full).groupBy("part").agg(F.sum(ones).cast("long").alias("n")), "reach")
+    for t in [level, own, onward, *sent.values(), *full]:
+        discard(t)
+    return out
+
+
+def blast_from_cycles(nodes: DataFrame, edges: DataFrame, cycle: DataFrame) -> DataFrame:
+    """id, blast_radius over the condensation of the graph; cycle is what cycles_large() gives, on a table. NULL beyond BUDGET."""
+    if not blast_allowed(nodes, cycle):
+        return blast_radius(nodes, None)
+    parts, links = condensation(cycle, edges)
+    parts, links = materialise(parts, "parts"), materialise(links, "part-links")
+    n = reach_counts(parts, links)
+    # nodes of edges that aren't listed take part in ways, but have no row
+    out = materialise(nodes.select("id").join(parts, "id", "left").join(n, "part", "left").select("id", (F.coalesce("n", F.lit(1)) - 1).alias("blast_radius")), "blast")
+    for t in (parts, links, n):
+        discard(t)
+    return out
+
+
 def blast_and_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """blast_radius() and cycles() of a graph; beyond BUDGET the first has NULLs, and cycles come without a closure."""
-    n = nodes.count()
-    if n * n <= BUDGET:
-        reach = closure(edges)
-        return blast_radius(nodes, reach), cycles(nodes, reach)
-    found = materialise(cycles_large(nodes, edges), "cycles")
-    return blast_radius(nodes, closure(edges) if blast_allowed(nodes, found) else None), found
+    """blast_radius() and cycles() of a graph, without its closure; beyond BUDGET the first has NULLs. Edges to nodes that aren't listed are left out."""
+    known = pairs(edges)
+    for end in ("source", "target"):
+        known = known.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
+    known = materialise(known.select("source", "target"), "known-edges")
+    found = cycles_large(nodes, known)
+    out = blast_from_cycles(nodes, known, found)
+    discard(known)
+    return out, found
 
 
 def _cycles(nodes: DataFrame, member: DataFrame) -> DataFrame:
@@ -91,10 +186,10 @@ def cycles(nodes: DataFrame, reach: DataFrame) -> DataFrame:
 def cycles_large(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The same without a closure: trim nodes that have no way in or out, colour forward by the largest id, confirm backward from it.
 
-    For graphs whose closure is beyond the budget; state is one row a node.
+    For graphs of any size: state is one row a node. The result is a table.
     """
     left = materialise(pairs(edges), "scc-edges")
-    done = None
+    done, tables = None, []
     while True:
         while True:  # trim
             n = left.count()
@@ -107,30 +202,37 @@ def cycles_large(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if left.isEmpty():
             break
         ids = left.select(F.col("source").alias("id")).distinct()
-        colour = materialise(ids.select("id", F.col("id").alias("c")), "scc-colour")
+        colour_table = materialise(ids.select("id", F.col("id").alias("c")), "scc-colour")
+        colour = colour_table
         while True:
             push = left.join(colour.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.max("c").alias("m"))
             new = materialise(colour.join(push, "id", "left").select("id", F.greatest("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") > F.col("c")).alias("moved")), "scc-colour")
-            discard(colour)
-            colour = new.select("id", "c")
+            discard(colour_table)
+            colour_table, colour = new, new.select("id", "c")
             if new.filter("moved").isEmpty():
                 break
         inside = left.join(colour.withColumnsRenamed({"id": "source", "c": "cs"}), "source").join(colour.withColumnsRenamed({"id": "target", "c": "ct"}), "target").filter("cs = ct").select("source", "target")
         inside = materialise(inside, "scc-inside")
         found = materialise(colour.filter("id = c").select("id", F.col("c").alias("root")), "scc-found")
+        tables += [colour_table, inside, found]
         front = found
         while True:
             back = inside.join(front.withColumnRenamed("id", "target"), "target").select(F.col("source").alias("id"), "root").distinct().join(found, "id", "left_anti")
             front = materialise(back, "scc-found")
+            tables.append(front)
             if front.isEmpty():
                 break
             found = found.unionByName(front)
         done = found if done is None else done.unionByName(found)
         rest = left.join(found.select(F.col("id").alias("source")), "source", "left_anti").join(found.select(F.col("id").alias("target")), "target", "left_anti").select("source", "target")
+        tables.append(left)
         left = materialise(rest, "scc-edges")
     if done is None:
         done = nodes.select("id", F.col("id").alias("root")).limit(0)
-    return _cycles(nodes, done)
+    out = materialise(_cycles(nodes, done), "cycles")
+    for t in [left, *tables]:
+        discard(t)
+    return out
 
 
 def hotspots(stats: DataFrame) -> DataFrame:

@@ -41,22 +41,29 @@ COMMITS_SQL = """
 
 
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier's nation -> customer's nation by return flag: the three largest of each source."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag")
+    """Supplier's nation -> customer's nation by return flag."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag")
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("target"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("source"))
-    q = li.join(o, "l_orderkey").join(c, "o_custkey").join(s, "l_suppkey").groupBy("source", "target", F.col("l_returnflag").alias("kind")).agg(F.sum("l_quantity").alias("q"))
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("q"), "target", "kind"))
-    return q.withColumn("r", rank).filter("r <= 3").select("source", "target", "kind")
+    return li.join(o, "l_orderkey").join(c, "o_custkey").join(s, "l_suppkey").select("source", "target", F.col("l_returnflag").alias("kind")).distinct()
+
+
+def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order -> the customer's next one by key; finished orders also lead back to the one before, so that stretches of them are cycles."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    o = o.withColumn("before", F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).filter("before is not null")
+    ahead = o.select(F.col("before").alias("source"), F.col("o_orderkey").alias("target"), F.lit("next").alias("kind"))
+    return ahead.unionByName(o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("source"), F.col("before").alias("target"), F.lit("back").alias("kind")))
+
 
+def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
 
-EDGES_SQL = """
-  SELECT source, target, kind FROM (
-    SELECT *, row_number() OVER (PARTITION BY source ORDER BY q DESC, target, kind) AS r FROM (
-      SELECT s_nationkey::BIGINT AS source, c_nationkey::BIGINT AS target, l_returnflag AS kind, sum(l_quantity) AS q
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)
-  ) WHERE r <= 3"""
+
+ORDER_EDGES_SQL = """
+  SELECT unnest(CASE WHEN o_orderstatus = 'F' THEN [before, o_orderkey] ELSE [before] END) AS source, unnest(CASE WHEN o_orderstatus = 'F' THEN [o_orderkey, before] ELSE [o_orderkey] END) AS target
+  FROM (SELECT o_orderkey, o_orderstatus, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) WHERE before IS NOT NULL"""
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +85,6 @@ PURCHASES_SQL = """
   UNION SELECT l_suppkey * 2 + 1, o_custkey * 2, 'return' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'"""
 
 
-def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
-
-
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part as boxes and groups of a canvas for each brand."""
     k = F.col("p_partkey")

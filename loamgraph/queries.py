@@ -16,8 +16,10 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 WITH_FILES = f"WITH files AS ({corpus.FILES_SQL})"
-WITH_EDGES = f"WITH RECURSIVE edges AS ({corpus.EDGES_SQL}), pairs AS (SELECT DISTINCT source, target FROM edges WHERE source <> target), reach AS (SELECT source AS u, target AS v FROM pairs UNION SELECT r.u, p.target FROM reach r JOIN pairs p ON p.source = r.v), nodes AS (SELECT n_nationkey::BIGINT AS id FROM nation)"
 WITH_PURCHASES = f"WITH edges AS ({corpus.PURCHASES_SQL}), pairs AS (SELECT DISTINCT source, target FROM edges), nodes AS (SELECT c_custkey * 2 AS id FROM customer UNION ALL SELECT s_suppkey * 2 + 1 FROM supplier)"
+_REACH = "pairs AS MATERIALIZED (SELECT DISTINCT source, target FROM edges WHERE source <> target), reach AS (SELECT source AS u, target AS v FROM pairs UNION SELECT r.u, p.target FROM reach r JOIN pairs p ON p.source = r.v)"
+WITH_REACH = f"WITH RECURSIVE edges AS ({corpus.PURCHASES_SQL}), {_REACH}, nodes AS (SELECT c_custkey * 2 AS id FROM customer UNION ALL SELECT s_suppkey * 2 + 1 FROM supplier)"
+WITH_ORDERS = f"WITH RECURSIVE edges AS ({corpus.ORDER_EDGES_SQL}), {_REACH}, nodes AS (SELECT o_orderkey AS id FROM orders)"
 WITH_BOXES = f"WITH boxes AS ({corpus.BOXES_SQL}), links AS ({corpus.BOX_EDGES_SQL})"
 
 
@@ -272,27 +274,29 @@ def fan_in_out(spark, sf_dir):
     return graph.fan(corpus.purchase_nodes(spark, sf_dir), corpus.purchases(spark, sf_dir))
 
 
-@query(WITH_EDGES + "SELECT id, (SELECT count(*) FROM reach WHERE v = id AND u <> id) AS blast_radius FROM nodes")
+@query(WITH_REACH + ", n AS (SELECT v AS id, count(*) AS n FROM reach WHERE u <> v GROUP BY 1) SELECT nodes.id, coalesce(n, 0) AS blast_radius FROM nodes LEFT JOIN n ON n.id = nodes.id")
 def closure_blast_radius(spark, sf_dir):
-    return graph.blast_radius(corpus.trade_nodes(spark, sf_dir), graph.closure(corpus.trade_edges(spark, sf_dir)))
+    """How many customers and suppliers each one depends on over all purchases and returns, by bits over the graph's components."""
+    return graph.blast_and_cycles(corpus.purchase_nodes(spark, sf_dir), corpus.purchases(spark, sf_dir))[0]
 
 
-CYCLES_SQL = WITH_EDGES + ", mutual AS (SELECT a.u AS id, least(a.u, min(a.v)) AS root FROM reach a JOIN reach b ON a.u = b.v AND a.v = b.u GROUP BY a.u), sizes AS (SELECT root, count(*) AS n FROM mutual GROUP BY root HAVING count(*) > 1), cyc AS (SELECT n.id, s.root AS cycle_id, coalesce(s.n, 0) AS cycle_size FROM nodes n LEFT JOIN mutual m ON m.id = n.id LEFT JOIN sizes s ON s.root = m.root)"
+CYCLES_SQL = ", mutual AS (SELECT a.u AS id, least(a.u, min(a.v)) AS root FROM reach a JOIN reach b ON a.u = b.v AND a.v = b.u GROUP BY a.u), sizes AS (SELECT root, count(*) AS n FROM mutual GROUP BY root HAVING count(*) > 1), cyc AS (SELECT n.id, s.root AS cycle_id, coalesce(s.n, 0) AS cycle_size FROM nodes n LEFT JOIN mutual m ON m.id = n.id LEFT JOIN sizes s ON s.root = m.root)"
 
 
-@query(CYCLES_SQL + "SELECT * FROM cyc")
+@query(WITH_REACH + CYCLES_SQL + "SELECT * FROM cyc")
 def scc_cycles(spark, sf_dir):
-    return graph.cycles(corpus.trade_nodes(spark, sf_dir), graph.closure(corpus.trade_edges(spark, sf_dir)))
+    return graph.cycles_large(corpus.purchase_nodes(spark, sf_dir), corpus.purchases(spark, sf_dir))
 
 
-@query(CYCLES_SQL + "SELECT * FROM cyc")
+@query(WITH_ORDERS + CYCLES_SQL + "SELECT * FROM cyc")
 def scc_cycles_large(spark, sf_dir):
-    return graph.cycles_large(corpus.trade_nodes(spark, sf_dir), corpus.trade_edges(spark, sf_dir))
+    """Cycles among all orders, each before the customer's next one; cancelled steps lead back."""
+    return graph.cycles_large(corpus.order_nodes(spark, sf_dir), corpus.order_edges(spark, sf_dir))
 
 
-@query(CYCLES_SQL + "SELECT c.id, array_to_string(list_slice(list_sort(list(m.id)), 1, 4), ',') AS mates, greatest(any_value(c.cycle_size) - 5, 0) AS more FROM cyc c JOIN cyc m ON m.cycle_id = c.cycle_id AND m.id <> c.id GROUP BY c.id")
+@query(WITH_ORDERS + CYCLES_SQL + "SELECT c.id, array_to_string(list_slice(list_sort(list(m.id)), 1, 4), ',') AS mates, greatest(any_value(c.cycle_size) - 5, 0) AS more FROM cyc c JOIN cyc m ON m.cycle_id = c.cycle_id AND m.id <> c.id GROUP BY c.id")
 def cycle_mates(spark, sf_dir):
-    c = graph.cycles(corpus.trade_nodes(spark, sf_dir), graph.closure(corpus.trade_edges(spark, sf_dir)))
+    c = graph.cycles_large(corpus.order_nodes(spark, sf_dir), corpus.order_edges(spark, sf_dir))
     return graph.cycle_mates(c).select("id", F.array_join(F.transform("mates", lambda x: x.cast("string")), ",").alias("mates"), "more")
 
 
@@ -618,7 +622,7 @@ def html_scanned_refs(spark, sf_dir):
     return facts.refs_of(facts.scan_files(p, False)).select("file_id", "seq", "raw")
 
 
-@query(WITH_EDGES + "SELECT count(*) AS nodes, (SELECT count(*) FROM edges) AS links FROM nodes")
+@query(WITH_REACH + "SELECT count(*) AS nodes, (SELECT count(*) FROM edges) AS links FROM nodes")
 def graph_json_export(spark, sf_dir):
     """The trade graph as one JSON document, read back and counted."""
     from .sources import documents
@@ -653,7 +657,7 @@ def commit_stream_history(spark, sf_dir):
     return feed.history_of(spark, f"{at}/out")
 
 
-@query(WITH_EDGES + "SELECT n_nationkey::BIGINT AS id, sqrt((n_nationkey % 7) * (n_nationkey % 7) + (n_nationkey % 5) * (n_nationkey % 5) + 1.0::DOUBLE) AS r FROM nation ORDER BY 2 DESC, 1 LIMIT 1".replace(WITH_EDGES, ""))
+@query("SELECT n_nationkey::BIGINT AS id, sqrt((n_nationkey % 7) * (n_nationkey % 7) + (n_nationkey % 5) * (n_nationkey % 5) + 1.0::DOUBLE) AS r FROM nation ORDER BY 2 DESC, 1 LIMIT 1")
 def bounding_radius(spark, sf_dir):
     """The farthest node and its distance from the origin."""
     from .operators import layout

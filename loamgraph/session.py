@@ -21,6 +21,7 @@ def local_session(app: str = "loamgraph", cores: str = "*", partitions: int = 8,
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -66,8 +67,8 @@ def _cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
                 del _cleaning[key]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder, in folders by column `by` if given, and read it back: cuts the lineage and survives lost executors.
 
     The shuffle files behind it are dropped once the table is written; should
     another plan still hold them, Spark makes them again. The table goes with
@@ -78,7 +79,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     try:
         with _cleaned_shuffles(spark):
-            df.write.parquet(path)
+            (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         at, fs = _place(spark, path)
         fs.deleteOnExit(at)  # takes what exists only

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +12,8 @@ from ..session import materialise
 
 #: Folders that hold no sources of their own.
 SKIPPED = [".git", "bin", "obj", "build", "node_modules", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", "vendor", "dist", ".next", "coverage"]
+#: Files that tools write.
+NOISE = ["package-lock.json", "npm-shrinkwrap.json"]
 #: Languages by extension, in either direction.
 EXTENSIONS = {
     "c": [".c", ".h"], "csharp": [".cs"], "lisp": [".lisp", ".lsp", ".cl"], "python": [".py", ".pyi"], "go": [".go"], "php": [".php"], "vbnet": [".vb"],
@@ -28,7 +29,7 @@ def language_of(path: Column) -> Column:
 
 
 def is_noise(path: Column) -> Column:
-    return paths.let(paths.basename(path), lambda name: name.isin("package-lock.json", "npm-shrinkwrap.json") | (F.endswith(name, F.lit(".min.js")) & (F.length(name) > 7)))
+    return paths.let(paths.basename(path), lambda name: name.isin(*NOISE) | (F.endswith(name, F.lit(".min.js")) & (F.length(name) > 7)))
 
 
 def claimed(listing: DataFrame) -> DataFrame:
@@ -65,50 +66,17 @@ def with_ids(files: DataFrame, column: str = "file_id", order: str | list[Column
     return dealt.join(F.broadcast(before), part).withColumn(column, at.cast("long")).drop(part, shift)
 
 
-def walk(roots: list[str]) -> list[tuple[str, int]]:
-    """(path, bytes) of source files below the roots on a mounted file system; skipped folders aren't entered, links are followed once."""
-    out, seen = {}, set()
-    for root in roots:
-        for folder, inner, names in os.walk(os.path.abspath(root), followlinks=True):
-            real = os.path.realpath(folder)
-            if real in seen:
-                inner.clear()
-                continue
-            seen.add(real)
-            inner[:] = sorted(d for d in inner if d not in SKIPPED)
-            for name in names:
-                path = os.path.join(folder, name)
-                ext = "." + name.rsplit(".", 1)[1] if "." in name else ""
-                noise = name in ("package-lock.json", "npm-shrinkwrap.json") or (name.endswith(".min.js") and len(name) > 7)
-                if ext in LANGUAGE and not noise and os.path.isfile(path):
-                    out[path] = os.path.getsize(path)
-    return sorted(out.items())
-
-
-def read_tree(spark: SparkSession, roots: list[str], per_task: int = 500) -> DataFrame:
+def read_tree(spark: SparkSession, roots: list[str], tasks: int = 64, **options: str) -> DataFrame:
     """Source files below the roots: file_id, path, language, text, n_bytes; text is NULL where a file can't be read.
 
-    The driver lists names only; the executors read the files, so the roots
-    must be mounted on all of them. Spark's own readers skip names that begin
-    with `_` or `.`, and with them `__init__.py`; see read_store() for trees
-    in an object store.
+    Tasks list the folders and read the files (sources/trees.py), so the roots
+    must be mounted on all executors; the driver opens `tasks` folders at most.
+    Spark's own readers skip names that begin with `_` or `.`, and with them
+    `__init__.py`; see read_store() for trees in an object store.
     """
-    found = walk(roots)
-    listed = spark.createDataFrame(found, "path string, n_bytes long").repartition(max(1, -(-len(found) // per_task)))
-
-    def read(batches):
-        for b in batches:
-            text = []
-            for p in b["path"]:
-                try:
-                    with open(p, "rb") as f:
-                        text.append(f.read().decode("utf-8", "replace"))
-                except OSError:
-                    text.append(None)
-            yield b.assign(text=text)
-
-    rows = listed.mapInPandas(read, "path string, n_bytes long, text string")
-    return with_ids(rows.select("path", language_of(F.col("path")).alias("language"), "text", "n_bytes"))
+    from . import trees
+
+    return with_ids(trees.read(spark, roots, tasks=str(tasks), **options).select("path", "language", "text", "n_bytes"))
 
 
 def read_store(spark: SparkSession, roots: list[str]) -> DataFrame:

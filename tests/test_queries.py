@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -72,6 +73,34 @@ def test_graph(spark):
     assert graph.closure(edges, 3) is None
 
 
+def test_blast_over_condensation(spark, monkeypatch):
+    """Bits over levels of components count what the closure counts: cycles of several sizes, long ways, nodes without edges, ids with gaps, edges out of the graph."""
+    r = random.Random(2)
+    monkeypatch.setattr(graph, "WORDS", 1)
+    ids = r.sample(range(1000), 220)
+    edges = {(ids[a], ids[b]) for a, b in ((r.randrange(200), r.randrange(200)) for _ in range(150)) if a < b or r.random() < 0.1}
+    edges |= {(ids[i], ids[i + 1]) for i in range(100, 104)} | {(ids[0], ids[150])} | {(ids[i], ids[10 + i * 7 % 10]) for i in range(10, 20)}
+    rows = [(a, b, k) for a, b in sorted(edges) for k in "xy"[: r.randrange(1, 3)]]
+    nodes = spark.createDataFrame([(i,) for i in ids], "id long")
+    e = spark.createDataFrame(rows + [(ids[3], ids[3], "x"), (ids[3], 5000, "x"), (5000, ids[7], "x")], "source long, target long, kind string")
+    reach = graph.closure(spark.createDataFrame(rows, "source long, target long, kind string"))
+    blast, cycle = graph.blast_and_cycles(nodes, e)
+    assert sorted(blast.collect()) == sorted(graph.blast_radius(nodes, reach).collect())
+    assert sorted(cycle.collect()) == sorted(graph.cycles(nodes, reach).collect())
+    parts, links = graph.condensation(cycle, spark.createDataFrame(rows, "source long, target long, kind string"))
+    level = {x.part: x.level for x in graph.levels(parts, links).collect()}
+    ways = [(x.source, x.target) for x in links.collect()]
+    assert all(level[a] < level[b] for a, b in ways) and all(level[b] == max(level[a] for a, c in ways if c == b) + 1 for _, b in ways)
+    assert 4 < max(level.values()) < 12 and cycle.filter('cycle_size > 2').count()
+
+
+def test_blast_of_nothing(spark):
+    nodes, none = spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([], "source long, target long, kind string")
+    blast, cycle = graph.blast_and_cycles(nodes, none)
+    assert sorted(map(tuple, blast.collect())) == [(1, 0), (2, 0)] and sorted(map(tuple, cycle.collect())) == [(1, None, 0), (2, None, 0)]
+    assert [x.count() for x in graph.blast_and_cycles(nodes.limit(0), none)] == [0, 0]
+
+
 def test_cost_by_hand(spark):
     df = spark.createDataFrame([("python", 1200, 150, 50, 32000, None), ("markdown", 900, 0, 0, 100, None)], "language string, lines int, blank_lines int, comment_lines int, chars int, complexity int")
     r = totals.estimated(totals.code_totals(df)).first()
