@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import links, paths
 
+#: Kinds of edges, and what a link's or a module's name may lack, in the order in which it is tried.
 LABEL = {"TYPE_NAME": "type_reference", "IMPORT_PATH": "import", "MODULE_REQUIRE": "require"}
 SUFFIXES = {"html": ["/index.html", "/index.htm", ".html"], "css": [".css"], "markdown": [".md", ".markdown"]}
 JS_EXTENSIONS = [".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".json"]

@@ -622,15 +622,25 @@ def html_scanned_refs(spark, sf_dir):
     return facts.refs_of(facts.scan_files(p, False)).select("file_id", "seq", "raw")
 
 
-@query(WITH_REACH + "SELECT count(*) AS nodes, (SELECT count(*) FROM edges) AS links FROM nodes")
+@query(WITH_PURCHASES + ", placed AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS at FROM nodes) SELECT '/n/' || a.id AS path, '/n/' || b.id AS uses, kind FROM edges JOIN placed a ON a.id = source JOIN placed b ON b.id = target UNION ALL SELECT '/n/' || id, NULL, NULL FROM nodes")
 def graph_json_export(spark, sf_dir):
-    """The trade graph as one JSON document, read back and counted."""
-    from .sources import documents
+    """All purchases as one JSON document, written in parts and read back: a row for each link, and one for each node."""
+    import uuid
 
-    nodes = corpus.trade_nodes(spark, sf_dir).select("id", F.concat(F.lit("/n/"), F.col("id").cast("string")).alias("path"), F.lit("sql").alias("language"))
-    doc = documents.graph_json(nodes, corpus.trade_edges(spark, sf_dir))
-    back = doc.select(F.from_json("value", "nodes array<struct<id:long>>, links array<struct<source:long>>").alias("d"))
-    return back.select(F.size("d.nodes").cast("long").alias("nodes"), F.size("d.links").cast("long").alias("links"))
+    from .session import shared_dir
+    from .sources import graphjson
+
+    placed = sources.with_ids(corpus.purchase_nodes(spark, sf_dir), "at", "id")
+    edges = corpus.purchases(spark, sf_dir)
+    for end in ("source", "target"):
+        edges = edges.join(placed.select(F.col("id").alias(end), F.col("at").alias(end + "_at")), end)
+    nodes = placed.select(F.col("at").alias("id"), F.concat(F.lit("/n/"), F.col("id").cast("string")).alias("path"), F.lit("sql").alias("language"))
+    at = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    graphjson.write_graph(at, nodes, edges.select(F.col("source_at").alias("source"), F.col("target_at").alias("target"), "kind"))
+    n, e, _ = graphjson.read_graph(spark, at)
+    back = e.join(n.select(F.col("id").alias("source"), "path"), "source").join(n.select(F.col("id").alias("target"), F.col("path").alias("uses")), "target")
+    none = F.lit(None).cast("string")
+    return back.select("path", "uses", "kind").unionByName(n.select("path", none.alias("uses"), none.alias("kind")))
 
 
 @query()

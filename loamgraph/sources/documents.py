@@ -1,4 +1,4 @@
-"""Small documents kept beside a project: graph.json, diagrams, project.json, notes, positions."""
+"""Small documents kept beside a project: diagrams, project.json, notes, positions. graph.json: graphjson.py."""
 
 from __future__ import annotations
 
@@ -10,17 +10,12 @@ import secrets
 import tempfile
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cost import COCOMO, CostParams
 from ..functions.values import fnv1a
 
-STATS = ["lines", "blank_lines", "comment_lines", "chars", "max_indent", "parse_errors", "complexity", "functions", "max_function_complexity", "fan_in", "fan_out", "blast_radius", "cycle_id", "cycle_size", "unresolved", "git_commits", "git_authors", "hotspot_rank"]
-_NODE = "id long, path string, language string, " + ", ".join(f"{s} long" for s in STATS) + ", git_last_commit long, hot_functions array<struct<line:int,complexity:int,name:string>>"
-_GRAPH = f"nodes array<struct<{', '.join(p.strip().replace(' ', ':', 1) for p in re.split(r', (?![^<]*>)', _NODE))}>>, links array<struct<source:long,target:long,kind:string>>, clones array<struct<a:long,a_line:int,a_end:int,b:long,b_line:int,b_end:int>>"
-
-
 def write_atomic(path: str, text: str) -> None:
     folder = os.path.dirname(os.path.abspath(path))
     with tempfile.NamedTemporaryFile("w", dir=folder, delete=False, encoding="utf-8") as f:
@@ -28,39 +23,9 @@ def write_atomic(path: str, text: str) -> None:
     os.replace(f.name, path)
 
 
-# --- graph.json: one node-link document ------------------------------------------
-
-
-def graph_json(nodes: DataFrame, edges: DataFrame, clones: DataFrame | None = None) -> DataFrame:
-    """One row with the document in column `value`. Values that don't apply are left out, as to_json leaves out NULL.
-
-    For exchange: the graph itself is kept as Parquet tables.
-    """
-    have = [c for c in STATS if c in nodes.columns]
-    fields: list[Column] = [F.col("id"), F.col("path"), F.col("language"), *[F.when(F.col(c) >= 0, F.col(c)).alias(c) for c in have]]
-    if "git_last_commit" in nodes.columns:
-        fields.append(F.when(F.col("git_last_commit") > 0, F.col("git_last_commit")).alias("git_last_commit"))
-    if "hot" in nodes.columns:
-        fields.append(F.when(F.size("hot") > 0, F.col("hot")).alias("hot_functions"))
-    gather = lambda df, s, name: df.agg(F.array_sort(F.collect_list(s)).alias(name))
-    one = gather(nodes, F.struct(*fields), "nodes").join(F.broadcast(gather(edges, F.struct("source", "target", "kind"), "links")))
-    if clones is not None:
-        one = one.join(F.broadcast(gather(clones, F.struct("a", "a_line", "a_end", "b", "b_line", "b_end"), "clones")))
-    return one.select(F.to_json(F.struct(F.lit(True).alias("directed"), F.create_map().cast("map<string,string>").alias("graph"), *one.columns)).alias("value"))
-
-
-def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, clones): ids are positions; links without an end and clones out of range go; no `lines` means no statistics."""
-    doc = spark.read.schema(_GRAPH).json(path, multiLine=True)
-    nodes = doc.select(F.posexplode("nodes").alias("at", "n")).select(F.col("at").cast("long").alias("id"), *[F.col(f"n.{c}").alias(c) for c in ("path", "language")], *[F.when(F.col("n.lines").isNotNull(), F.col(f"n.{c}")).alias(c) for c in STATS], F.col("n.git_last_commit").alias("git_last_commit"), F.col("n.hot_functions").alias("hot"))
-    edges = doc.select(F.explode("links").alias("l")).select("l.*").filter("source is not null and target is not null")
-    n = F.size("nodes")
-    clones = doc.select(n.alias("size"), F.explode("clones").alias("c")).filter("c.a between 0 and size - 1 and c.b between 0 and size - 1").select("c.*")
-    return nodes, edges, clones
-
-
 # --- diagrams --------------------------------------------------------------------
 
+#: Fields of a box and of a connection.
 _BOX = "id:string,type:string,text:string,file:string,subpath:string,url:string,label:string,x:double,y:double,width:double,height:double,color:string"
 _LINE = "id:string,fromNode:string,toNode:string,fromSide:string,toSide:string,fromEnd:string,toEnd:string,color:string,label:string"
 

@@ -142,7 +142,9 @@ class TreeReader(DataSourceReader):
             out.append(Part(folder, False))
         return out + [Part(f, True) for f in queue]
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no folder is wanted
+            return
         listing = Listing(self.roots, self.wanted)
         rows, size = [], 0
         for path, extension, n in listing.below(partition.folder) if partition.deep else listing.open(partition.folder)[1]:

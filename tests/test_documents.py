@@ -59,18 +59,6 @@ def test_diagrams(spark):
             assert part in text, (style, part)
 
 
-def test_graph_json(spark, tmp_path):
-    nodes = spark.createDataFrame([(0, "/a", "c", 5, None), (1, "/b", "go", None, None)], "id long, path string, language string, lines long, complexity long")
-    edges = spark.createDataFrame([(0, 1, "import")], "source long, target long, kind string")
-    clones = spark.createDataFrame([(0, 1, 5, 1, 2, 6)], "a long, a_line int, a_end int, b long, b_line int, b_end int")
-    text = documents.graph_json(nodes, edges, clones).first().value
-    doc = json.loads(text)
-    assert doc["directed"] and doc["nodes"][0] == {"id": 0, "path": "/a", "language": "c", "lines": 5} and "complexity" not in doc["nodes"][0]
-    (tmp_path / "g.json").write_text(text)
-    n, e, c = documents.read_graph_json(spark, str(tmp_path / "g.json"))
-    assert [(r.id, r.path, r.lines) for r in n.orderBy("id").collect()] == [(0, "/a", 5), (1, "/b", None)] and e.count() == 1 and c.count() == 1
-
-
 def test_git_log(spark):
     lines = ["\x015\tx@y", "", "a.c", "b.c", "\x017\tz@y", "", "a.c", ""]
     got = gitlog.parse(spark.createDataFrame([("/r", i, v) for i, v in enumerate(lines)], "root string, n long, value string"))
