@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import links, paths
@@ -17,7 +17,7 @@ from ..functions.values import node_title
 from ..session import discard, materialise
 
 SIDES, ENDS = ["top", "right", "bottom", "left"], ["none", "arrow"]
-ROW_GAP, CELL, SEARCH, DEPTH = 40.0, 4096.0, 200, 64
+ROW_GAP, CELL, SEARCH, DEPTH = 40.0, 64.0, 200, 64
 
 
 def links_of(nodes: DataFrame) -> DataFrame:
@@ -35,17 +35,22 @@ def reachable(root: DataFrame, links_: DataFrame, canvases: DataFrame) -> DataFr
     """
     step = links_.join(canvases.select(F.col("canvas").alias("target")), "target", "left_semi").select("canvas", "target").distinct()
     seen = front = materialise(root.select("canvas", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level")), "trail")
+    tables = [front]
     for level in itertools.count(1):
         new = step.join(front.select("canvas"), "canvas").groupBy(F.col("target").alias("to")).agg(F.min("canvas").alias("parent"))
         new = new.withColumnRenamed("to", "canvas").join(seen, "canvas", "left_anti").select("canvas", "parent", F.lit(level).alias("level"))
         front = materialise(new, "trail")
+        tables.append(front)
         if front.isEmpty():
-            discard(front)
             break
         seen = seen.unionByName(front)
         if level % 16 == 0:
             seen = materialise(seen, "trail")
-    return seen
+            tables.append(seen)
+    out = materialise(seen, "trails")
+    for t in tables:
+        discard(t)
+    return out
 
 
 def breadcrumbs(index: DataFrame) -> DataFrame:
@@ -61,36 +66,123 @@ def breadcrumbs(index: DataFrame) -> DataFrame:
 
 
 def entries(nodes: DataFrame) -> DataFrame:
-    """What search reads: canvas, ord, id, title, weak, body (lower case)."""
-    body = F.concat_ws("\n", "text", "file", "url", "label")
-    return nodes.select("canvas", "ord", "id", node_title(F.col("type"), F.col("text"), F.col("file"), F.col("url"), F.col("label")).alias("title"), links.is_weak(F.col("type"), F.col("file"), F.col("subpath")).alias("weak"), paths.ascii_lower(body).alias("body"))
+    """What search reads: canvas, ord, id, title, weak, body (the field of the node's type, in lower case; empty without one)."""
+    body = F.when(F.col("type") == "text", F.col("text")).when(F.col("type") == "file", F.col("file")).when(F.col("type") == "link", F.col("url")).otherwise(F.col("label"))
+    return nodes.select("canvas", "ord", "id", node_title(F.col("type"), F.col("text"), F.col("file"), F.col("url"), F.col("label")).alias("title"), links.is_weak(F.col("type"), F.col("file"), F.col("subpath")).alias("weak"), paths.ascii_lower(F.coalesce(body, F.lit(""))).alias("body"))
 
 
-def search(rows: DataFrame, words: str, most: int = SEARCH) -> DataFrame:
-    """Entries whose text holds `words` in either case, in index order; none for an empty search."""
-    low = words.translate({c: c + 32 for c in range(65, 91)})
-    hit = F.contains("body", F.lit(low)) & ~F.col("weak") & F.lit(bool(words))
-    return rows.filter(hit).orderBy("canvas", "ord").limit(most).select("canvas", "ord", "id", "title")
+def _hits(rows: DataFrame, words: str, most: int | None) -> DataFrame:
+    hit = rows.filter(F.contains("body", F.lit(ascii_lower(words))) & ~F.col("weak") & F.lit(bool(words))).orderBy("canvas", "ord")
+    return (hit if most is None else hit.limit(most)).select("canvas", "ord", "id", "title")
 
 
-def _cells(x: str, w: str, size: float) -> Column:
-    """Grid cells along one axis that a box touches."""
-    low, high = F.floor(F.col(x) / size), F.floor((F.col(x) + F.col(w)) / size)
-    return F.explode(F.sequence(low, high))
+def search(rows: DataFrame, words: str, most: int | None = SEARCH) -> DataFrame:
+    """Entries whose text holds `words` in either case, the first `most` in index order (None: all of them); none for an empty search. Reads all entries; see SearchIndex."""
+    return _hits(rows, words, most)
+
+
+def ascii_lower(words: str) -> str:
+    return words.translate({c: c + 32 for c in range(65, 91)})
+
+
+class SearchIndex:
+    """Trigrams of entries and where they stand, as tables in a folder: a search reads the postings of a few grams and verifies what has them all.
+
+    Postings (gram, canvas, ord) lie in folders by a hash of the gram and are
+    sorted by it there, so that a search opens a folder for each gram it uses
+    and skips most of that; a frequent gram is many rows, never one. How often
+    each gram stands is kept beside them, and the rarest of the searched ones
+    are used. Words of fewer than three characters are looked for in all entries.
+    """
+
+    GRAM, USED = 3, 4
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.entries = spark.read.parquet(f"{self.path}/entries")
+
+    @classmethod
+    def build(cls, rows: DataFrame, path: str, folders: int = 64) -> SearchIndex:
+        """Write the index of entries() to the folder `path`, in place of what is there. (canvas, ord) should name an entry."""
+        path = path.rstrip("/")
+        spark = rows.sparkSession
+        rows.write.mode("overwrite").parquet(f"{path}/entries")
+        kept = spark.read.schema(rows.schema).parquet(f"{path}/entries").filter(~F.col("weak"))
+        at = F.sequence(F.lit(1), F.length("body") - cls.GRAM + 1)
+        grams = F.array_distinct(F.transform(at, lambda i: F.substring(F.col("body"), i, F.lit(cls.GRAM))))
+        posted = kept.filter(F.length("body") >= cls.GRAM).select("canvas", "ord", F.explode(grams).alias("gram")).withColumn("folder", cls._folder(F.col("gram"), folders))
+        posted = posted.repartition("folder", (F.xxhash64("canvas", "ord") % 16).alias("part")) if folders > 1 else posted
+        posted.sortWithinPartitions("folder", "gram", "canvas", "ord").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/grams")
+        found = spark.read.schema(posted.schema).parquet(f"{path}/grams").groupBy("folder", "gram").agg(F.count(F.lit(1)).alias("n"))
+        found.repartition("folder").sortWithinPartitions("folder", "gram").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/counts")
+        spark.createDataFrame([(folders,)], "folders int").write.mode("overwrite").parquet(f"{path}/folders")
+        return cls(spark, path)
+
+    @staticmethod
+    def _folder(gram: Column, folders: int) -> Column:
+        return F.pmod(F.xxhash64(gram), F.lit(folders)).cast("int")
+
+    def _of(self, table: str, schema: str, grams: list[str]) -> DataFrame:
+        folders = self.spark.read.schema("folders int").parquet(f"{self.path}/folders").first()[0]
+        places = [r[0] for r in self.spark.createDataFrame([(g,) for g in grams], "gram string").select(self._folder(F.col("gram"), folders)).distinct().collect()]
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
+        return rows.filter(F.col("folder").isin(places) & F.col("gram").isin(grams))
+
+    def candidates(self, words: str) -> DataFrame:
+        """(canvas, ord) of entries that have the rarest grams of `words`, of three characters at least: all that hold the words, and few others."""
+        low = ascii_lower(words)
+        grams = sorted({low[i : i + self.GRAM] for i in range(len(low) - self.GRAM + 1)})
+        known = {r.gram: r.n for r in self._of("counts", "gram string, n long, folder int", grams).select("gram", "n").collect()}  # a row a searched gram
+        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.entries.schema if f.name in ("canvas", "ord"))
+        if len(known) < len(grams):
+            return self.entries.select("canvas", "ord").limit(0)
+        used = sorted(grams, key=lambda g: (known[g], g))[: self.USED]
+        posted = self._of("grams", f"{kind}, gram string, folder int", used)
+        return posted.groupBy("canvas", "ord").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(used)).select("canvas", "ord")
+
+    def search(self, words: str, most: int | None = SEARCH) -> DataFrame:
+        """What search() gives over the entries."""
+        rows = self.entries if len(words) < self.GRAM else self.entries.join(self.candidates(words), ["canvas", "ord"], "left_semi")
+        return _hits(rows, words, most)
+
+
+def _level(w: str, h: str, cell: float) -> Column:
+    """The level of a box: cells of level k are cell * 2^k wide, and those of its own level about as wide as it is."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col(w), F.col(h), F.lit(cell)) / cell))).cast("int")
+
+
+def _size(level: str, cell: float) -> Column:
+    return F.pow(F.lit(2.0), F.col(level)) * cell
+
+
+def _in_cells(rows: DataFrame, x: str, y: str, w: str, h: str, cell: float) -> DataFrame:
+    """Each box once for every cell of column `level` that it touches: two by two of its own level, fewer above."""
+    size = _size("level", cell)
+    along = lambda p, n: F.explode(F.sequence(F.floor(F.col(p) / size), F.floor((F.col(p) + F.col(n)) / size)))
+    return rows.withColumn("cx", along(x, w)).withColumn("cy", along(y, h))
+
+
+def _at_levels(rows: DataFrame, of: DataFrame, own: Column) -> DataFrame:
+    """rows with column `level`: each level of its canvas in of(canvas, level), from the row's own up. A canvas has as many as its boxes' sizes have doublings, at most."""
+    there = of.groupBy("canvas").agg(F.collect_set("level").alias("levels"))
+    return rows.withColumn("own_", own).join(there, "canvas").withColumn("level", F.explode(F.filter("levels", lambda x: x >= F.col("own_")))).drop("own_", "levels")
 
 
 def containing_group(nodes: DataFrame, cell: float = CELL) -> DataFrame:
     """canvas, id, group_id: the smallest group around the box's centre, ties to the first; NULL without one.
 
-    Groups are listed in the grid cells they touch, a centre lies in one cell:
-    an equi-join on the cell, then the exact test.
+    Groups are listed in the cells they touch of the level of their size, a
+    centre lies in one cell of each level that the canvas has groups on: an
+    equi-join on level and cell, then the exact test.
     """
     groups = nodes.filter("type = 'group'").select("canvas", F.col("ord").alias("g_ord"), F.col("id").alias("group_id"), F.col("x").alias("gx"), F.col("y").alias("gy"), F.col("w").alias("gw"), F.col("h").alias("gh"))
-    groups = groups.withColumn("cx", _cells("gx", "gw", cell)).withColumn("cy", _cells("gy", "gh", cell))
+    groups = groups.withColumn("level", _level("gw", "gh", cell))
     boxes = nodes.filter("type <> 'group'").withColumns({"mx": F.col("x") + F.col("w") / 2, "my": F.col("y") + F.col("h") / 2})
-    boxes = boxes.withColumns({"cx": F.floor(F.col("mx") / cell), "cy": F.floor(F.col("my") / cell)})
+    probes = _at_levels(boxes.select("canvas", "id", "mx", "my"), groups, F.lit(0))
+    probes = probes.withColumns({"cx": F.floor(F.col("mx") / _size("level", cell)), "cy": F.floor(F.col("my") / _size("level", cell))})
     inside = (F.col("mx") >= F.col("gx")) & (F.col("mx") <= F.col("gx") + F.col("gw")) & (F.col("my") >= F.col("gy")) & (F.col("my") <= F.col("gy") + F.col("gh"))
-    best = boxes.join(groups, ["canvas", "cx", "cy"]).filter(inside).groupBy("canvas", "id").agg(F.min_by("group_id", F.struct(F.col("gw") * F.col("gh"), "g_ord")).alias("group_id"))
+    met = probes.join(_in_cells(groups, "gx", "gy", "gw", "gh", cell), ["canvas", "level", "cx", "cy"]).filter(inside)
+    best = met.groupBy("canvas", "id").agg(F.min_by("group_id", F.struct(F.col("gw") * F.col("gh"), "g_ord")).alias("group_id"))
     return boxes.select("canvas", "id").join(best, ["canvas", "id"], "left")
 
 
@@ -101,25 +193,44 @@ def reading_order(nodes: DataFrame, gap: float = ROW_GAP) -> DataFrame:
     return rows.select("canvas", "id", F.row_number().over(Window.partitionBy("canvas").orderBy("row", "x", "y", "ord")).cast("long").alias("place"))
 
 
+def _meetings(small: DataFrame, large: DataFrame, cell: float) -> DataFrame:
+    """Pairs of boxes of one canvas, small(s_x, ...) and large(l_x, ...), whose areas overlap, where the second's level is the first's or higher; each once.
+
+    The large one is listed in the cells of its own level, the small one in
+    those of each level from its own up that the canvas has. A pair counts in
+    the first cell of its common area.
+    """
+    large = large.withColumn("level", _level("l_w", "l_h", cell))
+    small = _at_levels(small, large, _level("s_w", "s_h", cell))
+    touch = (F.col("s_x") < F.col("l_x") + F.col("l_w")) & (F.col("l_x") < F.col("s_x") + F.col("s_w")) & (F.col("s_y") < F.col("l_y") + F.col("l_h")) & (F.col("l_y") < F.col("s_y") + F.col("s_h"))
+    size = _size("level", cell)
+    first = (F.col("cx") == F.floor(F.greatest("s_x", "l_x") / size)) & (F.col("cy") == F.floor(F.greatest("s_y", "l_y") / size))
+    listed = _in_cells(small, "s_x", "s_y", "s_w", "s_h", cell)
+    return listed.join(_in_cells(large, "l_x", "l_y", "l_w", "l_h", cell), ["canvas", "level", "cx", "cy"]).filter(touch & first)
+
+
+def _named(nodes: DataFrame, which: str, prefix: str) -> DataFrame:
+    return nodes.filter(which).select("canvas", *[F.col(c).alias(f"{prefix}_{c}") for c in ("ord", "id", "x", "y", "w", "h")])
+
+
 def overlaps(nodes: DataFrame, cell: float = CELL) -> DataFrame:
-    """(canvas, a, b): boxes, groups aside, that overlap; a before b. Both are listed in the cells they touch; a pair counts in the first cell of its common area."""
-    rows = nodes.filter("type <> 'group'").select("canvas", "ord", "id", "x", "y", "w", "h")
-    rows = rows.withColumn("cx", _cells("x", "w", cell)).withColumn("cy", _cells("y", "h", cell))
-    a = rows.withColumnsRenamed({"ord": "oa", "id": "a", "x": "ax", "y": "ay", "w": "aw", "h": "ah"})
-    b = rows.withColumnsRenamed({"ord": "ob", "id": "b", "x": "bx", "y": "by", "w": "bw", "h": "bh"})
-    touch = (F.col("ax") < F.col("bx") + F.col("bw")) & (F.col("bx") < F.col("ax") + F.col("aw")) & (F.col("ay") < F.col("by") + F.col("bh")) & (F.col("by") < F.col("ay") + F.col("ah"))
-    first = (F.col("cx") == F.floor(F.greatest("ax", "bx") / cell)) & (F.col("cy") == F.floor(F.greatest("ay", "by") / cell))
-    return a.join(b, ["canvas", "cx", "cy"]).filter((F.col("oa") < F.col("ob")) & touch & first).select("canvas", "a", "b")
+    """(canvas, a, b): boxes, groups aside, that overlap; a before b. Boxes of any size meet in cells of the larger one's level."""
+    met = _meetings(_named(nodes, "type <> 'group'", "s"), _named(nodes, "type <> 'group'", "l"), cell)
+    # of two boxes of one level each meets the other: once is enough
+    met = met.filter((_level("s_w", "s_h", cell) < F.col("level")) | (F.col("s_ord") < F.col("l_ord")))
+    before = F.col("s_ord") < F.col("l_ord")
+    return met.select("canvas", F.when(before, F.col("s_id")).otherwise(F.col("l_id")).alias("a"), F.when(before, F.col("l_id")).otherwise(F.col("s_id")).alias("b"))
 
 
 def straddles(nodes: DataFrame, cell: float = CELL) -> DataFrame:
     """(canvas, id, group_id): boxes that cross a group's edge."""
-    groups = nodes.filter("type = 'group'").select("canvas", F.col("id").alias("group_id"), F.col("x").alias("gx"), F.col("y").alias("gy"), F.col("w").alias("gw"), F.col("h").alias("gh"))
-    groups = groups.withColumn("cx", _cells("gx", "gw", cell)).withColumn("cy", _cells("gy", "gh", cell))
-    boxes = nodes.filter("type <> 'group'").select("canvas", "id", "x", "y", "w", "h").withColumn("cx", _cells("x", "w", cell)).withColumn("cy", _cells("y", "h", cell))
-    over = (F.col("x") < F.col("gx") + F.col("gw")) & (F.col("gx") < F.col("x") + F.col("w")) & (F.col("y") < F.col("gy") + F.col("gh")) & (F.col("gy") < F.col("y") + F.col("h"))
-    within = (F.col("x") >= F.col("gx")) & (F.col("y") >= F.col("gy")) & (F.col("x") + F.col("w") <= F.col("gx") + F.col("gw")) & (F.col("y") + F.col("h") <= F.col("gy") + F.col("gh"))
-    return boxes.join(groups, ["canvas", "cx", "cy"]).filter(over & ~within).select("canvas", "id", "group_id").distinct()
+    within = (F.col("b_x") >= F.col("g_x")) & (F.col("b_y") >= F.col("g_y")) & (F.col("b_x") + F.col("b_w") <= F.col("g_x") + F.col("g_w")) & (F.col("b_y") + F.col("b_h") <= F.col("g_y") + F.col("g_h"))
+    box, group = "type <> 'group'", "type = 'group'"
+    rename = lambda df, s, to: df.withColumnsRenamed({f"{s}_{c}": f"{to}_{c}" for c in ("ord", "id", "x", "y", "w", "h")})
+    smaller = _meetings(_named(nodes, box, "s"), _named(nodes, group, "l"), cell)
+    larger = _meetings(_named(nodes, group, "s"), _named(nodes, box, "l"), cell).filter(_level("s_w", "s_h", cell) < F.col("level"))
+    met = rename(rename(smaller, "s", "b"), "l", "g").unionByName(rename(rename(larger, "s", "g"), "l", "b"))
+    return met.filter(~within).select("canvas", F.col("b_id").alias("id"), F.col("g_id").alias("group_id"))
 
 
 def connections(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -165,9 +276,11 @@ def with_weak_link(nodes: DataFrame, canvas: str, target_canvas: str, target_id:
     return nodes.unionByName(new.select(*row))
 
 
-def rollup(starts: DataFrame, links_: DataFrame, folders: DataFrame, stats: DataFrame) -> DataFrame:
+def rollup(starts: DataFrame, links_: DataFrame, folders: DataFrame, stats: DataFrame, depth: int | None = DEPTH) -> DataFrame:
     """Totals of all code below each start, each file once.
 
+    Links are followed `depth` steps (None: to the end).
+
     starts(start, canvas); links_(canvas, target); folders(canvas, folder);
     stats has path and what code_totals() reads. A start's canvas and those it
     reaches over links contribute the files below their folders.
@@ -176,7 +289,7 @@ def rollup(starts: DataFrame, links_: DataFrame, folders: DataFrame, stats: Data
 
     seen = front = materialise(starts.select("start", "canvas").distinct(), "rollup")
     step = links_.select("canvas", "target").distinct()
-    for _ in range(DEPTH):
+    for _ in itertools.count() if depth is None else range(depth):
         new = front.join(step, "canvas").select("start", F.col("target").alias("canvas")).distinct().join(seen, ["start", "canvas"], "left_anti")
         front = materialise(new, "rollup")
         if front.isEmpty():
@@ -212,6 +325,10 @@ def validate(nodes: DataFrame, edges: DataFrame, root: str, folders: DataFrame |
         issue(weak_targets(nodes).filter("title is null"), "error", place(), "weak link to a missing node"),
         issue(overlaps(nodes), "warning", place("a"), "overlaps another box"),
         issue(straddles(nodes), "warning", place(), "crosses a group's edge"),
+        issue(nodes.filter((F.col("type") == "text") & (F.trim("text") == "")), "warning", place(), "the text is empty"),
+        issue(edges.filter(F.coalesce("label", F.lit("")) == ""), "warning", place(), "a connection without a label"),
+        issue(edges.filter(F.coalesce("id", F.lit("")) == ""), "error", F.col("canvas"), "a connection without an id"),
+        issue(links_of(nodes).join(nodes.select(F.col("canvas").alias("target")).distinct(), "target", "left_anti"), "error", place(), "link to a missing diagram"),
     ]
     canvases = nodes.select("canvas").distinct()
     seen = reachable(canvases.filter(F.col("canvas") == root), links_of(nodes), canvases)

@@ -261,9 +261,10 @@ def top_depended(edges: DataFrame, most: int = 5) -> DataFrame:
     return edges.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("uses")).orderBy(F.desc("uses"), "id").limit(most)
 
 
-def language_histogram(nodes: DataFrame, most: int = 32) -> DataFrame:
-    """language, n, in order of first appearance by id."""
-    return nodes.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).orderBy("first_id").limit(most)
+def language_histogram(nodes: DataFrame, most: int | None = 32) -> DataFrame:
+    """language, n, in order of first appearance by id; the first `most` of them (None: all)."""
+    rows = nodes.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).orderBy("first_id")
+    return rows if most is None else rows.limit(most)
 
 
 def top_scores(scores: DataFrame, most: int = 3) -> DataFrame:

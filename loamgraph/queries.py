@@ -477,9 +477,31 @@ def rollup_once_per_file(spark, sf_dir):
 # --- diagrams --------------------------------------------------------------------
 
 
-@query(WITH_BOXES + "SELECT canvas, ord, id FROM boxes WHERE type = 'text' AND contains(lower('# ' || p_name || chr(10) || p_type), 'blue bolt') ORDER BY canvas, ord LIMIT 200")
+def _search_sql(words: str, limit: str) -> str:
+    body = "CASE type WHEN 'text' THEN '# ' || p_name || chr(10) || p_type WHEN 'file' THEN NULL ELSE p_name END"
+    return WITH_BOXES + f"SELECT canvas, ord, id FROM boxes WHERE contains(lower({body}), '{words}') ORDER BY canvas, ord {limit}"
+
+
+def _noted(spark, sf_dir):
+    """The boxes with words in fields that don't belong to their type, which search must not see."""
+    return corpus.boxes(spark, sf_dir).withColumns({"url": F.lit("blue bolt"), "label": F.coalesce("label", F.lit("blue bolt large"))})
+
+
+@query(_search_sql("blue bolt", "LIMIT 200"))
 def text_search(spark, sf_dir):
-    return canvas.search(canvas.entries(corpus.boxes(spark, sf_dir).filter("type = 'text'")), "Blue BOLT").select("canvas", "ord", "id")
+    """Boxes of all types; those of files are weak links here."""
+    return canvas.search(canvas.entries(_noted(spark, sf_dir)), "Blue BOLT").select("canvas", "ord", "id")
+
+
+@query(_search_sql("large", ""))
+def text_search_indexed(spark, sf_dir):
+    """The same by way of trigram postings, without a limit."""
+    import uuid
+
+    from .session import shared_dir
+
+    index = canvas.SearchIndex.build(canvas.entries(_noted(spark, sf_dir)), f"{shared_dir(spark)}/search-{uuid.uuid4().hex}", 8)
+    return index.search("LARGE", None).select("canvas", "ord", "id")
 
 
 @query(WITH_BOXES + "SELECT b.canvas, b.id, (SELECT g.id FROM boxes g WHERE g.canvas = b.canvas AND g.type = 'group' AND b.x + b.w / 2 BETWEEN g.x AND g.x + g.w AND b.y + b.h / 2 BETWEEN g.y AND g.y + g.h ORDER BY g.w * g.h, g.ord LIMIT 1) AS group_id FROM boxes b WHERE b.type <> 'group'")
@@ -489,12 +511,12 @@ def containing_group(spark, sf_dir):
 
 @query(WITH_BOXES + "SELECT a.canvas, a.id AS a, b.id AS b FROM boxes a JOIN boxes b ON a.canvas = b.canvas AND a.ord < b.ord WHERE a.type <> 'group' AND b.type <> 'group' AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h")
 def box_overlap(spark, sf_dir):
-    return canvas.overlaps(corpus.boxes(spark, sf_dir), 100.0)
+    return canvas.overlaps(corpus.boxes(spark, sf_dir))
 
 
 @query(WITH_BOXES + "SELECT b.canvas, b.id, g.id AS group_id FROM boxes b JOIN boxes g ON b.canvas = g.canvas AND g.type = 'group' WHERE b.type <> 'group' AND b.x < g.x + g.w AND g.x < b.x + b.w AND b.y < g.y + g.h AND g.y < b.y + b.h AND NOT (b.x >= g.x AND b.y >= g.y AND b.x + b.w <= g.x + g.w AND b.y + b.h <= g.y + g.h)")
 def box_straddle(spark, sf_dir):
-    return canvas.straddles(corpus.boxes(spark, sf_dir), 100.0)
+    return canvas.straddles(corpus.boxes(spark, sf_dir))
 
 
 TITLES_SQL = WITH_BOXES + ", titled AS (SELECT canvas, id, ord, type, CASE type WHEN 'text' THEN p_name WHEN 'group' THEN p_name ELSE 'Brand_' || (ord * 7) % 5 + 1 || '.canvas' END AS title FROM boxes)"
@@ -558,7 +580,14 @@ def reading_order(spark, sf_dir):
     return canvas.reading_order(corpus.boxes(spark, sf_dir))
 
 
-@query()
+@query(ORACLES["weak_link_targets"].rsplit("SELECT w.canvas", 1)[0] + """, found AS (
+    SELECT 'error' AS severity, 'edge to a missing node' AS message, count(*) AS n FROM links l WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.canvas = l.canvas AND b.id = l.to_node)
+    UNION ALL SELECT 'error', 'weak link to a missing node', count(*) FROM weak w LEFT JOIN titled t ON t.canvas = w.target_canvas AND t.id = w.target_id WHERE t.title IS NULL
+    UNION ALL SELECT 'warning', 'overlaps another box', count(*) FROM boxes a JOIN boxes b ON a.canvas = b.canvas AND a.ord < b.ord WHERE a.type <> 'group' AND b.type <> 'group' AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h
+    UNION ALL SELECT 'warning', 'crosses a group''s edge', count(*) FROM boxes b JOIN boxes g ON b.canvas = g.canvas AND g.type = 'group' WHERE b.type <> 'group' AND b.x < g.x + g.w AND g.x < b.x + b.w AND b.y < g.y + g.h AND g.y < b.y + b.h AND NOT (b.x >= g.x AND b.y >= g.y AND b.x + b.w <= g.x + g.w AND b.y + b.h <= g.y + g.h)
+    UNION ALL SELECT 'warning', 'a connection without a label', count(*) FROM links WHERE label IS NULL
+    UNION ALL SELECT 'error', 'not reachable from the root', count(DISTINCT canvas) FROM boxes WHERE canvas <> '/maps/Brand_1.canvas')
+  SELECT * FROM found WHERE n > 0""")
 def validation_issues(spark, sf_dir):
     """All checks over the diagrams, counted."""
     return canvas.validate(corpus.boxes(spark, sf_dir), corpus.box_edges(spark, sf_dir), "/maps/Brand_1.canvas").groupBy("severity", "message").agg(F.count(F.lit(1)).alias("n"))
@@ -587,11 +616,12 @@ def notes_exact_group(spark, sf_dir):
     return notes.for_exact_group(_notes(spark, sf_dir), ["/f4", "/f10", "/f5"]).select("id")
 
 
-@query(WITH_FILES + "SELECT path, md5(text || 'x') AS hash, md5(text) AS current FROM files WHERE file_id % 2 = 0 AND file_id % 3 = 0")
+@query(WITH_FILES + "SELECT path, md5(text || 'x') AS hash, md5(text) AS current FROM files WHERE file_id % 3 = 0")
 def stale_overlay(spark, sf_dir):
+    """All files have a stored hash; every third one's is of another text."""
     f = corpus.files(spark, sf_dir)
     now = f.select("path", F.md5(F.col("text").cast("binary")).alias("hash"))
-    kept = f.filter("file_id % 2 = 0").select("path", F.md5(F.concat("text", F.when(F.col("file_id") % 3 == 0, "x").otherwise("")).cast("binary")).alias("hash"))
+    kept = f.select("path", F.md5(F.concat("text", F.when(F.col("file_id") % 3 == 0, "x").otherwise("")).cast("binary")).alias("hash"))
     return notes.stale(kept, now)
 
 
