@@ -352,19 +352,23 @@ def _left_over(stars: DataFrame, compared: DataFrame, comp: DataFrame, known: Da
     of = lambda name, side: comp.select(F.col("id").alias(side), F.col("component").alias(name))
     pairs = stars.select("a", "b").distinct().join(compared, ["a", "b"], "left").join(of("ca", "a"), "a", "left").join(of("cb", "b"), "b", "left")
     pairs = pairs.select("a", "b", F.coalesce("d", F.lit(1 - PERCENT / 100)).alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi"), F.coalesce("cb", "b").alias("c"), (F.coalesce("ca", "a") != F.coalesce("cb", "b")).alias("open"))
-    members = stars.join(pairs, ["a", "b"]).join(known.withColumnRenamed("id", "b"), "b").select("sig", "b", "lo", "hi", "c", "open", "n", "s", "p")
-    # an id with several texts is of no one size
-    several = F.col("s") >= 1 << 40
+    members = stars.join(pairs, ["a", "b"]).select("sig", "b", "lo", "hi", "c", "open")
     # signatures with a member outside the pivot's component, and another member; the former are cut into `parts` that meet the rest one by one
-    groups = members.groupBy(F.bitwise_not("sig").alias("key")).agg(F.count(F.lit(1)).alias("k"), F.max("open").alias("any"), F.count_if("open").alias("outside"), F.max(several & F.col("open")).alias("odd")).filter("any and k > 1")
-    groups = groups.select(F.bitwise_not("key").alias("sig"), F.ceil(F.col("outside") / PART).cast("int").alias("parts"), "odd")
-    members = materialise(members.join(groups, "sig"), "left-over")
+    groups = members.groupBy(F.bitwise_not("sig").alias("key")).agg(F.count(F.lit(1)).alias("k"), F.max("open").alias("any"), F.count_if("open").alias("outside")).filter("any and k > 1")
+    groups = groups.select(F.bitwise_not("key").alias("sig"), F.ceil(F.col("outside") / PART).cast("int").alias("parts"))
+    # sizes and sketches only go with what is left
+    members = materialise(members.join(groups, "sig").join(known.withColumnRenamed("id", "b"), "b").select("sig", "parts", "b", "lo", "hi", "c", "open", "n", "s", "p"), "left-members")
+    several = F.col("s") >= 1 << 40  # an id with several texts is of no one size
+    mixed_up = not members.filter(several).isEmpty()
+    if mixed_up:
+        odd = members.filter(several & F.col("open")).select("sig").distinct().withColumn("odd", F.lit(True))
+        members = members.join(odd, "sig", "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
     # linked sets' sizes differ by a third at most, so they are in the same band of sizes or in neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT)) + 1e-9).cast("int")
     some, all_of = F.lit(-2), F.lit(-1)
-    x = members.filter("open").withColumn("band", F.explode(F.when(several, F.array(all_of)).otherwise(F.array(band - 1, band, band + 1, some))))
+    x = members.filter("open").withColumn("band", F.explode(F.when(several, F.array(all_of)).otherwise(F.array(band - 1, band, band + 1, *([some] if mixed_up else [])))))
     x = x.select("sig", "band", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"{c}_x") for c in ("b", "lo", "hi", "c", "n", "s", "p")])
-    y = members.withColumn("band", F.explode(F.array_compact(F.array(F.when(several, some).otherwise(band), F.when(F.col("odd"), all_of)))))
+    y = members.withColumn("band", F.explode(F.array_compact(F.array(F.when(several, some).otherwise(band), F.when(F.col("odd"), all_of)))) if mixed_up else band)
     y = y.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     y = y.select("sig", "band", "part", *[F.col(c).alias(f"{c}_y") for c in ("b", "lo", "hi", "c", "open", "n", "s", "p")])
     near = 1 - PERCENT / 100 + 1e-9
