@@ -161,11 +161,11 @@ class Codec:
             token = match.get(at)
             if token is None:
                 here = at
-                for stop, found in longest(text[at:]):
+                for stop, found in longest(text, at):
                     if here in match:  # the same tokens follow as before
                         break
                     match[here] = found
-                    here = at + stop + 1
+                    here = stop + 1
                 token = match[at]
             fit = firsts((before, token))
             token = self.first_fit(before, token) if fit is None else fit
@@ -241,12 +241,27 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, data binary: the bytes behind column ids of encoded."""
+    """doc_id, data binary: the bytes behind column ids of encoded, one row per row.
+
+    Null ids are empty. Repeated rows give repeated rows, an empty table an
+    empty result; other columns are ignored. An id that the vocabulary doesn't
+    have is an error that names it.
+    """
     ranks = _shared(encoded, path)
 
     def make():
         token = {i: b for b, i in ranks.value.items()}
-        return lambda rows: {"doc_id": rows["doc_id"], "data": [b"".join([token[i] for i in x or ()]) for x in rows["ids"]]}
+
+        def each(rows):
+            data = []
+            for doc, ids in zip(rows["doc_id"], rows["ids"], strict=True):
+                try:
+                    data.append(b"".join([token[i] for i in ids or ()]))
+                except KeyError as e:
+                    raise ValueError(f"document {doc} has id {e.args[0]}, which the vocabulary doesn't have") from None
+            return {"doc_id": rows["doc_id"], "data": data}
+
+        return each
 
     flat = encoded.select("doc_id", "ids")
     return per_document(flat.withColumn("_size", F.lit("")), ["doc_id", "ids", "_size"], f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, data binary", make)
