@@ -189,8 +189,13 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return per_document(docs, ["text"], "term long, n long", make)
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(content, term, ratio): the terms of each text that disclose an entity in it, with the highest ratio.
+def _totals(rows: DataFrame, key: str, *what: Column) -> DataFrame:
+    """Aggregates by a long key, grouped by another form of it: a join on the key deals both sides out anew, and only then can adaptive execution split its hot keys."""
+    return rows.groupBy(F.bitwise_not(key).alias("_key")).agg(*what).withColumn(key, F.bitwise_not("_key")).drop("_key")
+
+
+def disclosures(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(content, term, ratio): the terms of each text that disclose an entity in it, with the highest ratio; evidence is `support` different texts, 1 at least.
 
     Pairs aren't made of terms and entities that cannot reach SUPPORT or
     GENERALISE: with c <= df(entity), the ratio needs
@@ -199,17 +204,17 @@ def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     total = docs.count()
     held = scanned.filter(F.size("base") > 0)
     holders = held.select("content", F.explode("entities").alias("entity")).groupBy("entity", "content").agg(F.count(F.lit(1)).alias("copies"))
-    df_entity = holders.groupBy("entity").agg(F.sum("copies").alias("df_entity"), F.count(F.lit(1)).alias("support"))
-    df_entity = df_entity.filter((F.col("support") >= SUPPORT) & (F.col("df_entity") < total)).select("entity", "df_entity")
+    df_entity = _totals(holders, "entity", F.sum("copies").alias("df_entity"), F.count(F.lit(1)).alias("support"))
+    df_entity = df_entity.filter((F.col("support") >= support) & (F.col("df_entity") < total)).select("entity", "df_entity")
     most = F.lit(1 + 1e-9) * F.pow(F.lit(float(max(1, total))), F.lit(1 - GENERALISE)) * F.pow(F.col("df_entity").cast("double"), F.lit(GENERALISE))
     holders = materialise(holders.join(df_entity, "entity").withColumn("most", most), "pii-entities")
     bounds = holders.groupBy("content").agg(F.max("most").alias("most_here"))
     # copies of a text are one row from here on
     terms = held.select("content", F.explode("terms").alias("term")).distinct().join(bounds, "content")
-    df_term = _word_counts(docs).groupBy("term").agg(F.sum("n").alias("df_term")).filter(F.col("df_term") >= SUPPORT)
+    df_term = _totals(_word_counts(docs), "term", F.sum("n").alias("df_term")).filter(F.col("df_term") >= support)
     terms = materialise(terms.join(df_term, "term").filter(F.col("df_term") <= F.col("most_here")).select("content", "term", "df_term"), "pii-terms")
     pairs = terms.join(holders, "content").filter(F.col("df_term") <= F.col("most"))
-    told = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("support"), F.first("df_term").alias("df_term"), F.first("df_entity").alias("df_entity")).filter(F.col("support") >= SUPPORT)
+    told = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("support"), F.first("df_term").alias("df_term"), F.first("df_entity").alias("df_entity")).filter(F.col("support") >= support)
     ratio = F.log(F.col("c") * F.lit(float(total)) / (F.col("df_term").cast("double") * F.col("df_entity"))) / F.log(F.lit(float(total)) / F.col("df_entity"))
     told = materialise(told.select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= GENERALISE), "pii-told")
     return terms.select("content", "term").join(told, "term").join(holders.select("content", "entity"), ["content", "entity"]).groupBy("content", "term").agg(F.max("ratio").alias("ratio"))
@@ -235,9 +240,11 @@ def _marked(rows: DataFrame) -> DataFrame:
     return per_document(rows, ["doc_id", "content", "base", "told", "terms", "places"], f"doc_id {kind}, content long, base {_BASE}, more {_BASE}", make)
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     """doc_id, content, base, more: one row per row of docs; base and more are arrays of spans (start, kind, stop).
 
+    A term is told to disclose an entity by `support` different texts that hold
+    both; 1 leaves no pair out.
     A null text is empty and has no spans. Rows that repeat id and text repeat
     the result; rows of one id with different texts are told apart by content,
     a hash of the text (0 without base spans). An empty table gives an empty
@@ -245,7 +252,7 @@ def find(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     scanned = materialise(_scan(docs), "pii-scan")
-    told = disclosures(docs, scanned)
+    told = disclosures(docs, scanned, support)
     kind = F.when(F.col("ratio") >= REMOVE, ALL_KINDS.index("termdel")).otherwise(ALL_KINDS.index("term"))
     told = told.groupBy("content").agg(F.collect_list(F.struct("term", kind.alias("kind"))).alias("told"))
     rows = scanned.filter(F.size("base") > 0).join(told, "content", "left")
@@ -254,7 +261,7 @@ def find(docs: DataFrame) -> DataFrame:
     return _marked(rows.filter(F.col("told").isNotNull())).unionByName(plain.select("doc_id", "content", "base", none.alias("more")))
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
+def sanitise(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     """docs with entities and disclosing terms replaced in `text` (and n_chars, where there is one, counted anew).
 
     Other columns are unchanged, whatever they are called. Null and empty texts
@@ -262,7 +269,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     different texts are told apart), an empty table stays empty.
     """
     mark, at, which, spans = unused(docs, "_content", "_id", "_hash", "_more")
-    found = find(docs).filter(F.size("more") > 0).select(F.col("doc_id").alias(at), F.col("content").alias(which), F.col("more").alias(spans)).distinct()
+    found = find(docs, support).filter(F.size("more") > 0).select(F.col("doc_id").alias(at), F.col("content").alias(which), F.col("more").alias(spans)).distinct()
 
     @F.pandas_udf("long")
     def content(text):
