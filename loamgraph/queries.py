@@ -697,6 +697,23 @@ def commit_stream_history(spark, sf_dir):
     return feed.history_of(spark, f"{at}/out")
 
 
+@query(WITH_FILES + f", commits AS ({corpus.COMMITS_SQL}) SELECT path, count(*) AS git_commits, count(DISTINCT author) AS git_authors, max(ts) AS git_last_commit FROM commits GROUP BY 1")
+def commit_state_history(spark, sf_dir):
+    """History by path and author from the commit feed, which comes in two parts: the second one changes the rows it touches."""
+    import uuid
+
+    from .session import shared_dir
+    from .streaming import commits as feed
+
+    at = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    rows = corpus.commits(spark, sf_dir).withColumn("author", F.col("author").cast("string"))
+    for part in (0, 1):
+        rows.filter(F.pmod("ts", F.lit(2)) == part).write.parquet(f"{at}/in/{part}")
+        stream = spark.readStream.schema("path string, author string, ts long").option("recursiveFileLookup", True).parquet(f"{at}/in")
+        feed.keep_history(stream, f"{at}/out", f"{at}/state").awaitTermination()
+    return feed.kept_history(spark, f"{at}/out")
+
+
 @query("SELECT n_nationkey::BIGINT AS id, sqrt((n_nationkey % 7) * (n_nationkey % 7) + (n_nationkey % 5) * (n_nationkey % 5) + 1.0::DOUBLE) AS r FROM nation ORDER BY 2 DESC, 1 LIMIT 1")
 def bounding_radius(spark, sf_dir):
     """The farthest node and its distance from the origin."""

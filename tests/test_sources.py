@@ -142,3 +142,34 @@ def test_git_stream(spark, repos, tmp_path):
     assert run() == sorted(seen)
     assert {r.path: r.git_commits for r in feed.history_of(spark, at[0]).collect()}[f"{two}/b.go"] == 2
     assert file_history(gitlog.read(spark, [str(two)])[0]).count() == 2 and json.dumps(at)
+
+
+def test_kept_history(spark, tmp_path):
+    """A batch writes the paths and authors it touches and no others; late, equal and null ones count; versions can be put together."""
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    rows = []
+
+    def add(name, some):
+        rows.extend(some)
+        (folder / name).write_text("".join(json.dumps(dict(zip(("path", "author", "ts"), x, strict=True))) + "\n" for x in some))
+        stream = spark.readStream.schema("path string, author string, ts long").json(str(folder))
+        feed.keep_history(stream, out, str(tmp_path / "state")).awaitTermination()
+
+    def check():
+        got = sorted(map(tuple, feed.kept_history(spark, out).collect()))
+        assert got == sorted(map(tuple, file_history(spark.createDataFrame(rows, "path string, author string, ts long")).collect()))
+
+    add("1.json", [("a", "x", 5), ("a", "x", 5), ("a", "y", 9), ("b", "x", 1), ("c", None, 3)])
+    check()
+    add("2.json", [("a", "y", 2), ("d", "z", 7)])
+    check()
+    newest = max(int(v.split("=")[1]) for v in os.listdir(out))
+    assert sorted(map(tuple, spark.read.parquet(f"{out}/version={newest}").collect())) == [("a", "y", 2, 9), ("d", "z", 1, 7)]
+    feed.compact(spark, out)
+    assert len(os.listdir(out)) == 1
+    check()
+    feed.compact(spark, out)
+    add("3.json", [("a", "x", 90)])
+    check()
+    assert len(os.listdir(out)) == 2
