@@ -652,6 +652,22 @@ def html_scanned_refs(spark, sf_dir):
     return facts.refs_of(facts.scan_files(p, False)).select("file_id", "seq", "raw")
 
 
+@query("WITH " + HREFS_SQL + """, links AS (SELECT page_id, seq, regexp_extract(raw, '^([^?#]*)', 1) AS link FROM hrefs WHERE regexp_extract(raw, '^([^?#]*)', 1) <> ''),
+  targets AS (SELECT link, 1000000000000 + min(page_id * 1000 + seq) AS file_id FROM links WHERE length(link) % 2 = 0 GROUP BY link)
+  SELECT DISTINCT page_id AS source, file_id AS target, 'import' AS kind FROM links JOIN targets USING (link)""")
+def sql_edges(spark, sf_dir):
+    """From pages to edges in SQL alone, by views over table functions; links of even length lead to a page that is there."""
+    from . import sql
+
+    p = corpus.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/site/pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), "html")
+    h = _hrefs(spark, sf_dir).withColumn("link", F.regexp_extract("raw", "^([^?#]*)", 1)).filter("link <> '' and length(link) % 2 = 0")
+    there = h.groupBy("link").agg((F.min(F.col("page_id") * 1000 + F.col("seq")) + 1_000_000_000_000).alias("file_id"))
+    files = p.select(F.col("page_id").alias("file_id"), "path", F.lit("html").alias("language"), F.col("html").alias("text"))
+    files = files.unionByName(there.select("file_id", F.concat(F.lit("/site"), "link", F.lit("/index.html")).alias("path"), F.lit("html").alias("language"), F.lit("").alias("text")))
+    sql.views(spark, files, "page_")
+    return spark.sql("SELECT source, target, kind FROM page_edges")
+
+
 @query(WITH_PURCHASES + ", placed AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS at FROM nodes) SELECT '/n/' || a.id AS path, '/n/' || b.id AS uses, kind FROM edges JOIN placed a ON a.id = source JOIN placed b ON b.id = target UNION ALL SELECT '/n/' || id, NULL, NULL FROM nodes")
 def graph_json_export(spark, sf_dir):
     """All purchases as one JSON document, written in parts and read back: a row for each link, and one for each node."""

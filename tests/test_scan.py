@@ -4,6 +4,7 @@ import textwrap
 
 import pytest
 
+from loamgraph import sql
 from loamgraph.operators.resolve import LABEL
 from loamgraph.plans import build
 from loamgraph.scan import base, registry
@@ -44,13 +45,13 @@ def scanned(spark, tmp_path_factory):
     place = {r.file_id: tuple(r.path[len(str(top)) + 1 :].split("/", 1)) for r in f.collect()}
     facts = scans.scan_files(f).cache()
     got = build.resolved_references(f, facts).collect()
-    return place, got, facts.filter("error is not null").count()
+    return place, got, facts.filter("error is not null").count(), f, facts
 
 
 @pytest.mark.parametrize("name", PROJECTS)
 def test_project(scanned, name):
     texts, edges, unresolved = PROJECTS[name]
-    place, got, errors = scanned
+    place, got, errors, *_ = scanned
     assert not errors and {p for n, p in place.values() if n == name} == set(texts)
     assert sorted(place) == list(range(len(place)))
     own = [r for r in got if place[r.file_id][0] == name]
@@ -58,6 +59,30 @@ def test_project(scanned, name):
     assert sum(r.target is None for r in own) == unresolved
 
 
+def test_sql(spark, scanned):
+    """One SQL text from files to edges, and the views, give what the build gives; the table functions what the scanners do."""
+    _, got, _, f, facts = scanned
+    want = sorted({(r.file_id, r.target, LABEL[r.kind]) for r in got if r.target is not None and r.target != r.file_id})
+    made = sql.views(spark, f, "t_")
+    assert {"t_files", "t_refs", "t_candidates", "t_resolved", "t_edges", "t_fan", "t_stats", "t_lines"} <= set(made)
+    text = """
+        WITH d AS (SELECT f.file_id, d.seq, d.key FROM t_files f, LATERAL scan_decls(f.language, f.path, f.text) d),
+             s AS (SELECT key, max_by(file_id, struct(file_id, seq)) AS target FROM d GROUP BY key),
+             hit AS (SELECT r.file_id, r.seq, r.kind, min_by(s.target, c.pos) AS target FROM (SELECT f.file_id, r.* FROM t_files f, LATERAL scan_refs(f.language, f.path, f.text) r) r
+                     JOIN t_candidates c ON c.file_id = r.file_id AND c.seq = r.seq JOIN s ON s.key = c.key GROUP BY ALL)
+        SELECT DISTINCT file_id, target, CASE kind WHEN 'TYPE_NAME' THEN 'type_reference' WHEN 'IMPORT_PATH' THEN 'import' ELSE 'require' END FROM hit WHERE target <> file_id"""
+    assert sorted(map(tuple, spark.sql(text).collect())) == want
+    assert sorted(map(tuple, spark.table("t_edges").collect())) == want
+    bad = {r.file_id: r.n for r in spark.sql("SELECT file_id, unresolved AS n FROM t_unresolved").collect()}
+    assert sum(bad.values()) == sum(r.target is None for r in got) and len(bad) == f.count()
+    stats = spark.sql("SELECT * FROM t_stats ORDER BY file_id").collect()
+    assert [tuple(r) for r in stats] == [tuple(r) for r in scans.stats_of(facts).drop("hash", "error").orderBy("file_id").collect()]
+    tokens = {r.file_id: r.n for r in spark.sql("SELECT file_id, count(*) AS n FROM t_files f, LATERAL scan_tokens(f.language, f.path, f.text) GROUP BY file_id").collect()}
+    assert tokens == {r.file_id: len(r.toks) for r in scans.tokens_of(facts).collect()}
+    odd = spark.sql("SELECT * FROM VALUES ('c', '/a.c', cast(NULL AS string)), ('none', '/b', 'x') AS f(language, path, text), LATERAL scan_refs(f.language, f.path, f.text)")
+    assert odd.isEmpty()
+
+
 def stats(language, text, path="/x/f"):
     text = textwrap.dedent(text)
     return base.statistics(text, registry.scan(language, path, text))
