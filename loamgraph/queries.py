@@ -635,6 +635,30 @@ def overlay_upsert(spark, sf_dir):
 # --- scanned sources, whole documents -----------------------------------------------
 
 
+@query(WITH_FILES + "SELECT path, language, strlen(text) AS n_bytes, md5(text) AS digest FROM files WHERE language <> 'json'")
+def tree_source_read(spark, sf_dir):
+    """All documents as a tree of files, listed and read by the tree source, with conditions on languages in the listing."""
+    import os
+    import uuid
+
+    from .session import shared_dir
+    from .sources import trees
+
+    top = f"{shared_dir(spark).removeprefix('file://')}/tree-{uuid.uuid4().hex}"
+
+    def write(batches):
+        for b in batches:
+            for path, text in zip(b["path"], b["text"], strict=True):
+                os.makedirs(os.path.dirname(top + path), exist_ok=True)
+                with open(top + path, "w", encoding="utf-8", newline="") as f:
+                    f.write(text)
+            yield b[["path"]]
+
+    corpus.files(spark, sf_dir).select("path", "text").mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    rows = trees.read(spark, [top]).filter(F.col("language").isin("python", "go", "markdown"))
+    return rows.select(F.substring("path", F.lit(len(top) + 1), F.length("path")).alias("path"), "language", "n_bytes", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query()
 def scanned_statistics(spark, sf_dir):
     """Statistics by the scanners of documents taken as sources of their language."""
