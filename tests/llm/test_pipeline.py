@@ -56,3 +56,23 @@ def test_run_and_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_odd_tables(spark):
+    """Repeated rows, rows of one id, nulls in every column, a very long text, and further columns with names that stages use: defined, and every stage keeps the columns."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = docs.filter("lang = 'en'").limit(40).agg(F.array_join(F.collect_list("text"), " ").alias("t")).first().t * 12
+    some = docs.limit(60)
+    first = some.first()
+    odd = [(10**7, long, "en", "src1", len(long)), (10**7 + 1, None, None, None, None), (None, "Mail me at jo@example.org or else, please, as soon as you can today.", "en", None, 7), (10**7 + 2, "", "en", "src1", 0), tuple(first), tuple(first), (first.doc_id, "another text of words that stand under one id with the first one", "en", "src2", 3)]
+    more = ["id", "base", "_words", "_rows", "_id", "_content", "_more", "size", "taken", "source_size", "lang_pred", "n_", "Rep"]
+    table = some.unionByName(spark.createDataFrame(odd, docs.schema)).select("*", *[F.lit(c).alias(c) for c in more])
+    now = table
+    counts = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF).persist()
+        assert now.columns == table.columns and all(r[c] == c for r in now.limit(3).collect() for c in more)
+        counts.append(now.count())
+    assert counts[0] >= counts[1] > 10 and counts[1] == counts[2]
+    out = corpus_pipeline.STAGES[-1][1](spark, now, SF)
+    assert out.columns == ["doc_id", "ids", "n_tokens"] and out.count() == counts[3]
