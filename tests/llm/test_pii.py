@@ -4,6 +4,9 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter, defaultdict
+
+import pytest
 
 from loamgraph.llm import pii
 
@@ -125,5 +128,53 @@ def test_query_digest(spark):
         assert rows[d.doc_id].n_email == sum(k == 0 for _, k, _ in want)
 
 
+def brute(docs, support):
+    """{(id, text): spans} by the rule as it is told: all counts of documents, whole texts, values and their groups, evidence of different texts."""
+    found = {(i, t): pii.entities(t) for i, t in docs}
+    entities = {k: {e for a, kind, b in spans for e in pii.entities_of(k[1][a:b], kind)} for k, spans in found.items()}
+    terms = {k: {w for w, _, _ in pii.words(k[1], spans)} for k, spans in found.items()}
+    n, df_t, df_e, both = len(docs), Counter(), Counter(), Counter()
+    texts_e, texts_both = defaultdict(set), defaultdict(set)
+    for k in docs:
+        df_t.update(terms[k])
+        df_e.update(entities[k])
+        for e in entities[k]:
+            texts_e[e].add(k[1])
+            for w in terms[k]:
+                both[e, w] += 1
+                texts_both[e, w].add(k[1])
+    told = defaultdict(float)
+    for (e, w), c in both.items():
+        if len(texts_e[e]) >= support and len(texts_both[e, w]) >= support and df_t[w] >= support and df_e[e] < n:
+            told[e, w] = math.log(c * n / (df_t[w] * df_e[e])) / math.log(n / df_e[e])
+    out = {}
+    for k, spans in found.items():
+        ratio = {w: max((told.get((e, w), 0.0) for e in entities[k]), default=0.0) for w in terms[k]}
+        out[k] = sorted((a, 5 if ratio[w] >= pii.REMOVE else 4, b) for w, a, b in pii.words(k[1], spans) if ratio[w] >= pii.GENERALISE)
+    return out
+
+
+@pytest.mark.parametrize("support", [1, 3])
+def test_against_brute_force(spark, support):
+    r = random.Random(21)
+    people = [(f"u{i}@d{i % 5}.example.org", f"name{i}", f"place{i % 5}") for i in range(12)]
+    words = ["the"] * 30 + [f"w{i}" for i in range(40)]
+    texts = []
+    for _ in range(257):
+        t = [r.choice(words) for _ in range(r.randrange(3, 12))]
+        for mail, name, place in r.sample(people, r.choice([0, 0, 0, 0, 1, 1, 2])):
+            t += [x for x, p in ((mail, 1), (name, 0.9), (place.upper(), 0.8), ("+49 30 1234567", 0.1), ("10.1.2.3", 0.1)) if r.random() < p]
+        if r.random() < 0.2:  # names stand elsewhere as well
+            t.append(f"name{r.randrange(12)}")
+        r.shuffle(t)
+        texts.append(" ".join(t))
+    texts += texts[:30] * 2  # copies are documents, and no evidence of their own
+    docs = list(enumerate(texts))
+    want = brute(docs, support)
+    got = pii.find(spark.createDataFrame(docs, "doc_id long, text string"), support).collect()
+    assert {(x.doc_id, texts[x.doc_id]): sorted(map(tuple, x.more)) for x in got} == want
+    assert sum(map(bool, want.values())) > 40 and len({k for v in want.values() for _, k, _ in v}) == 2
+
+
 def test_empty(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0

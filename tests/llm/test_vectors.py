@@ -145,6 +145,10 @@ def test_codes_prune():
     near = exact >= fifth[:, None]
     assert ((guess + error) >= exact)[near].mean() > 0.97
     assert (guess + error >= fifth[:, None]).mean() < 0.15
+    # the query doesn't know the fifth cosine: its floor is the least exact cosine of its five best guesses
+    guess[np.arange(len(guess)), np.arange(0, len(x), 50)] = -2
+    floor = np.take_along_axis(exact, np.argsort(-guess, axis=1)[:, :5], axis=1).min(axis=1)
+    assert (guess + error >= floor[:, None]).mean() < 0.35
 
 
 def test_nearest_of_nothing(spark):
