@@ -320,8 +320,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     some = sets.filter("n > 0 and doc_id is not null")
     boundary = choose_boundary(some)
     reps = some.filter(F.col("n") >= SMALLEST).groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    stars = materialise(_stars(_signatures(reps, boundary, heavy)), "stars")
+    # one prefix a set is left: what all rows have goes before signatures are dealt out
+    reps = materialise(reps, "reps")
     discard(sets)
+    stars = materialise(_stars(_signatures(reps, boundary, heavy)), "stars")
+    discard(reps)
     known = _known_of(stars, members)
     of = lambda side: known.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("s").alias(f"s_{side}"), F.col("p").alias(f"p_{side}"))
     tried = stars.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
