@@ -26,4 +26,5 @@ ORACLES = {
     "op6_nearest_vectors": ann.OP6_SQL,
     "op7_chat_format": chat.OP7_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
+    "op12_repair_conversations": repair.OP12_SQL,
 }

@@ -309,3 +309,44 @@ def edits_of(audit: str, rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
 def op12_repair_conversations(spark, sf_dir: str) -> DataFrame:
     """Damage and repair of all conversations."""
     return repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")))
+
+
+#: The same by dynamic programming, a row of all conversations at a time: the best (cost, audit) of each phase.
+OP12_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), coded AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1))))) % 20 AS k FROM keyed
+), rows AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM coded
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM rows
+), f AS (
+  SELECT *, role[1] AS c, CASE WHEN last = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
+), moves(phase, mid, ins, price, put) AS (VALUES
+  (0, 0, '', 0, []::VARCHAR[]), (0, 2, 'I', 5, ['user:']), (0, 3, 'II', 10, ['user:', 'assistant:']), (1, 1, '', 0, []), (1, 2, 'I', 5, ['user:']), (1, 3, 'II', 10, ['user:', 'assistant:']),
+  (2, 2, '', 0, []), (2, 3, 'I', 5, ['assistant:']), (3, 3, '', 0, []), (3, 2, 'I', 5, ['user:'])
+), s AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS phase, 0 AS cost, '' AS audit, []::VARCHAR[] AS rep FROM conversations
+  UNION ALL
+  SELECT conv_id, i, phase, cost, audit, rep FROM (
+    SELECT s.conv_id, f.i, CASE e.letter WHEN 'D' THEN m.mid WHEN 'K' THEN CASE f.c WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE m.mid WHEN 2 THEN 3 ELSE 2 END END AS phase,
+      s.cost + m.price + CASE e.letter WHEN 'D' THEN 2 ELSE CASE f.fault WHEN 3 THEN 5 ELSE 0 END + CASE e.letter WHEN 'R' THEN 1 ELSE 0 END END AS cost, s.audit || m.ins || e.letter AS audit,
+      list_concat(list_concat(s.rep, m.put), CASE e.letter WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [CASE m.mid WHEN 2 THEN 'assistant:' ELSE 'user:' END || f.text] END) AS rep
+    FROM s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1 JOIN moves m ON m.phase = s.phase CROSS JOIN (VALUES ('D'), ('K'), ('R')) AS e(letter)
+    WHERE e.letter = 'D' OR (f.fault IN (0, 3) AND (e.letter = 'R' OR f.c = CASE m.mid WHEN 2 THEN 'a' ELSE 'u' END OR (f.c = 's' AND m.mid = 0)))
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, phase ORDER BY cost, audit) = 1
+), counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+    count(*) FILTER (WHERE i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+), best AS (
+  SELECT s.conv_id, s.cost + m.price AS cost, s.audit || m.ins AS audit, array_to_string(list_concat(s.rep, m.put), chr(10)) AS text
+  FROM s LEFT JOIN counted n ON n.conv_id IS NOT DISTINCT FROM s.conv_id JOIN moves m ON m.phase = s.phase WHERE s.i = coalesce(n.n, 0) AND m.mid IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY s.conv_id ORDER BY s.cost + m.price, s.audit || m.ins) = 1
+)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost::BIGINT AS cost, audit, sha256(text) AS repaired_sha256
+FROM best b LEFT JOIN counted n ON n.conv_id IS NOT DISTINCT FROM b.conv_id
+"""

@@ -149,6 +149,18 @@ def test_rows(spark):
     assert list(map(tuple, one)) == [(gone, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
 
 
+def test_sql():
+    """The SQL gives the same, also for nulls and odd roles."""
+    import duckdb
+
+    r = random.Random(3)
+    rows = [(c, t, r.choice(["user", "assistant", "system", "tool", None, ""]), r.choice(["Yes.", "a  \n", "", None, "cut", "\u00e9\u6f22."])) for c in [*range(40), None] for t in [*range(r.randrange(1, 9)), None]]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert sorted(con.execute(repair.OP12_SQL).fetchall(), key=repr) == plain_rows(rows)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(x) for x in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
