@@ -82,23 +82,44 @@ def levels(parts: DataFrame, links: DataFrame) -> DataFrame:
     Parts that no open link reaches are peeled off, with the links that leave
     them. A level takes two small tables; its links are read once more only.
     """
-    rest, left, out = parts.select("part").distinct(), materialise(links, "peel-links"), []
+    rest, left, done = parts.select("part").distinct(), materialise(links, "peel-links"), Gathered("levels")
+    told = None
     for level in itertools.count():
         blocked = left.select(F.col("target").alias("part"), F.lit(True).alias("blocked")).distinct()
-        told = materialise(rest.join(blocked, "part", "left"), "peel")
-        out.append((level, told))
+        before, told = told, materialise(rest.join(blocked, "part", "left"), "peel")
+        discard(before)
+        done.add(materialise(told.filter("blocked is null").select("part", F.lit(level).alias("level")), "level"))
         rest = told.filter("blocked").select("part")
         if rest.isEmpty():
             break
         kept = materialise(left.join(rest.withColumnRenamed("part", "source"), "source", "left_semi"), "peel-links")
         discard(left)
         left = kept
-    done = reduce(DataFrame.unionByName, [t.filter("blocked is null").select("part", F.lit(n).alias("level")) for n, t in out])
-    done = materialise(done, "levels")
-    discard(left)
-    for _, t in out:
+    for t in (left, told):
         discard(t)
-    return done
+    return done.table()
+
+
+class Gathered:
+    """Tables of many rounds as one; MANY of them are put together at a time, so that plans don't grow with the rounds."""
+
+    MANY = 32
+
+    def __init__(self, name: str):
+        self.name, self.parts = name, []
+
+    def add(self, table: DataFrame) -> None:
+        self.parts.append(table)
+        if len(self.parts) == self.MANY:
+            self.parts = [self.table()]
+
+    def table(self) -> DataFrame:
+        """All of them, written once; what was added is gone."""
+        out = materialise(reduce(DataFrame.unionByName, self.parts), self.name)
+        for t in self.parts:
+            discard(t)
+        self.parts = [out]
+        return out
 
 
 def reach_counts(parts: DataFrame, links: DataFrame) -> DataFrame:
@@ -125,22 +146,21 @@ def reach_counts(parts: DataFrame, links: DataFrame) -> DataFrame:
     for r in onward.select("from", "to").distinct().collect():
         reads.setdefault(r["to"], []).append(r["from"])
     sends = {m for ms in reads.values() for m in ms}
-    sent, full = {}, []
+    ones = reduce(Column.__add__, [F.bit_count(w) for w in words])
+    sent, out = {}, Gathered("reach")
     for n in range(level.agg(F.max("level")).first()[0] + 1 if not level.isEmpty() else 0):
         rows = own.filter(F.col("level") == n).select("part", "slice", *words)
         for m in reads.get(n, ()):
             rows = rows.unionByName(sent[m].filter(F.col("to") == n).select("part", "slice", *words))
-        full.append(materialise(rows.groupBy("part", "slice").agg(*either), "bits") if n in reads else rows)
+        full = materialise(rows.groupBy("part", "slice").agg(*either), "bits") if n in reads else rows
+        out.add(materialise(full.groupBy("part").agg(F.sum(ones).cast("long").alias("n")), "reach"))
         if n in sends:
             step = onward.filter(F.col("from") == n).select(F.col("source").alias("part"), "target", "to")
-            sent[n] = materialise(full[n].join(step, "part").groupBy(F.col("target").alias("part"), "to", "slice").agg(*either), "bits-sent", "to")
-    if not full:
-        return parts.select("part", F.lit(0).cast("long").alias("n")).limit(0)
-    ones = reduce(Column.__add__, [F.bit_count(w) for w in words])
-    out = materialise(reduce(DataFrame.unionByName, full).groupBy("part").agg(F.sum(ones).cast("long").alias("n")), "reach")
-    for t in [level, own, onward, *sent.values(), *full]:
+            sent[n] = materialise(full.join(step, "part").groupBy(F.col("target").alias("part"), "to", "slice").agg(*either), "bits-sent", "to")
+        discard(full)
+    for t in [level, own, onward, *sent.values()]:
         discard(t)
-    return out
+    return out.table() if out.parts else parts.select("part", F.lit(0).cast("long").alias("n")).limit(0)
 
 
 def blast_from_cycles(nodes: DataFrame, edges: DataFrame, cycle: DataFrame) -> DataFrame:
