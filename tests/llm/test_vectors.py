@@ -55,6 +55,32 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert all(r.component_id == label[r.vec_id] and r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_clusters(spark, monkeypatch):
+    """Thousands of links in clusters near a sphere of three dimensions, over dozens of blocks: all of them found, and most pairs of blocks never meet."""
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    monkeypatch.setattr(neardup, "LEAF", 16)
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(400, 3)) @ np.linalg.qr(r.normal(size=(16, 3)))[0].T
+    x = centres[r.integers(0, 400, 3000)]
+    x = x / np.linalg.norm(x, axis=1)[:, None] + r.normal(scale=0.04, size=x.shape)
+    met = []
+
+    def spy(boxes, blocks, eps, axes, f=neardup.meetings):
+        out = f(boxes, blocks, eps, axes)
+        met.append((out.count(), blocks * (blocks + 1) // 2))
+        return out
+
+    monkeypatch.setattr(neardup, "meetings", spy)
+    got = {v.vec_id: v for v in neardup.near_duplicates(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert [got[i].n_links for i in range(3000)] == near.sum(1).tolist() and near.sum() > 10_000
+    label = brute_components(range(3000), list(zip(*map(np.ndarray.tolist, np.nonzero(np.triu(near))), strict=True)))
+    assert all(got[i].component_id == label[i] for i in range(3000))
+    assert met[0][1] > 500 and met[0][0] < met[0][1] / 2, met
+
+
 def test_near_duplicates_empty(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert neardup.near_duplicates(spark.createDataFrame([(1, None, "")], SCHEMA)).collect()[0].kept
