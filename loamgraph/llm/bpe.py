@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_document
+from .common import kept, per_document
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries of a memo's younger half: when it is full it becomes the older half, and what was in that one and isn't used goes. It only saves time.
@@ -203,16 +203,9 @@ class Codec:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
-
-
 def codec(ranks: dict[bytes, int], pattern: str) -> Codec:
     """One codec a worker process: Python workers are used again by later tasks."""
-    key = (hash(frozenset(ranks.items())), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(ranks, pattern)
-    return _codecs[key]
+    return kept(("codec", hash(frozenset(ranks.items())), pattern), lambda: Codec(ranks, pattern))
 
 
 def _shared(docs: DataFrame, path: str):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -55,8 +56,8 @@ _SPACES = np.zeros(256, bool)
 _SPACES[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint64) + 1
 _LOWER[65:91] += 32
-#: Bytes of texts that are hashed at a time.
-HASHED = 4_000_000
+#: Bytes of texts that are hashed at a time; the numbers made of them take some forty times as much.
+HASHED = 1_000_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -135,6 +136,29 @@ def release() -> None:
         pass
 
 
+_kept: dict = {}
+_wanted: set = set()
+
+
+def kept(key, make: Callable):
+    """make()'s result, one large object a worker process, for later tasks that ask for the same key: a task that doesn't ask drops it."""
+    _wanted.add(key)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+@contextlib.contextmanager
+def starting() -> Iterator[None]:
+    """Around the start of a task: what earlier ones kept goes, unless it is asked for inside."""
+    _wanted.clear()
+    yield
+    for key in [k for k in _kept if k not in _wanted]:
+        del _kept[key]
+        release()
+
+
 def per_document(docs: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., dict[str, list]]]) -> DataFrame:
     """Map rows of docs in Arrow batches.
 
@@ -148,7 +172,8 @@ def per_document(docs: DataFrame, columns: list[str], schema: str, make: Callabl
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = make()
+        with starting():
+            each = make()
         for batch in batches:
             for part in slices(batch, columns[-1]):
                 out = each({c: part.column(c).to_pylist() for c in columns})

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise
-from .common import hashed_words, mixed, own, per_document, release, slices, unused
+from .common import hashed_words, mixed, own, per_document, release, slices, starting, unused
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -73,7 +73,8 @@ def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, counts) of at most HEAVY frequent shingles. Which ones they are decides the order alone, never the result."""
 
     def run(batches):
-        held, size = [], 0
+        with starting():  # no task keeps anything large for this one
+            held, size = [], 0
 
         def flush():
             values, n = np.unique(np.concatenate(held), return_counts=True)

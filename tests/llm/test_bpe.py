@@ -1,6 +1,8 @@
 """Byte-level BPE against tiktoken and a round trip."""
 
+import gc
 import random
+import tracemalloc
 
 import public_tokenizers as P
 import pytest
@@ -52,3 +54,37 @@ def test_documents(spark, tmp_path):
     back = bpe.decode_documents(bpe.encode_documents(docs, path, P.PATTERN), path).collect()
     assert sorted(bytes(r.data) for r in back) == [b"", b"", b"hello world", b"hello world", b"x"]
     assert bpe.digests(docs.limit(0), path, P.PATTERN).count() == 0
+
+
+def test_workers_drop_the_codec(spark):
+    """A codec and its memos stay in a worker for tasks that use them, and go when another task starts there."""
+    from loamgraph.llm import common
+
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id long, text string").repartition(4)
+
+    def held():
+        return lambda rows: {"n": [sum(isinstance(x, bpe.Codec) for x in gc.get_objects()) for _ in rows["text"]]}
+
+    for _ in range(2):
+        assert bpe.encode_documents(docs, P.path(bpe.VOCABULARY), P.PATTERN).count() == 40
+    assert common.per_document(docs, ["text"], "n int", held).agg({"n": "max"}).first()[0] == 0
+    a, b = common.kept("a", list), common.kept("a", list)
+    assert a is b
+    with common.starting():
+        assert common.kept("a", list) is a
+    with common.starting():
+        pass
+    assert common.kept("a", list) is not a
+
+
+def test_memory_of_hashing():
+    """Words of a slice are hashed with some tens of megabytes, however long the slice is."""
+    from loamgraph.llm import common
+
+    texts = ["lorem ipsum dolor sit amet " * 4000] * 70
+    tracemalloc.start()
+    h, sizes = common.hashed_words(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes.tolist() == [20_000] * 70 and len(set(h.tolist())) == 5
+    assert peak - 2 * h.nbytes < 80e6, peak
