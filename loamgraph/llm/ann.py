@@ -18,7 +18,10 @@ over all vectors; their exact cosines set the query's floor, which the k-th
 nearest can't be below. The second ranks exactly, in double precision, the
 vectors whose upper bound reaches the floor. Queries go to the index in blocks
 of their vectors, each of which meets each block of the index, so neither side
-is ever held whole anywhere, and every vector is in the index.
+is ever held whole anywhere, and every vector is in the index. Blocks of the
+index are dealt into groups of some tens of thousands of vectors, and there is a
+copy of the queries for each group: these copies go through a shuffle, since
+they would fill the driver if they were broadcast.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from ..session import materialise
 from .vectors import cosines, dimensions, matrix, sample_of, unit, valid
 
 NEAREST, BLOCK, QUERIES, SAMPLE, TURNS, BOUND, SEED = 5, 8192, 512, 20_000, 2, 2.5, 7
+#: Groups: one a block up to GROUPS of them, then no more until each has BLOCKS blocks.
+GROUPS, BLOCKS = 32, 4
 
 
 class Coder:
@@ -156,7 +161,7 @@ def _met(index: DataFrame, asked: DataFrame, dim: int, stored, groups: int, each
                 if len(got[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["query_id", "vec_id", "score"])
 
-    return index.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))).join(ask, "g").mapInArrow(search, "query_id long, vec_id long, score double")
+    return index.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))).join(ask.hint("merge"), "g").mapInArrow(search, "query_id long, vec_id long, score double")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -187,7 +192,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEAREST) -> DataFra
         stored = np.float32 if "float" in own.schema["embedding"].dataType.simpleString() else np.float64
         total = own.count()
         coder = Coder(sample_of(own, SAMPLE, "centre"), dim)
-        groups = max(1, -(-total // BLOCK))
+        blocks = -(-total // BLOCK)
+        groups = max(1, min(blocks, GROUPS), -(-blocks // BLOCKS))
         index = materialise(_packed(own, dim, BLOCK, coder), "codes")
 
         def guess(qids, q, floors, read, coder=coder):

@@ -180,3 +180,13 @@ def test_codes_prune():
 def test_nearest_of_nothing(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_queries_are_not_broadcast(spark, tmp_path):
+    """There is a copy of the queries for each part of the index, which a driver can't hold at size: small tables take the same way."""
+    r = np.random.default_rng(8)
+    spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(400)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = ann.op6_nearest_vectors(spark, str(tmp_path))
+    assert found.count() == 8 * 5
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan, plan
