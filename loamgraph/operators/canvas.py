@@ -8,6 +8,7 @@ to_side, from_end, to_end, label).
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import links, paths
 from ..functions.values import node_title
 from ..session import discard, materialise
+from ..sources.files import with_ids
 
 SIDES, ENDS = ["top", "right", "bottom", "left"], ["none", "arrow"]
 ROW_GAP, CELL, SEARCH, DEPTH = 40.0, 64.0, 200, 64
@@ -168,22 +170,48 @@ def _at_levels(rows: DataFrame, of: DataFrame, own: Column) -> DataFrame:
     return rows.withColumn("own_", own).join(there, "canvas").withColumn("level", F.explode(F.filter("levels", lambda x: x >= F.col("own_")))).drop("own_", "levels")
 
 
+#: Groups of a canvas that are tried first, the smallest ones; each further round tries twice as many.
+FIRST = 64
+
+
+def _rounds(groups: DataFrame) -> DataFrame:
+    """groups with column `round`, by their place in order of (area, ord) on their canvas: no group of a later round is smaller."""
+    numbered = materialise(with_ids(groups, "number", ["canvas", "area", "g_ord"]), "groups")
+    first = numbered.groupBy("canvas").agg(F.min("number").alias("least"))
+    place = F.col("number") - F.col("least")
+    return materialise(numbered.join(first, "canvas").withColumn("round", F.floor(F.log2(place / FIRST + 1)).cast("int")).drop("number", "least"), "rounds")
+
+
 def containing_group(nodes: DataFrame, cell: float = CELL) -> DataFrame:
     """canvas, id, group_id: the smallest group around the box's centre, ties to the first; NULL without one.
 
     Groups are listed in the cells they touch of the level of their size, a
     centre lies in one cell of each level that the canvas has groups on: an
-    equi-join on level and cell, then the exact test.
+    equi-join on level and cell, then the exact test. Groups of one place and
+    size are one, as are equal centres. Groups are tried in rounds, the smallest
+    first, and a centre that has found one is done, so that the large groups
+    around everything meet only what lies in no smaller one.
     """
+    place = ["canvas", "gx", "gy", "gw", "gh"]
     groups = nodes.filter("type = 'group'").select("canvas", F.col("ord").alias("g_ord"), F.col("id").alias("group_id"), F.col("x").alias("gx"), F.col("y").alias("gy"), F.col("w").alias("gw"), F.col("h").alias("gh"))
-    groups = groups.withColumn("level", _level("gw", "gh", cell))
-    boxes = nodes.filter("type <> 'group'").withColumns({"mx": F.col("x") + F.col("w") / 2, "my": F.col("y") + F.col("h") / 2})
-    probes = _at_levels(boxes.select("canvas", "id", "mx", "my"), groups, F.lit(0))
-    probes = probes.withColumns({"cx": F.floor(F.col("mx") / _size("level", cell)), "cy": F.floor(F.col("my") / _size("level", cell))})
+    groups = groups.groupBy(*place).agg(F.min(F.struct("g_ord", "group_id")).alias("first")).select(*place, "first.*")
+    groups = _rounds(groups.withColumns({"level": _level("gw", "gh", cell), "area": F.col("gw") * F.col("gh")}))
+    boxes = nodes.filter("type <> 'group'").select("canvas", "id", (F.col("x") + F.col("w") / 2).alias("mx"), (F.col("y") + F.col("h") / 2).alias("my"))
+    left = materialise(boxes.select("canvas", "mx", "my").filter("mx is not null and my is not null").distinct(), "centres")
     inside = (F.col("mx") >= F.col("gx")) & (F.col("mx") <= F.col("gx") + F.col("gw")) & (F.col("my") >= F.col("gy")) & (F.col("my") <= F.col("gy") + F.col("gh"))
-    met = probes.join(_in_cells(groups, "gx", "gy", "gw", "gh", cell), ["canvas", "level", "cx", "cy"]).filter(inside)
-    best = met.groupBy("canvas", "id").agg(F.min_by("group_id", F.struct(F.col("gw") * F.col("gh"), "g_ord")).alias("group_id"))
-    return boxes.select("canvas", "id").join(best, ["canvas", "id"], "left")
+    found = []
+    for n in range((groups.agg(F.max("round")).first()[0] or 0) + 1):
+        tried = groups.filter(F.col("round") == n)
+        probes = _at_levels(left, tried, F.lit(0))
+        probes = probes.withColumns({"cx": F.floor(F.col("mx") / _size("level", cell)), "cy": F.floor(F.col("my") / _size("level", cell))})
+        met = probes.join(_in_cells(tried, "gx", "gy", "gw", "gh", cell), ["canvas", "level", "cx", "cy"]).filter(inside)
+        found.append(materialise(met.groupBy("canvas", "mx", "my").agg(F.min_by("group_id", F.struct("area", "g_ord")).alias("group_id")), "found"))
+        rest = materialise(left.join(found[-1], ["canvas", "mx", "my"], "left_anti"), "centres")
+        discard(left)
+        left = rest
+        if left.isEmpty():
+            break
+    return boxes.join(reduce(DataFrame.unionByName, found), ["canvas", "mx", "my"], "left").select("canvas", "id", "group_id")
 
 
 def reading_order(nodes: DataFrame, gap: float = ROW_GAP) -> DataFrame:

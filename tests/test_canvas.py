@@ -41,6 +41,18 @@ def test_sizes(spark, cell):
     assert canvas._in_cells(canvas._at_levels(named.drop("level"), named, canvas._level("s_w", "s_h", cell)), "s_x", "s_y", "s_w", "s_h", cell).count() <= 9 * len(rows) * levels
 
 
+def test_large_groups_meet_what_is_left(spark, monkeypatch):
+    """Centres in a small group never meet the many large ones around it; equal groups and centres are one."""
+    groups = [("c", i, f"g{i}", "group", -float(i), -float(i), 2.0 * i + 1, 2.0 * i + 1) for i in range(1, 401)]
+    groups += [("c", 500 + i, f"again{i}", "group", -float(i), -float(i), 2.0 * i + 1, 2.0 * i + 1) for i in range(1, 401)]
+    boxes = [("c", 1000 + i, f"b{i}", "text", float(i % 30), 0.0, 0.0, 0.0) for i in range(300)] + [("d", 2000, "alone", "text", 0.0, 0.0, 1.0, 1.0)]
+    tried, plain = [], canvas._at_levels
+    monkeypatch.setattr(canvas, "_at_levels", lambda rows, of, own: (tried.append((rows.count(), of.count())), plain(rows, of, own))[1])
+    got = {r.id: r.group_id for r in canvas.containing_group(spark.createDataFrame(groups + boxes, BOX)).collect()}
+    assert got == {f"b{i}": f"g{max(1, i % 30 - 1)}" for i in range(300)} | {"alone": None}
+    assert tried == [(31, 64), (1, 128), (1, 208)]
+
+
 FIELDS = "canvas string, ord int, id string, type string, text string, file string, subpath string, url string, label string"
 
 
