@@ -51,5 +51,5 @@ def build(files: DataFrame, commits: DataFrame | None = None, tracked: DataFrame
     rank = graph.hotspots(out.select("id", F.col("git_commits").alias("commits"), "complexity")).select("id", "hotspot_rank")
     out = out.join(rank, "id", "left")
     toks = scans.tokens_of(facts)
-    found = clones.located(clones.pairs(clones.buckets(clones.windows(toks)), toks), toks)
+    found = clones.clones(toks)
     return Build(out, edges, found, resolved)

@@ -157,3 +157,25 @@ def test_window_hashes(spark):
         else:
             assert x.prev is None
     assert all(len(s) == 1 for s in by_hash.values()) and len(by_hash) == len(set(runs.values())) and len(by_prev) == 3 and all(len(s) == 1 for s in by_prev.values())
+
+
+def test_clones_share_by_share(spark, monkeypatch):
+    """Windows dealt out in shares, and the first files' runs alone, give what all windows at once give."""
+    r = random.Random(4)
+    base = [[f"w{r.randrange(400)}" for _ in range(200)] for _ in range(12)]
+    rows = []
+    for i in range(60):
+        k = r.randrange(100)
+        toks = base[i % 12][k : k + 90] + [f"x{i}"] * r.randrange(3) + base[r.randrange(12)][:60]
+        rows.append((i, toks, [j // 8 + 1 for j in range(len(toks))]))
+    df = spark.createDataFrame(rows, "file_id long, toks array<string>, rows array<int>")
+    whole = clones.buckets(clones.windows(df, 20), 5)
+    assert whole.count() > 500
+    monkeypatch.setattr(clones, "SHARE", 2000)
+    monkeypatch.setattr(clones, "STARTS", 1)
+    assert sorted(clones.shared_windows(df, 20, 5).collect()) == sorted(whole.collect())
+    assert max(clones.windows(df, 20, (k, 4)).count() for k in range(4)) < 0.4 * clones.windows(df, 20).count()
+    for most in (1, 40, 100_000, None):
+        want = clones.located(clones.pairs(whole, df, 20), df, 2, most)
+        assert sorted(clones.clones(df, 20, 2, 5, most).collect()) == sorted(want.collect()), most
+    assert clones.clones(df.limit(0), 20, 2).count() == 0
