@@ -175,3 +175,42 @@ def test_many_findings_in_one_text():
             a = r.randrange(70)
             b = a + r.randrange(1, 9)
             assert cover.touches(a, b) == any(x < b and a < y for x, _, y in spans)
+
+
+def test_order_comes_to_every_window():
+    for n in (1, 31, 32, 9_599, 9_600, 9_601, 20_000):
+        turns = secrets.order(n, np.random.default_rng(0))
+        assert len(turns) == secrets.STEPS and np.array_equal(np.unique(turns), np.arange(n))
+
+
+def test_learns_from_every_window(spark, monkeypatch):
+    """No window is left out of training, calibration or figures, and shares of a table learn together what one would."""
+    r = random.Random(8)
+    key = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    texts = [f"words api_key = {key(30)} end" for _ in range(3_000)] + [f"order number {r.randrange(10**16, 10**17)} shipped" for _ in range(12_000)]
+    new = [f"the line holds {key(30)} alone" for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts + new)), "doc_id long, text string").repartition(4)
+    taught = docs.filter("doc_id < 15000")
+    want = {found: len({x for t in texts for x, y, _, _ in secrets.examples(t) if y == found}) for found in (0, 1)}
+    monkeypatch.setattr(secrets, "SHARE", 2_000)
+    monkeypatch.setattr(secrets, "LEAST", 500)
+    net = secrets.fit(taught.union(taught.limit(100)))
+    for one in (net, net.twin):
+        assert (one.figures["other"], one.figures["found"]) == (want[0], want[1])
+        assert one.figures["left_recall"] >= 0.9 and one.figures["left_marked"] < 0.1
+        assert 0.4 < one.figures["learned"] / sum(want.values()) < 0.6
+    many = np.array([[sum(want[y] for y in (0, 1))] * secrets.FOLDS] * 2)
+    for side in (0, 1):
+        assert (secrets._folds(many, side).sum(axis=0) == 1).all()  # each fold has one use
+    seen = secrets._windows(taught)
+    uses = [np.ones((3, 2, secrets.FOLDS), bool)] * 2
+    rows = secrets._shares(seen, uses, np.array([[want[0]] + [0] * 7, [want[1]] + [0] * 7])).collect()
+    assert len(rows) == 2 * -(-want[0] // 2_000)
+    for side in (0, 1):
+        for name, found in (("other", 0), ("found", 1)):
+            assert len({bytes(x) for row in rows if row["side"] == side for x in row[name]}) == want[found]
+    assert min(len(row["found"]) for row in rows) > 250
+    rows = {row.doc_id: row.spans for row in secrets.find(docs, net).collect()}
+    assert sum(rows[15_000 + i] == "net:15:45" for i in range(20)) >= 18
+    again = secrets.fit(taught.repartition(3))
+    assert np.array_equal(again.state(), net.state()) and again.least == net.least
