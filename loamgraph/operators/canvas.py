@@ -36,7 +36,7 @@ def reachable(root: DataFrame, links_: DataFrame, canvases: DataFrame) -> DataFr
     written one by one, and now and then put together.
     """
     step = links_.join(canvases.select(F.col("canvas").alias("target")), "target", "left_semi").select("canvas", "target").distinct()
-    seen = front = materialise(root.select("canvas", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level")), "trail")
+    seen = front = materialise(root.select("canvas", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level")).distinct(), "trail")
     tables = [front]
     for level in itertools.count(1):
         new = step.join(front.select("canvas"), "canvas").groupBy(F.col("target").alias("to")).agg(F.min("canvas").alias("parent"))

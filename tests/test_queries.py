@@ -42,6 +42,18 @@ def test_same_as_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(names, c.fetchall())
 
 
+@pytest.mark.parametrize("rows_of", ["SELECT * FROM c UNION ALL SELECT * FROM c"], ids=["twice"])
+def test_odd_customers(spark, tmp_path, rows_of):
+    """The index of diagrams with all of them twice."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW c AS SELECT * FROM '{SF}/customer.parquet'")
+    con.execute(f"COPY ({rows_of}) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    for name in ("canvas_index", "breadcrumbs", "unreachable"):
+        df, c = core.QUERIES[name](spark, str(tmp_path)), con.execute(core.ORACLES[name])
+        assert rows(df.columns, df.collect()) == rows([d[0] for d in c.description], c.fetchall()), name
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
