@@ -42,9 +42,9 @@ def test_same_as_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(names, c.fetchall())
 
 
-@pytest.mark.parametrize("rows_of", ["SELECT * FROM c WHERE false", "SELECT * FROM c WHERE c_custkey <> 1", "SELECT * FROM c UNION ALL SELECT * FROM c"], ids=["empty", "no-root", "twice"])
+@pytest.mark.parametrize("rows_of", ["SELECT * FROM c WHERE false", "SELECT * FROM c WHERE c_custkey <> 1", "SELECT * FROM c UNION ALL SELECT * FROM c", "SELECT * REPLACE (CASE WHEN c_custkey % 15 <> 7 THEN c_custkey END AS c_custkey) FROM c"], ids=["empty", "no-root", "twice", "no-key"])
 def test_odd_customers(spark, tmp_path, rows_of):
-    """The index of diagrams without a root, and with all of them twice."""
+    """The index of diagrams without a root, with all of them twice, and with customers that have no key."""
     con = duckdb.connect()
     con.execute(f"CREATE VIEW c AS SELECT * FROM '{SF}/customer.parquet'")
     con.execute(f"COPY ({rows_of}) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
